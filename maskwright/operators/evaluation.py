@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright import vocab as V
 from maskwright.functions.masking import column_ref
+from maskwright.sources.local import local_frame
 
 LATENCY_TYPE = "decimal(27,9)"
 
@@ -247,7 +248,7 @@ def readable(df: DataFrame) -> bool:
 
 def targets_frame(spark) -> DataFrame:
     rows = [(m, target, direction) for m, (target, direction) in V.SLA_TARGETS.items()]
-    return spark.createDataFrame(rows, "metric string, target double, direction string")
+    return local_frame(spark, rows, "metric string, target double, direction string")
 
 
 def sla_check(metrics: DataFrame, targets: DataFrame) -> DataFrame:

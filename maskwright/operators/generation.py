@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from maskwright import vocab as V
 from maskwright.functions.masking import column_ref
 from maskwright.functions.text import slugify
+from maskwright.sources.local import local_frame
 
 # --- Fixed values: pools of the value makers -------------------------------
 MIDDLE_NAMES = ("Văn", "Thị", "Đức", "Minh", "Quốc", "Thanh", "Ngọc", "Xuân")
@@ -263,8 +264,8 @@ def gen_table(spark: SparkSession, specs: list[ColumnSpec], n_rows: int, seed: i
 def truth_frame(spark: SparkSession, table: str, specs: list[ColumnSpec]) -> DataFrame:
     """(table_name, column_name, sensitivity_tag, sensitivity_level)."""
     rows = [(table, s.column_name, s.sensitivity_tag, V.TAGS[s.sensitivity_tag][0]) for s in specs]
-    return spark.createDataFrame(
-        rows, "table_name string, column_name string, sensitivity_tag string, sensitivity_level string"
+    return local_frame(
+        spark, rows, "table_name string, column_name string, sensitivity_tag string, sensitivity_level string"
     )
 
 
@@ -273,7 +274,8 @@ def expectations_frame(spark: SparkSession, table: str, specs: list[ColumnSpec])
         (table, s.column_name, s.sensitivity_tag, s.regex_status, s.detection_method, s.expected_regex_score)
         for s in specs
     ]
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         rows,
         "table_name string, column_name string, sensitivity_tag string, regex_status string, "
         "detection_method string, expected_regex_score double",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright import vocab as V
 
+POLICY_SCHEMA = "table_name string, column_name string, sensitivity_level string, masking_rule string"
 AUDIT_SCHEMA = "user_role string, target_table string, context_details string, executed_at timestamp"
 
 

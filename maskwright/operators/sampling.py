@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright import vocab as V
 from maskwright.functions.masking import column_ref
 from maskwright.functions.matching import is_email, is_health_insurance_id, is_phone, is_resident_id
+from maskwright.sources.local import local_frame
 
 DEFAULT_SEED = 42
 _DRAW = "_draw"
@@ -77,7 +78,7 @@ def to_long(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def columns_frame(df: DataFrame, table: str) -> DataFrame:
     """(table_name, ordinal, column_name) of a frame: one row per schema column."""
     rows = [(table, i, c) for i, c in enumerate(list_columns(df))]
-    return df.sparkSession.createDataFrame(rows, "table_name string, ordinal int, column_name string")
+    return local_frame(df.sparkSession, rows, "table_name string, ordinal int, column_name string")
 
 
 def with_names(by_ordinal: DataFrame, df: DataFrame, table: str, how: str = "left") -> DataFrame:

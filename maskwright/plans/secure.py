@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 
 from maskwright import vocab as V
 from maskwright.operators.masking import mask_frame
-from maskwright.operators.policy import access_audit, resolve_policies
+from maskwright.operators.policy import POLICY_SCHEMA, access_audit, resolve_policies
 from maskwright.operators.sampling import columns_frame
+from maskwright.sources.local import local_frame
 from maskwright.sources.store import MetadataStore
 from maskwright.sources.tables import read_table, resolve_fqn
 
@@ -28,7 +29,8 @@ def secure_frame(df: DataFrame, policies: DataFrame, unknown: str | None = None,
 
 def _settle(policies: DataFrame) -> DataFrame:
     """Look the policies of one table up once, for both the mask and the audit."""
-    return policies.sparkSession.createDataFrame(policies.collect(), policies.schema)
+    rows = [tuple(row) for row in policies.collect()]
+    return local_frame(policies.sparkSession, rows, POLICY_SCHEMA)
 
 
 def secure_read(
@@ -53,7 +55,7 @@ def secure_read(
     clean = table.strip().lower()
     df = read_table(store.spark, resolve_fqn(clean, database, catalog), columns)
     policies = _settle(resolve_policies(
-        store.read("columns_metadata"), store.read("tables_metadata"), store.read("access_policies"),
+        store.columns_of(clean), store.read("tables_metadata"), store.read("access_policies"),
         name, clean, df.columns,
     ))
     masked = secure_frame(df, policies, unknown, strict)

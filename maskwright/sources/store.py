@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from maskwright import vocab as V
 from maskwright.operators.keyed import absent_rows, one_per_key, update_where, upsert
 from maskwright.operators.policy import AUDIT_SCHEMA
+from maskwright.sources.local import local_frame
 
 SCHEMAS = {
     "tables_metadata": "table_id bigint, table_name string, path string, created_at timestamp",
@@ -100,8 +101,8 @@ class MetadataStore:
 
     def register_tables(self, paths: dict[str, str]) -> None:
         """Register ``name -> path`` where the name is absent; others stay as they are."""
-        rows = self.spark.createDataFrame(
-            [(name.strip().lower(), path) for name, path in paths.items()], "table_name string, path string"
+        rows = local_frame(
+            self.spark, [(n.strip().lower(), path) for n, path in paths.items()], "table_name string, path string"
         )
         new = one_per_key(rows, ["table_name"], F.col("path"), last=False).select(
             table_id_of(F.col("table_name")).alias("table_id"), "table_name", "path",
@@ -151,15 +152,19 @@ class MetadataStore:
     def append_access_audit(self, audit: DataFrame) -> None:
         self._append("policy_engine_audit_logs", audit)
 
+    def columns_of(self, table: str) -> DataFrame:
+        """Column rows of one table; the id is a constant, so one partition is read."""
+        return self.read("columns_metadata").filter(F.col("table_id") == table_id_of(F.lit(table)))
+
     def verdicts(self, table: str) -> DataFrame:
         """Stored verdicts of one table, tag and level in upper case."""
-        return fetch_verdicts(self.read("columns_metadata"), self.read("tables_metadata"), table.strip().lower())
+        return fetch_verdicts(self.columns_of(table), self.read("tables_metadata"), table.strip().lower())
 
     def update_level(self, table: str, column: str, level: str) -> None:
         """Set the level of one column; the next secure read sees it."""
         if level not in V.LEVELS:
             raise ValueError(f"Unknown level: {level}")
-        rows = self.read("columns_metadata").filter(F.col("table_id") == self.table_id(table))
+        rows = self.columns_of(table)
         hit = F.col("column_name") == column
         self._replace_partitions(update_where(
             rows, hit, {"sensitivity_level": F.lit(level), "updated_at": F.current_timestamp()}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources.local import local_frame
+
 # --- Fixed values ---------------------------------------------------------
 LEVELS = ("HIGH", "MEDIUM", "LOW", "NONE")
 
@@ -201,8 +203,8 @@ def weight_of(tag: Column) -> Column:
 def policies_frame(spark: SparkSession) -> DataFrame:
     """The seeded role x level policies (12 rows)."""
     rows = [(r, lv, rule) for r, levels in POLICIES.items() for lv, rule in levels.items()]
-    return spark.createDataFrame(rows, "role_name string, sensitivity_level string, masking_rule string")
+    return local_frame(spark, rows, "role_name string, sensitivity_level string, masking_rule string")
 
 
 def roles_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROLES.items()), "role_name string, role_description string")
+    return local_frame(spark, list(ROLES.items()), "role_name string, role_description string")
