@@ -28,13 +28,15 @@ def table_name_of(path: str) -> str:
 def find_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a glob, on any file system Spark can list.
 
-    Only names are listed; no file content is read.
+    A folder named ``x.csv``, as Spark writes it, counts as one file. Only names
+    are listed; no file content is read.
     """
     try:
-        found = spark.read.format("binaryFile").load(pattern).select("path")
-        return sorted(row.path for row in found.collect())
+        found = spark.read.format("binaryFile").load(pattern).select("path").collect()
     except AnalysisException:
         return []
+    folders = {row.path: posixpath.dirname(row.path) for row in found}
+    return sorted({folder if folder.lower().endswith(".csv") else path for path, folder in folders.items()})
 
 
 def ingest_csv(
