@@ -252,10 +252,6 @@ def masked_frame(source: str, columns, rules: dict) -> str:
     ) + f" FROM ({source})"
 
 
-# What the exact scan finds in the derived columns, for the secure reads.
-FOUND = dict(TRUTH, contact="NONE")
-
-
 def secured(role: str, source: str, columns=PII_COLUMNS) -> str:
     """Masks chosen per column by the verdict tables of this engine's own scan."""
     inner = []
@@ -450,15 +446,21 @@ def mixed_sql(s: int) -> str:
 
 
 IDS = "SELECT o_orderkey AS id FROM orders"
-# Exactly the share of valid values is checked, not the places it falls on: the
-# permutation's multiplier needs a gcd search that SQL has no short form for.
+# The largest multiplier up to the bound that has no factor in common with n.
+BOUND = "greatest(1, least(CAST(floor(n * 0.618) AS BIGINT), 4611686018427387904 // n))"
+SPREAD = (f"SELECT n, (SELECT max(m) FROM range(greatest(1, {BOUND} - 1000), {BOUND} + 1) r(m) WHERE gcd(m, n) = 1) "
+          f"AS a FROM (SELECT count(*) AS n FROM orders)")
+
+
+def chosen(pct: int) -> str:
+    return f"((id * a + 42 % n) % n < CAST(floor(n * {pct} / 100) AS BIGINT))"
+
+
 SHARES = {s.column_name: (s.sensitivity_tag, s.match_percentage) for s in suites.SCANNER_SUITE}
 
 
 def oracle() -> dict[str, str]:
     doc_words = ("SELECT lang, source, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS word FROM documents")
-    truth = {c: t for c, t in TRUTH.items()}
-
     def detector(tag):
         return (f"SELECT column_name, count(*) AS n_values, count(*) FILTER (WHERE {strict_match(tag)}) AS n_match "
                 f"FROM ({long_sql(PII, PII_COLUMNS)}) WHERE trim(v, ' ') <> '' GROUP BY column_name")
@@ -566,7 +568,7 @@ def oracle() -> dict[str, str]:
         "c18_semantic_scan": f"SELECT {q(TABLE)} AS table_name, column_name, m_pii AS is_pii, m_tag AS suggested_tag, "
         f"{level('m_tag')} AS sensitivity_level, m_conf AS confidence_score, m_reason AS reason "
         f"FROM ({answers_sql(PII_SCORES)}) WHERE regex_status = 'UNDETERMINED'",
-        "c19_score_with": f"""SELECT 't' AS table_name, s.column_name, hit AS is_pii,
+        "c19_score_with": f"""SELECT {q(TABLE)} AS table_name, s.column_name, hit AS is_pii,
             CASE WHEN hit THEN 'NAME' ELSE 'NONE' END AS suggested_tag, 0.9::DOUBLE AS confidence_score
           FROM ({PII_SCORES}) s JOIN (SELECT column_name, len(list_filter(ms, lambda v: contains(v, 'Nguyễn')
             OR contains(v, 'Trần'))) > 0 AS hit FROM ({sample_lists_sql(60, 5)})) l ON l.column_name = s.column_name
@@ -589,6 +591,16 @@ def oracle() -> dict[str, str]:
         "d11_secure_frame_auditor": keep_type(secured("AUDITOR", PII)),
         "d11_secure_frame_analyst": keep_type(secured("ANALYST", PII)),
         "d11_secure_read": keep_type(secured("ANALYST", PII, ["k", "cccd_clean", "c03", "info", "grp"])),
+        "d12_secure_read_all": " UNION ALL ".join(
+            f"SELECT {q('pii_' + t)} AS table_name, a.column_name, coalesce(n_redacted, 0) AS n_redacted, "
+            f"coalesce(n_starred, 0) AS n_starred, n_rows - coalesce(n_text, 0) AS n_null, n_rows "
+            f"FROM ({values([(i, c) for i, c in enumerate(PII_COLUMNS)])}) a(ordinal, column_name) "
+            f"CROSS JOIN (SELECT count(*) AS n_rows FROM {t}) LEFT JOIN (SELECT column_name, "
+            f"count(*) FILTER (WHERE v = 'REDACTED') AS n_redacted, count(*) FILTER (WHERE contains(v, '*')) "
+            f"AS n_starred, count(*) AS n_text FROM ({long_sql(secured('AUDITOR', pii_sql(t)), PII_COLUMNS)}) "
+            f"GROUP BY column_name) c ON c.column_name = a.column_name"
+            for t in ("customer", "orders")
+        ),
         "d13_access_audit": f"""SELECT 'ANALYST' AS user_role, table_name AS target_table,
             CAST(to_json({{'accessed_columns': list({{'column_name': column_name, 'action': action,
               'sensitivity_level': sensitivity_level, 'is_masked': is_masked}} ORDER BY ordinal),
@@ -632,6 +644,8 @@ def oracle() -> dict[str, str]:
         + f" FROM ({IDS})",
         "f2_gen_noise": "SELECT id, " + ", ".join(f"{noise_sql(n, 42)} AS {n}" for n in G.NOISE_MAKERS)
         + f" FROM ({IDS})",
+        "f3_gen_column": f"SELECT id, CASE WHEN {chosen(70)} THEN {value_sql('PHONE', 42)} ELSE {mixed_sql(92)} END "
+        "AS phone_70, " + ", ".join(f"{chosen(p)} AS valid_{p}" for p in (65, 70, 85)) + f" FROM ({IDS}), ({SPREAD})",
         "f4_gen_table": "SELECT x.column_name, n AS n_values, CASE WHEN share >= 0.7 THEN 'SUCCESS' "
         "ELSE 'UNDETERMINED' END AS regex_status, CASE WHEN share > 0 THEN tag ELSE '' END AS candidates, "
         "CAST(share AS DOUBLE) AS best_score FROM (SELECT c.column_name, c.tag, n, CASE WHEN c.strict THEN "
@@ -653,5 +667,4 @@ def oracle() -> dict[str, str]:
         "CAST(0 AS BIGINT) AS fn, count(*) FILTER (WHERE sensitivity_tag = 'NONE') AS tn, CAST(0 AS BIGINT) AS missing, "
         f"count(*) AS level_hits, count(*) AS n_columns FROM ({sql['f5_gen_domain_tables']}) GROUP BY table_name"
     )
-    assert truth
     return sql

@@ -34,7 +34,7 @@ from maskwright.operators.sampling import (
 from maskwright.operators.scoring import split_by_status
 from maskwright.operators.semantic import semantic_scan
 from maskwright.plans import suites
-from maskwright.plans.scan import column_scores, column_verdicts, scan_table, union_verdicts
+from maskwright.plans.scan import column_scores, column_verdicts, scan_all, table_verdicts
 from maskwright.plans.secure import secure_frame, secure_read, secure_read_all
 from maskwright.sources import ingest
 from maskwright.sources.local import local_frame
@@ -82,8 +82,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/files/{name}"
 
 
-def _text(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _truth_frame(spark: SparkSession, table: str = TABLE) -> DataFrame:
@@ -119,7 +119,7 @@ def a2_ingest_folder(spark, sf):
                    spark.table(fqn), fqn.split(".")[-1])
         for fqn in loaded
     ]
-    return union_verdicts(cells).select("table_name", "column_name", "n_cells")
+    return _union(cells).select("table_name", "column_name", "n_cells")
 
 
 def a3_write_table(spark, sf):
@@ -145,7 +145,7 @@ def a5_list_tables(spark, sf):
         spark.table(resolve_fqn(t, database)).agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(t))
         for t in list_tables(spark, database)
     ]
-    return union_verdicts(frames)
+    return _union(frames)
 
 
 def _priced(orders: DataFrame, price) -> DataFrame:
@@ -405,8 +405,7 @@ def c16_scan_table_exact(spark, sf):
 
 def c17_scan_all(spark, sf):
     """Exact verdicts of every column of every given table."""
-    frames = [column_verdicts(load(spark, sf, t), t, sample_size=None) for t in SCANNED]
-    return union_verdicts(frames).drop("ordinal")
+    return table_verdicts({t: load(spark, sf, t) for t in SCANNED}, sample_size=None).drop("ordinal")
 
 
 def c18_semantic_scan(spark, sf):
@@ -518,8 +517,7 @@ def _scanned_store(spark, sf, suffix):
     for table in ("orders", "customer"):
         write_table(pii_view(spark, sf, table), f"{database}.pii_{table}")
     store = MetadataStore(spark, database + "_meta").create()
-    for table in ("orders", "customer"):
-        scan_table(store, f"pii_{table}", database, sample_size=None)
+    scan_all(store, database, sample_size=None)
     return store, database
 
 
@@ -540,7 +538,7 @@ def d12_secure_read_all(spark, sf):
             F.count("*").alias("n_rows"),
         )
         frames.append(with_names(cells, frame, name))
-    return union_verdicts(frames).drop("ordinal")
+    return _union(frames).drop("ordinal")
 
 
 def d13_access_audit(spark, sf):
@@ -579,7 +577,7 @@ def _all_roles(spark, sf, report):
             pii_view(spark, sf), {c: V.POLICIES[role][V.TAGS[t][0]] for c, t in TRUTH.items()}
         )
         parts.append(report(secure, FULL, role).withColumn("role_name", F.lit(role)))
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts)
 
 
 def e4_masking_compliance(spark, sf):
@@ -698,11 +696,8 @@ def f4_gen_table(spark, sf):
 def f5_gen_domain_tables(spark, sf):
     ids = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     n = ids.count()
-    frames = [
-        column_verdicts(G.gen_columns(ids, specs, n), name, sample_size=None)
-        for name, specs in suites.DOMAIN_TABLES.items()
-    ]
-    return union_verdicts(frames).select("table_name", "column_name", "sensitivity_tag", "sensitivity_level")
+    frames = {name: G.gen_columns(ids, specs, n) for name, specs in suites.DOMAIN_TABLES.items()}
+    return table_verdicts(frames, sample_size=None).select("table_name", "column_name", "sensitivity_tag", "sensitivity_level")
 
 
 def f6_slugify(spark, sf):
@@ -712,16 +707,13 @@ def f6_slugify(spark, sf):
 
 def f7_emit_truth(spark, sf):
     """Truth of the domain tables, written and read back, joined with their data."""
-    parts = []
     ids = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     n = ids.count()
     for name, specs in suites.DOMAIN_TABLES.items():
-        path = _scratch(spark, f"f7/{name}")
-        G.emit_truth(spark, name + ".csv", specs, n, path)
-        truth = ingest.read_ground_truth(spark, path)
-        found = column_verdicts(G.gen_columns(ids, specs, n), name, sample_size=None)
-        parts.append(E.confusion(truth, found))
-    return reduce(DataFrame.unionByName, parts)
+        G.emit_truth(spark, name + ".csv", specs, n, _scratch(spark, f"f7/{name}"))
+    truth = ingest.read_ground_truth(spark, _scratch(spark, "f7/*"))
+    frames = {name: G.gen_columns(ids, specs, n) for name, specs in suites.DOMAIN_TABLES.items()}
+    return E.confusion(truth, table_verdicts(frames, sample_size=None))
 
 
 QUERIES = {

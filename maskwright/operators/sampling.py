@@ -75,10 +75,16 @@ def to_long(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return texts.unpivot([column_ref(k) for k in keep], [column_ref(i) for i in ordinals], "ordinal", "value")
 
 
+def all_columns(frames: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, ordinal, column_name): one row per schema column."""
+    rows = [(table, i, c) for table, df in frames.items() for i, c in enumerate(list_columns(df))]
+    spark = next(iter(frames.values())).sparkSession
+    return local_frame(spark, rows, "table_name string, ordinal int, column_name string")
+
+
 def columns_frame(df: DataFrame, table: str) -> DataFrame:
-    """(table_name, ordinal, column_name) of a frame: one row per schema column."""
-    rows = [(table, i, c) for i, c in enumerate(list_columns(df))]
-    return local_frame(df.sparkSession, rows, "table_name string, ordinal int, column_name string")
+    """:func:`all_columns` of one table."""
+    return all_columns({table: df})
 
 
 def with_names(by_ordinal: DataFrame, df: DataFrame, table: str, how: str = "left") -> DataFrame:

@@ -7,12 +7,14 @@ column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
 from maskwright.functions.matching import value_tag
-from maskwright.operators.sampling import non_blank, to_long, with_names
+from maskwright.operators.sampling import all_columns, non_blank, to_long
 
 COUNTED_TAGS = V.STRICT_TAGS + V.SEMANTIC_TAGS
 
@@ -32,16 +34,27 @@ def tag_counts(long: DataFrame) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, table: str, long: DataFrame | None = None) -> DataFrame:
-    """Tag counts of every column of ``df``: exact, or of the values in ``long``.
+def profile_tables(frames: dict[str, DataFrame], values: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Tag counts of every column of every table, as one plan.
 
-    Columns without any non-blank value are kept with zero counts.
+    Exact, or of the (ordinal, value) rows in ``values``. Each table is reduced
+    to one row per column next to its own scan; only those rows are brought
+    together. Columns without any non-blank value are kept with zero counts.
     """
-    counts = tag_counts(to_long(df) if long is None else long)
-    numbers = [c for c in counts.columns if c != "ordinal"]
-    return with_names(counts, df, table).select(
-        "table_name", "ordinal", "column_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers]
-    )
+    values = values or {}
+    counts = reduce(DataFrame.unionByName, [
+        tag_counts(values[table] if table in values else to_long(df)).withColumn("table_name", F.lit(table))
+        for table, df in frames.items()
+    ])
+    numbers = [c for c in counts.columns if c not in ("table_name", "ordinal")]
+    return all_columns(frames).join(
+        counts.withColumn("ordinal", F.col("ordinal").cast("int")), ["table_name", "ordinal"], "left"
+    ).select("table_name", "ordinal", "column_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
+
+
+def profile(df: DataFrame, table: str) -> DataFrame:
+    """Exact tag counts of every column of one table."""
+    return profile_tables({table: df})
 
 
 def share(tag: str) -> Column:

@@ -11,37 +11,52 @@ from maskwright import vocab as V
 from maskwright.operators.arbitration import arbitrate, with_answers
 from maskwright.operators.exchange import build_requests, decode_responses, score_with
 from maskwright.operators.sampling import DEFAULT_SEED, column_sample_lists, sampled_values
-from maskwright.operators.scoring import profile, regex_verdict, tag_scores
+from maskwright.operators.scoring import profile_tables, regex_verdict, tag_scores
 from maskwright.operators.semantic import semantic_answer
 from maskwright.sources.store import MetadataStore, cut_lineage
 from maskwright.sources.tables import list_tables, read_table, resolve_fqn
 
 
-def column_scores(
-    df: DataFrame,
-    table: str,
+def score_tables(
+    frames: dict[str, DataFrame],
     sample_size: int | None = V.DEFAULT_SAMPLE_SIZE,
     threshold: float = V.DEFAULT_THRESHOLD,
-    key: list[str] | None = None,
+    keys: dict[str, list[str]] | None = None,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """Format verdict of every column, from a sample or (``None``) all values."""
-    values = None if sample_size is None else sampled_values(df, sample_size, key, seed)
-    return regex_verdict(tag_scores(profile(df, table, values)), threshold)
+    """Format verdict of every column, from a sample or (``None``) all values.
+
+    ``keys`` names the columns that identify a row of a table; with them the
+    sample depends on the data alone.
+    """
+    keys = keys or {}
+    values = None
+    if sample_size is not None:
+        values = {t: sampled_values(df, sample_size, keys.get(t), seed) for t, df in frames.items()}
+    return regex_verdict(tag_scores(profile_tables(frames, values)), threshold)
 
 
-def column_verdicts(df: DataFrame, table: str, **options) -> DataFrame:
+def column_scores(df: DataFrame, table: str, key: list[str] | None = None, **options) -> DataFrame:
+    """:func:`score_tables` for one table."""
+    return score_tables({table: df}, keys={table: key} if key else None, **options)
+
+
+def table_verdicts(frames: dict[str, DataFrame], **options) -> DataFrame:
     """Final verdict of every column with the built-in second scanner.
 
-    One aggregation feeds both scanners, so nothing is read twice and the
-    verdicts need no join between them.
+    One aggregation per table feeds both scanners, so nothing is read twice and
+    the verdicts need no join between them.
     """
-    return arbitrate(semantic_answer(column_scores(df, table, **options)))
+    return arbitrate(semantic_answer(score_tables(frames, **options)))
+
+
+def column_verdicts(df: DataFrame, table: str, key: list[str] | None = None, **options) -> DataFrame:
+    """:func:`table_verdicts` for one table."""
+    return table_verdicts({table: df}, keys={table: key} if key else None, **options)
 
 
 def scorer_verdicts(
-    df: DataFrame,
-    table: str,
+    frames: dict[str, DataFrame],
     scorer: Callable[[str], str],
     model_sample_size: int = V.DEFAULT_MODEL_SAMPLE_SIZE,
     max_retries: int = 3,
@@ -54,12 +69,15 @@ def scorer_verdicts(
     no retry of a task asks the scorer again.
     """
     size = options.get("sample_size") or V.DEFAULT_SAMPLE_SIZE
-    scored = cut_lineage(column_scores(df, table, **options))
-    samples = column_sample_lists(
-        df, table, size, model_sample_size, options.get("key"), options.get("seed", DEFAULT_SEED)
-    ).select("ordinal", "model_sample")
-    replies = score_with(build_requests(scored.join(samples, "ordinal")), scorer, max_retries)
-    return arbitrate(with_answers(scored, decode_responses(cut_lineage(replies))))
+    seed, keys = options.get("seed", DEFAULT_SEED), options.get("keys") or {}
+    scored = cut_lineage(score_tables(frames, **options))
+    samples = reduce(DataFrame.unionByName, [
+        column_sample_lists(df, table, size, model_sample_size, keys.get(table), seed)
+        for table, df in frames.items()
+    ]).select("table_name", "ordinal", "model_sample")
+    requests = build_requests(scored.join(samples, ["table_name", "ordinal"]))
+    replies = cut_lineage(score_with(requests, scorer, max_retries))
+    return arbitrate(with_answers(scored, decode_responses(replies)))
 
 
 def save_verdicts(store: MetadataStore, verdicts: DataFrame) -> DataFrame:
@@ -89,14 +107,8 @@ def scan_table(
     _register(spark, store, database, catalog)
     name = table.strip().lower()
     store.table_id(name)
-    df = read_table(spark, resolve_fqn(name, database, catalog))
-    if scorer is None:
-        return save_verdicts(store, column_verdicts(df, name, **options))
-    return save_verdicts(store, scorer_verdicts(df, name, scorer, **options))
-
-
-def union_verdicts(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    frames = {name: read_table(spark, resolve_fqn(name, database, catalog))}
+    return save_verdicts(store, _scan(frames, scorer, options))
 
 
 def scan_all(
@@ -114,9 +126,12 @@ def scan_all(
     """
     spark = store.spark
     names = _register(spark, store, database, catalog)
-    verdicts = column_verdicts if scorer is None else (lambda df, n, **o: scorer_verdicts(df, n, scorer, **o))
     for start in range(0, len(names), tables_per_job):
         group = names[start:start + tables_per_job]
-        frames = [verdicts(read_table(spark, resolve_fqn(n, database, catalog)), n, **options) for n in group]
-        save_verdicts(store, union_verdicts(frames))
+        frames = {n: read_table(spark, resolve_fqn(n, database, catalog)) for n in group}
+        save_verdicts(store, _scan(frames, scorer, options))
     return names
+
+
+def _scan(frames: dict[str, DataFrame], scorer: Callable[[str], str] | None, options: dict) -> DataFrame:
+    return table_verdicts(frames, **options) if scorer is None else scorer_verdicts(frames, scorer, **options)
