@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from maskwright import vocab as V
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column_ref(name: str) -> Column:
     """Reference to a top-level column, whatever characters its name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def hash_mask(value: Column) -> Column:

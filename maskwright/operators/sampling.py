@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
-from maskwright.functions.masking import column_ref
+from maskwright.functions.masking import column_ref, quoted
 from maskwright.functions.matching import is_email, is_health_insurance_id, is_phone, is_resident_id
 from maskwright.sources.local import local_frame
 
@@ -68,11 +68,11 @@ def to_long(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
     columns = [c for c in list_columns(df) if c not in keep]
     ordinals = [str(i) for i in range(len(columns))]
-    texts = df.select(
-        *[column_ref(k) for k in keep],
-        *[column_ref(c).cast("string").alias(i) for c, i in zip(columns, ordinals)],
+    texts = df.selectExpr(
+        *[quoted(k) for k in keep],
+        *[f"CAST({quoted(c)} AS STRING) AS `{i}`" for c, i in zip(columns, ordinals)],
     )
-    return texts.unpivot([column_ref(k) for k in keep], [column_ref(i) for i in ordinals], "ordinal", "value")
+    return texts.unpivot(keep, ordinals, "ordinal", "value")
 
 
 def all_columns(frames: dict[str, DataFrame]) -> DataFrame:

@@ -18,8 +18,6 @@ from maskwright.operators.sampling import all_columns, non_blank, to_long
 
 COUNTED_TAGS = V.STRICT_TAGS + V.SEMANTIC_TAGS
 
-_SCORED = "array<struct<tag:string,score:double>>"
-
 
 def count_column(tag: str) -> str:
     return f"n_{tag.lower()}"
@@ -30,7 +28,7 @@ def tag_counts(long: DataFrame) -> DataFrame:
     tagged = non_blank(long).select("ordinal", value_tag(F.col("value")).alias("tag"))
     return tagged.groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("n_values"),
-        *[F.count_if(F.col("tag") == t).alias(count_column(t)) for t in COUNTED_TAGS],
+        *[F.expr(f"count_if(tag = '{t}') AS {count_column(t)}") for t in COUNTED_TAGS],
     )
 
 
@@ -49,7 +47,7 @@ def profile_tables(frames: dict[str, DataFrame], values: dict[str, DataFrame] |
     numbers = [c for c in counts.columns if c not in ("table_name", "ordinal")]
     return all_columns(frames).join(
         counts.withColumn("ordinal", F.col("ordinal").cast("int")), ["table_name", "ordinal"], "left"
-    ).select("table_name", "ordinal", "column_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
+    ).select("table_name", "ordinal", "column_name", *[F.expr(f"coalesce({c}, 0) AS {c}") for c in numbers])
 
 
 def profile(df: DataFrame, table: str) -> DataFrame:
@@ -57,15 +55,15 @@ def profile(df: DataFrame, table: str) -> DataFrame:
     return profile_tables({table: df})
 
 
-def share(tag: str) -> Column:
-    """Share of a column's values that carry ``tag``; 0 for an empty column."""
-    return F.when(F.col("n_values") > 0, F.col(count_column(tag)) / F.col("n_values")).otherwise(0.0)
+def share(tag: str) -> str:
+    """SQL text: share of a column's values with ``tag``; 0 for an empty column."""
+    return f"if(n_values > 0, {count_column(tag)} / n_values, 0D)"
 
 
 def detected_tags() -> Column:
     """Strict tags with a score above zero, in detection order."""
-    scored = F.array(*[F.struct(F.lit(t).alias("tag"), share(t).alias("score")) for t in V.STRICT_TAGS])
-    return F.filter(scored, lambda s: s["score"] > 0).cast(_SCORED)
+    scored = ", ".join(f"named_struct('tag', '{t}', 'score', {share(t)})" for t in V.STRICT_TAGS)
+    return F.expr(f"filter(array({scored}), s -> s.score > 0)")
 
 
 def tag_scores(counts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ with the evaluation operators, not assumed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
@@ -18,25 +18,25 @@ from maskwright.operators.scoring import COUNTED_TAGS, share
 ANSWER_COLUMNS = ("model_is_pii", "model_tag", "model_level", "model_confidence", "model_reason")
 
 
-def tag_confidence(tag: str) -> Column:
-    """Confidence that the column carries ``tag``; 0 below the majority gate."""
+def tag_confidence(tag: str) -> str:
+    """SQL text: confidence that the column carries ``tag``; 0 below the majority.
+
+    The base value says how far the format speaks for itself; a column name that
+    fits adds a fixed bonus.
+    """
     base = V.SEMANTIC_BASE[tag]
-    cue = F.when(F.lower("column_name").rlike(V.name_cue_pattern(tag)), V.CUE_BONUS).otherwise(0.0)
-    value = F.least(F.lit(1.0), F.lit(base) + F.lit(1.0 - base) * share(tag) + cue)
-    return F.when(share(tag) >= V.MAJORITY_SHARE, F.round(value, 6)).otherwise(0.0)
+    cue = f"if(lower(column_name) RLIKE r'{V.name_cue_pattern(tag)}', {V.CUE_BONUS}D, 0D)"
+    value = f"least(1D, {base}D + {1.0 - base}D * {share(tag)} + {cue})"
+    return f"if({share(tag)} >= {V.MAJORITY_SHARE}, round({value}, 6), 0D)"
 
 
 def semantic_answer(scored: DataFrame) -> DataFrame:
     """Add the answer columns; null where the format verdict is SUCCESS."""
-    best = F.array_max(F.array(*[
-        F.struct(
-            tag_confidence(t).alias("confidence"),
-            F.lit(V.TAGS[t][1]).alias("weight"),
-            F.lit(t).alias("tag"),
-            share(t).alias("share"),
-        )
+    candidates = ", ".join(
+        f"named_struct('confidence', {tag_confidence(t)}, 'weight', {V.TAGS[t][1]}, 'tag', '{t}', 'share', {share(t)})"
         for t in COUNTED_TAGS
-    ]))
+    )
+    best = F.expr(f"array_max(array({candidates}))")
     is_pii = F.col("_best.confidence") > V.CONFIDENCE_GATE
     tag = F.when(is_pii, F.col("_best.tag")).otherwise(V.NONE_TAG)
     none_confidence = F.round(F.lit(1.0) - F.col("_best.confidence"), 6)

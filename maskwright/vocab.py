@@ -186,8 +186,8 @@ def name_cue_pattern(tag: str) -> str:
 
 
 def _lookup(tag: Column, position: int, default) -> Column:
-    pairs = [F.lit(x) for name, row in TAGS.items() for x in (name, row[position])]
-    return F.coalesce(F.create_map(*pairs)[tag], F.lit(default))
+    pairs = ", ".join(f"'{name}', {row[position]!r}" for name, row in TAGS.items())
+    return F.coalesce(F.expr(f"map({pairs})")[tag], F.lit(default))
 
 
 def level_of(tag: Column) -> Column:
