@@ -21,6 +21,7 @@ from maskwright import vocab as V  # noqa: E402
 from maskwright.operators.policy import resolve_policies  # noqa: E402
 from maskwright.plans.scan import scan_table  # noqa: E402
 from maskwright.plans.secure import secure_read  # noqa: E402
+from maskwright.session import tune  # noqa: E402
 from maskwright.sources.store import MetadataStore  # noqa: E402
 from maskwright.sources.tables import write_table  # noqa: E402
 
@@ -96,6 +97,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     times = {}
     for name in HEADLINE:
         runs = [timed(lambda: drain(QUERIES[name](spark, sf_dir))) for _ in range(2)]

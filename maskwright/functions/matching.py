@@ -56,11 +56,11 @@ def match_tags(value: Column) -> Column:
     return F.array(F.coalesce(strict_tag(value.cast("string")), F.lit(V.NONE_TAG)))
 
 
-def semantic_tag(value: Column) -> Column:
-    """The tag a value carries by meaning (DOB, SALARY, ADDRESS, NAME), or null.
+def _text_tag(value: Column) -> Column:
+    """ADDRESS or NAME; both need a space.
 
-    A value gets one tag at most. Places come before persons, because several
-    provinces open with a word that is also a family name.
+    Places come before persons, because several provinces open with a word that
+    is also a family name.
     """
     size = F.octet_length(value)
     address = (
@@ -68,14 +68,35 @@ def semantic_tag(value: Column) -> Column:
         & value.rlike(V.ADDRESS_PATTERN)
         & ~value.rlike(V.ORGANISATION_PATTERN)
     )
+    return F.when(
+        value.contains(" "),
+        F.when(address, F.lit("ADDRESS")).when(
+            (size <= V.MAX_NAME_BYTES) & value.rlike(V.NAME_PATTERN), F.lit("NAME")
+        ),
+    )
+
+
+def _numeric_tag(value: Column) -> Column:
+    """Tag of a value known to have one of the numeric formats."""
+    dated = value.contains("-") | value.contains("/") | value.contains(".")
     return (
-        F.when(value.rlike(V.DOB_PATTERN), F.lit("DOB"))
-        .when(value.rlike(V.SALARY_PATTERN), F.lit("SALARY"))
-        .when(address, F.lit("ADDRESS"))
-        .when((size <= V.MAX_NAME_BYTES) & value.rlike(V.NAME_PATTERN), F.lit("NAME"))
+        F.when(dated, F.lit("DOB"))
+        .when(value.rlike("[A-Z]"), F.lit("HEALTH_INSURANCE_ID"))
+        .when(value.rlike(r"\p{Nd}{12}"), F.lit("RESIDENT_ID"))
+        .when(value.rlike(r"\p{Nd}{10}"), F.lit("PHONE"))
+        .otherwise(F.lit("SALARY"))
     )
 
 
 def value_tag(value: Column) -> Column:
-    """Strict tag if there is one, else the semantic tag, else null."""
-    return F.coalesce(strict_tag(value), semantic_tag(value))
+    """The one tag a value carries, by format or by meaning, or null.
+
+    Built for whole-table profiles: one regular expression rejects whatever has
+    none of the numeric formats, and short or unspaced values see no other.
+    """
+    return (
+        F.when(is_email(value), F.lit("EMAIL"))
+        .when((F.octet_length(value) < V.SHORTEST_NUMERIC) & ~value.contains(" "), F.lit(None).cast("string"))
+        .when(value.rlike(V.NUMERIC_PATTERN), _numeric_tag(value))
+        .otherwise(_text_tag(value))
+    )

@@ -45,7 +45,7 @@ def reason_suffix(detected: Column) -> Column:
 
 def unfence(raw: Column) -> Column:
     """Trim a reply and drop the Markdown fence lines around its JSON."""
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    text = F.btrim(raw, F.lit(" \t\r\n\f\v"))
     opened = F.regexp_replace(text, r"^```[^\n]*(\n|$)", "")
     closed = F.regexp_replace(opened, r"(^|\n)[^\S\n]*```$", "")
     return F.trim(F.when(text.startswith("```"), closed).otherwise(text))

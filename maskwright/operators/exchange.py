@@ -97,7 +97,10 @@ def _parsed(raw: DataFrame) -> DataFrame:
         & c["reason"].isNotNull(),
     )
     valid = F.col("reply.columns").isNotNull() & F.col("reply.table_name").isNotNull() & complete
-    return raw.withColumn("reply", reply).withColumn("is_valid", F.coalesce(valid, F.lit(False)))
+    # Exploding a one-element array keeps the parse in one place; as a plain
+    # column it would be repeated in every expression that reads it.
+    once = raw.select("*", F.explode(F.array(reply)).alias("reply"))
+    return once.withColumn("is_valid", F.coalesce(valid, F.lit(False)))
 
 
 def score_with(requests: DataFrame, fn: Callable[[str], str], max_retries: int = 3) -> DataFrame:

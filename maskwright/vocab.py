@@ -151,8 +151,16 @@ _MONTH = r"(?:0?[1-9]|1[0-2])"
 _DAY = r"(?:0?[1-9]|[12]\p{Nd}|3[01])"
 _WORD = r"\p{Lu}[\p{L}\p{M}]*"
 
-DOB_PATTERN = whole_value(rf"{_YEAR}[-/.]{_MONTH}[-/.]{_DAY}|{_DAY}[-/.]{_MONTH}[-/.]{_YEAR}")
-SALARY_PATTERN = whole_value(r"[1-9]\p{Nd}{3,4}000")
+_DATE = rf"{_YEAR}[-/.]{_MONTH}[-/.]{_DAY}|{_DAY}[-/.]{_MONTH}[-/.]{_YEAR}"
+_PAY = r"[1-9]\p{Nd}{3,4}000"
+
+DOB_PATTERN = whole_value(_DATE)
+SALARY_PATTERN = whole_value(_PAY)
+# Any of the formats that are made of digits, with or without a letter prefix.
+NUMERIC_PATTERN = whole_value(
+    "|".join([*(p for t, p in STRICT_PATTERNS.items() if t != "EMAIL"), _DATE, _PAY])
+)
+SHORTEST_NUMERIC = 7
 NAME_PATTERN = whole_value(rf"(?:{_words(FAMILY_NAMES)})(?: {_WORD}){{1,3}}")
 ADDRESS_PATTERN = (
     rf"(?:^|[ ,])(?:{_words(ADDRESS_UNITS)})(?:[ ,.]|\z)"
