@@ -47,6 +47,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _schema_text(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     """Set one session option for a block; inserts take it from nowhere else."""
@@ -122,10 +126,10 @@ class MetadataStore:
         return row.table_id
 
     def _replace_partitions(self, content: DataFrame) -> None:
-        safe = cut_lineage(content)
+        """Overwrite the partitions in ``content``, which must not read the table."""
         columns = self.spark.table(self.name("columns_metadata")).columns
         with _setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
-            safe.select(*columns).write.insertInto(self.name("columns_metadata"), overwrite=True)
+            content.select(*columns).write.insertInto(self.name("columns_metadata"), overwrite=True)
 
     def upsert_columns(self, verdicts: DataFrame) -> None:
         """Replace or add the verdicts of the scanned columns.
@@ -140,7 +144,7 @@ class MetadataStore:
         )
         touched = [r.table_id for r in new.select("table_id").distinct().collect()]
         target = self.read("columns_metadata").filter(F.col("table_id").isin(touched))
-        self._replace_partitions(upsert(target, new, _COLUMN_KEYS))
+        self._replace_partitions(cut_lineage(upsert(target, new, _COLUMN_KEYS)))
 
     def append_scan_audit(self, verdicts: DataFrame) -> None:
         self._append("governance_audit_logs", verdicts.select(
@@ -164,11 +168,14 @@ class MetadataStore:
         """Set the level of one column; the next secure read sees it."""
         if level not in V.LEVELS:
             raise ValueError(f"Unknown level: {level}")
-        rows = self.columns_of(table)
         hit = F.col("column_name") == column
-        self._replace_partitions(update_where(
-            rows, hit, {"sensitivity_level": F.lit(level), "updated_at": F.current_timestamp()}
-        ))
+        changed = update_where(
+            self.columns_of(table), hit, {"sensitivity_level": F.lit(level), "updated_at": F.current_timestamp()}
+        ).withColumn("updated_at", F.unix_micros("updated_at"))
+        # One table's rows are bounded by its schema width; holding them here
+        # frees the new content from the files it replaces.
+        kept = local_frame(self.spark, [tuple(r) for r in changed.collect()], _schema_text(changed))
+        self._replace_partitions(kept.withColumn("updated_at", F.timestamp_micros("updated_at")))
 
 
 def fetch_verdicts(columns_metadata: DataFrame, tables_metadata: DataFrame, table: str) -> DataFrame:
