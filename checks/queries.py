@@ -39,7 +39,7 @@ from maskwright.plans.secure import secure_frame, secure_read, secure_read_all
 from maskwright.sources import ingest
 from maskwright.sources.local import local_frame
 from maskwright.sources.store import MetadataStore, ensure_checkpoint_dir, fetch_verdicts
-from maskwright.sources.tables import list_tables, read_table, resolve_fqn, write_table
+from maskwright.sources.tables import list_tables, read_table, resolve_fqn, spread, write_table
 
 KEY = ["k"]
 TABLE = "pii_orders"
@@ -94,11 +94,11 @@ def _truth_frame(spark: SparkSession, table: str = TABLE) -> DataFrame:
 
 
 def _scores(spark, sf, size=None, table="orders"):
-    return column_scores(pii_view(spark, sf, table), TABLE, sample_size=size, key=KEY)
+    return column_scores(pii_view(spark, sf, table, dealt=size is None), TABLE, sample_size=size, key=KEY)
 
 
 def _verdicts(spark, sf, size=None, table="orders"):
-    return column_verdicts(pii_view(spark, sf, table), TABLE, sample_size=size, key=KEY)
+    return column_verdicts(pii_view(spark, sf, table, dealt=size is None), TABLE, sample_size=size, key=KEY)
 
 
 # --- A. Sources, sinks, catalog ------------------------------------------------
@@ -405,7 +405,7 @@ def c16_scan_table_exact(spark, sf):
 
 def c17_scan_all(spark, sf):
     """Exact verdicts of every column of every given table."""
-    return table_verdicts({t: load(spark, sf, t) for t in SCANNED}, sample_size=None).drop("ordinal")
+    return table_verdicts({t: spread(load(spark, sf, t)) for t in SCANNED}, sample_size=None).drop("ordinal")
 
 
 def c18_semantic_scan(spark, sf):
@@ -683,7 +683,7 @@ def f3_gen_column(spark, sf):
 
 def f4_gen_table(spark, sf):
     """The scanner suite made from order keys, scored; shares must come out exact."""
-    ids = _ids(spark, sf)
+    ids = spread(_ids(spark, sf))
     table = G.gen_columns(ids, suites.SCANNER_SUITE, ids.count())
     scores = column_scores(table, "test_suite", sample_size=None)
     best = F.coalesce(F.array_max(F.map_values("raw_scores")), F.lit(0.0))
