@@ -412,25 +412,26 @@ def c18_semantic_scan(spark, sf):
     return semantic_scan(_scores(spark, sf))
 
 
-def answer_by_prompt(prompt: str) -> str:
-    """A stand-in scorer: calls a column a name if its samples say so."""
-    listed = json.loads(prompt.split("answer these and no others:\n")[1].split("\n\nTags:")[0])
-    columns = [
-        {
-            "column_name": c["column_name"],
-            "is_pii": any("Nguyễn" in v or "Trần" in v for v in c["sample_data"]),
-            "suggested_tag": "NAME" if any("Nguyễn" in v or "Trần" in v for v in c["sample_data"]) else "NONE",
-            "sensitivity_level": "MEDIUM" if any("Nguyễn" in v for v in c["sample_data"]) else "NONE",
-            "confidence_score": 0.9,
-            "reason": "samples",
-        }
-        for c in listed
-    ]
-    return "```json\n" + json.dumps({"table_name": "t", "columns": columns}) + "\n```"
-
-
 def c19_score_with(spark, sf):
-    replies = decode_responses(score_with(_requests(spark, sf), answer_by_prompt))
+    """A stand-in scorer calls a column a name if its samples say so."""
+
+    # Defined here, so that it is shipped to the tasks by value.
+    def answer(prompt: str) -> str:
+        listed = json.loads(prompt.split("answer these and no others:\n")[1].split("\n\nTags:")[0])
+        columns = []
+        for column in listed:
+            named = any("Nguyễn" in v or "Trần" in v for v in column["sample_data"])
+            columns.append({
+                "column_name": column["column_name"],
+                "is_pii": named,
+                "suggested_tag": "NAME" if named else "NONE",
+                "sensitivity_level": "MEDIUM" if named else "NONE",
+                "confidence_score": 0.9,
+                "reason": "samples",
+            })
+        return "```json\n" + json.dumps({"table_name": "t", "columns": columns}) + "\n```"
+
+    replies = decode_responses(score_with(_requests(spark, sf), answer))
     return replies.select("table_name", "column_name", "is_pii", "suggested_tag", "confidence_score")
 
 
