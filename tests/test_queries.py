@@ -7,6 +7,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import TABLES, rows_of
+from checks.oracle import oracle
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("a8_upsert", "b2_column_values", "c3_email_tokens", "c12_decode_response", "c13_arbitrate",
@@ -33,7 +35,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(oracle())
 
 
 def test_entry(spark):
