@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,13 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, nothing is computed twice.
 
-    The files go when the session's JVM ends."""
+    The files go when the session's JVM ends. Shuffle files of the step go when the JVM finds that nothing refers to
+    them any more; asking for that here keeps the disk to what one step needs."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm, hadoop = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(hadoop).deleteOnExit(where)
+    gc.collect()
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +70,27 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     return joined.withColumn(out, total.cast("long")).drop("_before", *right.columns[1:])
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the undirected edges (a, b): root is the least node it is connected with.
+
+    Alternates two steps until nothing changes: each node ties its larger neighbours to the least one, then its
+    smaller ones. Every round is a written table; the number of rounds grows with the logarithm of a component."""
+    edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged(large.distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        state = now
+
+
 # Words as arrays. Space bytes weigh nothing, so a sum over a word and the space behind it is the word's own.
 
 _SPACE = np.zeros(256, bool)
@@ -187,3 +213,11 @@ def windows(values: np.ndarray, text: np.ndarray, width: int, salt: int = 0) ->
 def _joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
     n = min(len(left), len(right) - shift)
     return mixed(left[:n] * np.uint64(0x2545F4914F6CDD1D) + right[shift : shift + n] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(shift))
+
+
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X <= k) of a binomial, summed exactly in logarithms."""
+    i = np.arange(k + 1)
+    logs = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i]
+    terms = np.array(logs) + i * math.log(p) + (n - i) * math.log1p(-p)
+    return float(np.exp(terms - terms.max()).sum() * math.exp(terms.max()))

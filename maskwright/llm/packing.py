@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,18 +18,22 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 #: Words that a Python worker remembers; beyond, it starts to remember anew.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 500_000
+_CALL = 2000
 
 
 class _Encoder(dict):
     """Token ids by white-space separated word. The tokenizer drops white space and never joins over it, so a
-    text's ids are those of its words, and a word is encoded once."""
+    text's ids are those of its words, and a word is encoded once.
+
+    New words go to the tokenizer many to a call, parted by bars: a bar between spaces is a token of its own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.waiting: list[bytes] = []
         self.sizes, self.begins, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -38,14 +43,24 @@ class _Encoder(dict):
         return number
 
     def learn(self) -> None:
-        if self.waiting:
-            found = self.tokenizer.encode_batch([w.decode() for w in self.waiting], add_special_tokens=False)
-            new = [x.ids for x in found]
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in new for i in ids), np.uint32, int(sizes.sum()))])
-            self.waiting = []
+        """Encode the waiting words, and lay their ids behind those that are known."""
+        ids, sizes, at = [self.ids], [self.sizes], 0
+        while at < len(self.waiting):
+            to = at
+            while to < len(self.waiting) and to - at < _CALL and b"|" not in self.waiting[to]:
+                to += 1
+            to = max(to, at + 1)
+            text = b" | ".join(self.waiting[at:to]).decode()
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            bars = np.flatnonzero(found == self.bar) if to - at > 1 else np.zeros(0, np.int64)
+            sizes.append(np.diff(np.concatenate([[-1], bars, [len(found)]])) - 1)
+            ids.append(np.delete(found, bars))
+            if len(sizes[-1]) != to - at:
+                raise ValueError("the tokenizer joins over white space")
+            at = to
+        self.waiting = []
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def forget(self) -> None:
         if len(self) > _REMEMBERED:
@@ -77,7 +92,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> Dat
     Returns doc_id, start, length, ids_crc32, doc_tokens and ``_row``, a number for each piece."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, _Encoder(tokenizer))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core to a task
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = _Encoder(tokenizer)
+        encoder = _encoders[tokenizer]
         number = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text"):
             texts = [(x or "").encode() for x in part.column("text").to_pylist()]

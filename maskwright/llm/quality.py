@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, slices, staged, windows
+from maskwright.llm.common import Words, binomial_tail, slices, staged, windows
 
 #: The rules: a value from 0 up for each document, large where it looks bad. A cutoff is a step of 1/32.
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "marks", "long_words", "short_words", "brevity")
@@ -103,14 +102,6 @@ def rule_steps() -> dict[str, Column]:
     return {k: F.ceil(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)) * STEPS).cast("int") for k, v in values.items()}
 
 
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial, summed exactly in logarithms."""
-    i = np.arange(k + 1)
-    logs = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i]
-    terms = np.array(logs) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return float(np.exp(terms - terms.max()).sum() * math.exp(terms.max()))
-
-
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, doubt: float, cost: float = 5.0) -> int | None:
     """The cutoff c whose rule "step > c" pays best among those certified, or None.
 

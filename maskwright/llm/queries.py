@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import mixing, packing, quality
+from maskwright.llm import lines, mixing, packing, quality, similarity, substrings
 from maskwright.llm.common import documents
 
 
@@ -20,12 +21,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir), labels)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.with_lines_removed(documents(spark, sf_dir), ["doc_id", "text"])
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.document_classes(documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op3_quality_rules, op9_packing)
+    f.__name__: f for f in (
+        op1_source_mixing, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op7_substring_dedup, op9_packing)
 }
 
 ORACLE: dict[str, str] = {}
@@ -57,3 +72,20 @@ SELECT doc_id, size, source_size, target,
    + greatest(0, least(words, source_size + start + size) - (source_size + start)))::BIGINT AS taken
 FROM laid
 """
+
+ORACLE["op7_substring_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+starts AS (SELECT r, d, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE len(words) >= 50),
+windows AS (SELECT r, d, i, md5(array_to_string(words[i:i+49], ' ')) AS w FROM starts),
+firsts AS (SELECT w, min(d) AS first FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT r, i FROM windows JOIN firsts USING (w) WHERE first < d),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM hits),
+marked AS (SELECT r, list(j) AS js FROM gone GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN words ELSE
+    list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), x -> NOT list_contains(js, x[2])), x -> x[1]) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN marked USING (r)
+"""
