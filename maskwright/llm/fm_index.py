@@ -105,7 +105,8 @@ def earlier_matches(index: Index, text: np.ndarray, begin: np.ndarray, end: np.n
 
     def report(q: np.ndarray) -> None:
         q = q[right[q] - left[q] >= width]
-        out.append((q, left[q], right[q]))
+        if len(q):
+            out.append((q, left[q], right[q]))
 
     while len(live):
         q = live

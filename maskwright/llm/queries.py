@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import lines, mixing, packing, quality, similarity, substrings
+from maskwright.llm import chat, fingerprints, licenses, lines, mixing, packing, quality, similarity, substrings, toxicity
 from maskwright.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_verdicts(documents(spark, sf_dir), labels)
@@ -29,18 +33,31 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.document_classes(documents(spark, sf_dir))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_paragraphs(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_source_mixing, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op7_substring_dedup, op9_packing)
+        op1_source_mixing, op2_chat_formatting, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join,
+        op6_document_fingerprints, op7_substring_dedup, op8_license_scan, op9_packing, op10_toxicity)
 }
 
 ORACLE: dict[str, str] = {}
@@ -89,3 +106,15 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_
     list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), x -> NOT list_contains(js, x[2])), x -> x[1]) END, ' ')) AS kept_sha256
 FROM docs LEFT JOIN marked USING (r)
 """
+
+ORACLE["op2_chat_formatting"] = r"""
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS t
+  FROM conversations),
+prefixes AS (SELECT conv_id, place, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY place) AS p FROM ordered),
+whole AS (SELECT conv_id, max(place) AS n, arg_max(p, place) AS p FROM prefixes GROUP BY conv_id),
+single AS (SELECT min(conv_id) AS conv_id, n, p, count(*)::BIGINT AS logged FROM whole GROUP BY n, p),
+proper AS (SELECT DISTINCT prefixes.p FROM prefixes JOIN whole w ON prefixes.conv_id IS NOT DISTINCT FROM w.conv_id WHERE place < n)
+SELECT conv_id, n::BIGINT AS n_turns, logged, p AS text FROM single WHERE p NOT IN (SELECT p FROM proper)
+"""

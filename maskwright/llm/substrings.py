@@ -21,7 +21,8 @@ _LAST = (1 << 63) - 1
 
 def anchored_runs(words: Words, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut all windows of ``width`` words into runs whose least ``anchor``-gram is the same: that value, the first
-    word, the word behind the last window. Equal windows have equal values, wherever they stand."""
+    word, the word behind the last window. Equal windows have equal values, wherever they stand. A run has ``width``
+    windows at most; a longer one, as in a text that repeats itself, is cut into several."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -41,7 +42,10 @@ def anchored_runs(words: Words, width: int, anchor: int) -> tuple[np.ndarray, np
     last = np.ones(n, bool)
     last[:-1] = change[1:] | ~whole[1:]
     behind = np.flatnonzero(last & whole) + width
-    return value[first], first, behind
+    parts = -(-(behind - first - width + 1) // width)
+    number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, behind = np.repeat(first, parts) + number * width, np.repeat(behind, parts)
+    return value[first], first, np.minimum(behind, first + 2 * width - 1)
 
 
 def _runs(docs: DataFrame, width: int, anchor: int) -> DataFrame:
@@ -73,8 +77,8 @@ def _segments(hits: DataFrame) -> DataFrame:
     return hits.mapInArrow(cut, "doc long, mark long, anchor long, first long, behind long, body string")
 
 
-def search_shard(bodies: list[str], owners: np.ndarray, width: int, limit: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index the word sequences in blocks of ``limit`` words, and stream all of them over each block."""
+def search_shard(bodies: list[str], owners: np.ndarray, searched: np.ndarray, width: int, limit: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index the word sequences in blocks of ``limit`` words, and stream those to be searched over each block."""
     numbers: dict[bytes, int] = {}
     texts = [np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in b.encode().split()), np.int64) for b in bodies]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -82,14 +86,16 @@ def search_shard(bodies: list[str], owners: np.ndarray, width: int, limit: int =
     end = np.cumsum(sizes + 1) - 1
     begin = end - sizes
     owner = np.unique(owners, return_inverse=True)[1].astype(np.int32)
+    asked = np.flatnonzero(searched)
     found, at = [], 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(end, begin[at] + limit, "right")))
         a, b = begin[at], end[to - 1] + 1
         index = Index(symbols[a:b], np.repeat(owner[at:to], sizes[at:to] + 1), len(numbers) + 1, int(sizes.max()) + 1)
-        found.append(earlier_matches(index, symbols, begin, end, owner, width))
+        found.append(earlier_matches(index, symbols, begin[asked], end[asked], owner[asked], width))
         at = to
     query, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+    query = asked[query]
     return query, start - begin[query], stop - begin[query]
 
 
@@ -104,14 +110,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, sh
     segments = staged(_segments(docs.join(hits, ["doc", "mark"])).withColumn("body_mark", F.xxhash64("body")))
     distinct = segments.groupBy("anchor", "body_mark").agg(F.min("doc").alias("owner"), F.min("body").alias("body"), F.max(F.col("behind") - F.col("first")).alias("size"))
     distinct = staged(distinct)
-    shards = max(1, (distinct.agg(F.sum("size")).first()[0] or 0) // shard_words)
+    # copies are one segment by now: only anchors with different ones are searched, for all but the smallest owner
+    several = distinct.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("owner").alias("_least")).filter("_n > 1")
+    dealt = staged(distinct.join(several.select("anchor", "_least"), "anchor"))
+    shards = max(1, (dealt.agg(F.sum("size")).first()[0] or 0) // shard_words)
 
     def search(shard: pa.Table) -> pa.Table:
-        query, start, stop = search_shard(shard.column("body").to_pylist(), shard.column("owner").to_numpy(), width, shard_words)
+        owner = shard.column("owner").to_numpy()
+        query, start, stop = search_shard(shard.column("body").to_pylist(), owner, owner > shard.column("_least").to_numpy(), width, shard_words)
         take = pa.array(query)
         return pa.table({"anchor": shard.column("anchor").take(take), "body_mark": shard.column("body_mark").take(take), "_from": pa.array(start), "_to": pa.array(stop)})
 
-    dealt = distinct.withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     spans = dealt.groupBy("_shard").applyInArrow(search, "anchor long, body_mark long, _from long, _to long")
     spans = spans.groupBy("anchor", "body_mark").agg(F.collect_list(F.struct("_from", "_to")).alias("own"))
     owners = distinct.select("anchor", "body_mark", "owner").join(spans, ["anchor", "body_mark"], "left")

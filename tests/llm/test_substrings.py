@@ -47,7 +47,7 @@ def test_search_shard_equals_brute_force(limit):
     for _ in range(30):
         bodies = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(12)]
         owners = np.array([rng.randint(0, 5) for _ in bodies])
-        query, start, stop = search_shard(bodies, owners, 4, limit)
+        query, start, stop = search_shard(bodies, owners, owners > 0, 4, limit)
         got = {(q, i) for q, a, b in zip(query, start, stop) for i in range(a, b)}
         want = set()
         for q, body in enumerate(bodies):
