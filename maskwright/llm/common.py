@@ -54,6 +54,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join whose size grows with the input: it is never broadcast, so plans are alike at every size."""
+    return df.hint("merge")
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """``out``: the sum of ``value`` over the rows before this one within ``group``, in the order (bucket, order).
 

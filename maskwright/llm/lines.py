@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import DOC_COLUMNS, Words, mixed, slices, staged
+from maskwright.llm.common import DOC_COLUMNS, Words, growing, mixed, slices, staged
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts that orders words by rarity: 2 MB, whatever the input.
@@ -220,8 +220,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rarity: np.nda
     """(set): the later ones of the pairs whose Jaccard reaches the threshold, from their whole word sets."""
     pairs = staged(pairs)
     needed = pairs.select(F.col("late").alias("set")).union(pairs.select("early")).distinct()
-    wanted = sets.join(needed, "set").groupBy("doc", "mark").agg(F.collect_set("line").alias("wanted"))
-    words = _word_sets(docs.join(wanted, ["doc", "mark"]), rarity)
+    wanted = sets.join(growing(needed), "set").groupBy("doc", "mark").agg(F.collect_set("line").alias("wanted"))
+    words = _word_sets(docs.join(growing(wanted), ["doc", "mark"]), rarity)
     words = staged(words.dropDuplicates(["set"]))
     both = pairs.join(words.select(F.col("set").alias("late"), F.col("words").alias("a")), "late")
     both = both.join(words.select(F.col("set").alias("early"), F.col("words").alias("b")), "early")
@@ -241,7 +241,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GR
     gone = staged(similar_sets(docs, sets, rarity, threshold, group)).withColumn("_gone", F.lit(True))
     status = sets.select("set", F.col("doc").alias("_d"), F.col("mark").alias("_m"), F.col("line").alias("_l")).join(gone, "set", "left")
     other = (F.col("doc") != F.col("_d")) | (F.col("mark") != F.col("_m")) | (F.col("line") != F.col("_l"))
-    removed = places.join(status, "set").filter(other | F.coalesce("_gone", F.lit(False)))
+    removed = places.join(growing(status), "set").filter(other | F.coalesce("_gone", F.lit(False)))
     return removed.groupBy("doc", "mark").agg(F.collect_set("line").alias("removed"))
 
 
@@ -255,7 +255,7 @@ def with_lines_removed(docs: DataFrame, columns: list[str], **options) -> DataFr
     keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = removed_lines(keyed.select("doc", "mark", F.coalesce("text", F.lit("")).alias("text")), **options)
     right = found.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed"))
-    joined = keyed.join(right, (keyed["doc"] == right["_doc"]) & (keyed["mark"] == right["_mark"]), "left")
+    joined = keyed.join(growing(right), (keyed["doc"] == right["_doc"]) & (keyed["mark"] == right["_mark"]), "left")
     parts = F.split("text", "\n", -1)
     kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_removed", i.cast("long")), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

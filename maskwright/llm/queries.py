@@ -100,11 +100,10 @@ windows AS (SELECT r, d, i, md5(array_to_string(words[i:i+49], ' ')) AS w FROM s
 firsts AS (SELECT w, min(d) AS first FROM windows GROUP BY w HAVING count(*) > 1),
 hits AS (SELECT r, i FROM windows JOIN firsts USING (w) WHERE first < d),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM hits),
-marked AS (SELECT r, list(j) AS js FROM gone GROUP BY r)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN js IS NULL THEN words ELSE
-    list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), x -> NOT list_contains(js, x[2])), x -> x[1]) END, ' ')) AS kept_sha256
-FROM docs LEFT JOIN marked USING (r)
+placed AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS j FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY j) AS t FROM placed ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
 """
 
 ORACLE["op2_chat_formatting"] = r"""

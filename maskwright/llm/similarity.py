@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, binomial_tail, components, mixed, slices, staged, windows
+from maskwright.llm.common import Words, binomial_tail, components, growing, mixed, slices, staged, windows
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -60,7 +60,11 @@ def min_hashes(key: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def _band_keys(docs: DataFrame, width: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends each text on once
         for part in slices(batches, "text"):
+            ids = part.column("text_id").to_pylist()
+            new = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]
+            part = part.take(pa.array(new, pa.int64()))
             key, of = shingles(part.column("text"), width)
             values = min_hashes(key, of).astype(np.uint64).reshape(-1, BANDS, ROWS)
             band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), values.shape[:2])
@@ -161,13 +165,16 @@ def text_links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
     ``docs`` has text_id (a 64-bit hash of the text) and text. Texts that share a bucket in one of the 36 bands of
     6 MinHash values are tied together; a pair at 0.8 is missed with probability 2e-5, one at 0.85 with 2e-8.
     Within what is tied together all pairs are compared, tile by tile, and none is emitted."""
-    buckets = staged(_band_keys(docs, width))
+    # one shuffle serves the sums and the join: neither side is filtered later on
+    buckets = _band_keys(docs, width).filter("text_id is not null and bucket is not null").repartition("bucket")
     shared = buckets.groupBy("bucket").agg(F.min("text_id").alias("_least"), F.max("text_id").alias("_most")).filter("_least < _most")
-    edges = buckets.join(shared, "bucket").filter("text_id <> _least").select(F.col("text_id").alias("a"), F.col("_least").alias("b"))
+    edges = buckets.join(growing(shared), "bucket").filter("text_id <> _least").select(F.col("text_id").alias("a"), F.col("_least").alias("b"))
     tied = staged(components(edges))
     sizes = tied.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
     tied = tied.join(sizes, "root").select(F.col("node").alias("text_id"), F.col("root").alias("component"), "tiles")
-    sets = staged(_with_shingles(docs.join(tied, "text_id").select("text_id", "component", "tiles", "text"), width).dropDuplicates(["text_id"]))
+    # one row per text, found where the join has put its copies
+    texts = docs.join(growing(tied), "text_id").dropDuplicates(["text_id"])
+    sets = staged(_with_shingles(texts.select("text_id", "component", "tiles", "text"), width))
 
     own = F.pmod(F.xxhash64("text_id"), F.col("tiles"))
     units = sets.withColumn("_own", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("_other"))

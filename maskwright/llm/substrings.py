@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, slices, staged, windows
+from maskwright.llm.common import Words, growing, slices, staged, windows
 from maskwright.llm.fm_index import Index, earlier_matches
 
 WIDTH = 50
@@ -106,13 +106,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, sh
     are one segment of their smallest document before they reach a shard, so copies cost nothing there."""
     runs = staged(_runs(docs, width, anchor))
     shared = runs.groupBy("anchor").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).filter("_a < _b").select("anchor")
-    hits = runs.join(shared, "anchor").groupBy("doc", "mark").agg(F.collect_set(F.struct("anchor", "first", "behind")).alias("hits"))
-    segments = staged(_segments(docs.join(hits, ["doc", "mark"])).withColumn("body_mark", F.xxhash64("body")))
+    hits = runs.join(growing(shared), "anchor").groupBy("doc", "mark").agg(F.collect_set(F.struct("anchor", "first", "behind")).alias("hits"))
+    segments = staged(_segments(docs.join(growing(hits), ["doc", "mark"])).withColumn("body_mark", F.xxhash64("body")))
     distinct = segments.groupBy("anchor", "body_mark").agg(F.min("doc").alias("owner"), F.min("body").alias("body"), F.max(F.col("behind") - F.col("first")).alias("size"))
     distinct = staged(distinct)
     # copies are one segment by now: only anchors with different ones are searched, for all but the smallest owner
     several = distinct.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("owner").alias("_least")).filter("_n > 1")
-    dealt = staged(distinct.join(several.select("anchor", "_least"), "anchor"))
+    dealt = staged(distinct.join(growing(several.select("anchor", "_least")), "anchor"))
     shards = max(1, (dealt.agg(F.sum("size")).first()[0] or 0) // shard_words)
 
     def search(shard: pa.Table) -> pa.Table:
@@ -124,9 +124,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, sh
     dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     spans = dealt.groupBy("_shard").applyInArrow(search, "anchor long, body_mark long, _from long, _to long")
     spans = spans.groupBy("anchor", "body_mark").agg(F.collect_list(F.struct("_from", "_to")).alias("own"))
-    owners = distinct.select("anchor", "body_mark", "owner").join(spans, ["anchor", "body_mark"], "left")
+    owners = distinct.select("anchor", "body_mark", "owner").join(growing(spans), ["anchor", "body_mark"], "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("_from"), (F.col("behind") - F.col("first")).alias("_to")))
-    placed = segments.drop("body").join(owners, ["anchor", "body_mark"])
+    placed = segments.drop("body").join(growing(owners), ["anchor", "body_mark"])
     placed = placed.withColumn("_s", F.when(F.col("doc") > F.col("owner"), all_of_it).otherwise(F.col("own")))
     moved = F.transform("_s", lambda s: F.struct((s["_from"] + F.col("first")).alias("from"), (s["_to"] + F.col("first")).alias("to")))
     placed = placed.filter("_s is not null").select("doc", "mark", moved.alias("_s"))
@@ -158,6 +158,6 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                 kept.append(b" ".join([w for w, g in zip(own, gone, strict=True) if not g] if removed[-1] else own).decode())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = docs.join(spans, ["doc", "mark"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(growing(spans), ["doc", "mark"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
