@@ -18,7 +18,7 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 4096
 #: Words that a Python worker remembers; beyond, it starts to remember anew.
-_REMEMBERED = 500_000
+_REMEMBERED = 1_000_000
 _CALL = 2000
 
 
@@ -69,6 +69,8 @@ class _Encoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         self.forget()
+        # the tokenizer ignores case, but for its special tokens; done here, it makes fewer different words
+        texts = [t.lower() if t.isascii() and b"<|" not in t else t for t in texts]
         numbers = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, texts)]
         self.learn()
         return [self._gathered(x) for x in numbers]
