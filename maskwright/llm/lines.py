@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import DOC_COLUMNS, Words, growing, mixed, slices, staged
@@ -16,7 +16,7 @@ THRESHOLD = 0.8
 CELLS = 1 << 18
 #: Lines of one word's list that are compared with as many in one task; a longer list is dealt out.
 TILE = 2048
-#: Postings (with repeats) that one Arrow group holds on average.
+#: Postings that one Arrow group holds on average.
 GROUP = 20_000
 _BEST = 2
 _LAST = (1 << 63) - 1
@@ -42,6 +42,11 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
     return table
 
 
+def local_cells(spark: SparkSession, cells: np.ndarray) -> DataFrame:
+    """(cell): CELLS rows at most."""
+    return spark.createDataFrame(pa.table({"cell": pa.array(cells.astype(np.int32))}))
+
+
 class Lines:
     """The word sets of the lines of many texts, each set's words from rare to frequent.
 
@@ -69,15 +74,24 @@ class Lines:
     def size(self) -> np.ndarray:
         return np.diff(self.of)
 
-    def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each set, and the parity of its words' top bits: two sets differ in as many words at least as
-        their parities differ in bits."""
+    def marks(self) -> np.ndarray:
+        """A hash of each set."""
         if not len(self):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        start = self.of[:-1]
-        total = np.add.reduceat(mixed(self.word ^ np.uint64(0xA0761D6478BD642F)), start)
-        bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.word & np.uint64(63)), start)
-        return mixed(total + self.size.astype(np.uint64)), bits
+            return np.zeros(0, np.uint64)
+        total = np.add.reduceat(mixed(self.word ^ np.uint64(0xA0761D6478BD642F)), self.of[:-1])
+        return mixed(total + self.size.astype(np.uint64))
+
+    def parities(self) -> pa.Array:
+        """The parity of each set's words over 64 bits or more, a bit to a word about, as 64-bit numbers: two sets
+        differ in as many words at least as their parities differ in bits. Folded in two, it is one of half the bits."""
+        words = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(self.size, 1) / 64)).astype(np.int64).clip(0))
+        ends = np.cumsum(words)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+        base, width = np.repeat(ends - words, self.size), np.repeat(words, self.size)
+        where = base + ((self.word >> np.uint64(6)).astype(np.int64) & (width - 1))
+        np.bitwise_xor.at(out, where, np.uint64(1) << (self.word & np.uint64(63)))
+        offsets = np.concatenate([[0], 8 * ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -91,18 +105,17 @@ def _placed(docs: DataFrame, rarity: np.ndarray, threshold: float | None) -> Dat
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             lines = Lines(part.column("text"), rarity)
-            mark, bits = lines.marks()
             take = pa.array(lines.text)
-            columns = [part.column("doc").take(take), part.column("mark").take(take), pa.array(lines.number), pa.array(mark.view(np.int64))]
+            columns = [part.column("doc").take(take), part.column("mark").take(take), pa.array(lines.number), pa.array(lines.marks().view(np.int64))]
             if threshold is not None:
                 length = prefix_length(lines.size, threshold)
                 ends = np.cumsum(length)
                 at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lines.of[:-1] - ends + length, length)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((lines.word[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                columns += [pa.array(lines.size), pa.array(bits.view(np.int64)), prefix]
+                columns += [pa.array(lines.size), lines.parities(), prefix]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc long, mark long, line long, set long" + ("" if threshold is None else ", size long, bits long, prefix array<int>")
+    schema = "doc long, mark long, line long, set long" + ("" if threshold is None else ", size long, bits binary, prefix array<int>")
     names = ["doc", "mark", "line", "set"] + ([] if threshold is None else ["size", "bits", "prefix"])
     return docs.select("doc", "mark", "text").mapInArrow(find, schema)
 
@@ -113,7 +126,7 @@ def _word_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             lines = Lines(part.column("text"), rarity)
-            mark, _ = lines.marks()
+            mark = lines.marks()
             wanted = [set(x) for x in part.column("wanted").to_pylist()]
             rows = [k for k in range(len(lines)) if int(lines.number[k]) in wanted[lines.text[k]]]
             words = [lines.word[lines.of[k] : lines.of[k + 1]].view(np.int64) for k in rows]
@@ -122,84 +135,126 @@ def _word_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     return docs.select("text", "wanted").mapInArrow(find, "set long, words array<long>")
 
 
-def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None, probes: np.ndarray | None = None, tile: int = TILE) -> dict[str, np.ndarray]:
-    """Pairs (later, earlier) of one word's list that pass the length, positional and parity filters.
-
-    With ``best``, only so many for each later line, those whose parities differ least; ``more`` tells that there
-    were others. The list is compared a tile at a time."""
-    order = np.lexsort((rows["mark"], rows["line"], rows["doc"]))
-    rows = {k: v[order] for k, v in rows.items()}
-    probes = None if probes is None else probes[order]
-    size, at, bits = rows["size"], rows["position"], rows["bits"].view(np.uint64)
-    out: list[tuple[np.ndarray, ...]] = []
+def parity_apart(bits: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of the pairs (i, j) differ, each folded to the width of the shorter."""
+    apart, width = np.zeros(len(i), np.int64), np.minimum(words[i], words[j])
+    for w in np.unique(width):
+        some = np.flatnonzero(width == w)
+        for k in range(w):
+            sides = np.zeros(len(some), np.uint64)
+            for side in (i[some], j[some]):
+                for fold in range(int((words[side] // w).max(initial=0))):
+                    has = fold * w < words[side]
+                    sides[has] ^= bits[start[side[has]] + fold * w + k]
+            apart[some] += np.bitwise_count(sides)
+    return apart
+
+
+def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None, limit: int = 2_000_000) -> dict[str, np.ndarray]:
+    """Pairs (late, early) of sets that share a prefix word and pass the length, positional and parity filters.
+
+    ``rows`` are postings: word, set, doc, line, size, position, probe, tile, and the parities as bits, start and
+    words. All lists go in step: each posting is held against the one before it in its list, then the one before
+    that. With ``best``, only so many pairs stay for each late posting, those whose parities differ least; ``more``
+    tells that there were others."""
+    order = np.lexsort((rows["line"], rows["doc"], rows["word"]))
+    word, size, at = rows["word"][order], rows["size"][order], rows["position"][order]
+    doc, line, probe, tile = rows["doc"][order], rows["line"][order], rows["probe"][order], rows["tile"][order]
+    start, words, names = rows["start"][order], rows["words"][order], rows["set"][order]
     share = threshold / (1 + threshold)
-    for a in range(0, len(size), tile):
-        late = np.arange(a, min(a + tile, len(size)))
-        late = late if probes is None else late[probes[late]]
-        found: list[tuple[np.ndarray, ...]] = []
-        for b in range(0, a + 1, tile):
-            early = np.arange(b, min(b + tile, len(size)))
-            sizes, others = size[late][:, None], size[early][None]
-            need = np.ceil(share * (sizes + others) - 1e-9)
-            most = np.minimum(at[late][:, None], at[early][None]) + 1 + np.minimum(sizes - at[late][:, None], others - at[early][None]) - 1
-            apart = np.bitwise_count(bits[late][:, None] ^ bits[early][None])
-            ok = (late[:, None] > early[None]) & (np.minimum(sizes, others) >= need) & (most >= need) & (apart <= sizes + others - 2 * need)
-            i, j = np.nonzero(ok)
-            found.append((late[i], early[j], apart[i, j].astype(np.int64)))
-        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
-        more = np.zeros(len(i), bool)
-        if best is not None and len(i):
-            order = np.lexsort((j, apart, i))
-            i, j, apart = i[order], j[order], apart[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            count = np.bincount(i)[i]
-            keep = place < best
-            more = (count > best)[keep]
-            i, j, apart = i[keep], j[keep], apart[keep]
-        out.append((i, j, apart, more))
-    i, j, apart, more = (np.concatenate(x) for x in zip(*out, strict=True))
-    return {"late": rows["set"][i], "early": rows["set"][j], "apart": apart, "more": more}
-
-
-def _pairs(postings: DataFrame, threshold: float, best: int | None, group: int) -> DataFrame:
-    """Candidates from every word's list. Lists longer than a tile are cut into tiles by line, and each pair of
-    tiles is a unit of its own."""
-    groups = max(1, postings.count() // group)
-    lists = postings.groupBy("word").count().filter(F.col("count") > TILE)
-    lists = staged(lists.select("word", F.ceil(F.col("count") / TILE).cast("long").alias("tiles")))
-    dealt = postings.join(lists, "word", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("set"), F.col("tiles"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("word", "_i", "_j"), F.lit(groups)))
+    kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def reduced() -> list[np.ndarray]:
+        i, j, apart = (np.concatenate([k, *f]) for k, f in zip(kept[:3], zip(*found, strict=True), strict=True)) if found else kept[:3]
+        more = np.concatenate([kept[3], np.zeros(len(i) - len(kept[3]), bool)])
+        if best is None or not len(i):
+            return [i, j, apart, more]
+        by = np.lexsort((j, apart, i))
+        i, j, apart, more = i[by], j[by], apart[by], more[by]
+        first = np.searchsorted(i, i)
+        more = np.logical_or.reduceat(more, np.unique(first))[np.unique(first, return_inverse=True)[1]] | (np.bincount(i)[i] > best)
+        keep = np.arange(len(i)) - first < best
+        return [i[keep], j[keep], apart[keep], more[keep]]
+
+    late, pending = np.arange(len(word)), 0
+    for back in range(1, len(word)):
+        late = late[late >= back]
+        late = late[word[late] == word[late - back]]
+        if not len(late):
+            break
+        i, j = late, late - back
+        need = np.ceil(share * (size[i] + size[j]) - 1e-9)
+        least = np.minimum(size[i], size[j])
+        ok = probe[i] & (least >= need) & (np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
+        ok &= (doc[i] > doc[j]) | (line[i] > line[j])
+        ok &= (tile[i] < 0) | (tile[i] != tile[j])
+        i, j, need = i[ok], j[ok], need[ok]
+        apart = parity_apart(rows["bits"], start, words, i, j)
+        ok = apart <= size[i] + size[j] - 2 * need
+        found.append((i[ok], j[ok], apart[ok]))
+        pending += int(ok.sum())
+        if pending > limit and best is not None:
+            kept, found, pending = reduced(), [], 0
+    i, j, apart, more = reduced()
+    return {"late": names[i], "early": names[j], "apart": apart, "more": more}
+
+
+_PACK = 1 << 31
+
+
+def _postings(sets: DataFrame, probe: str = "true") -> DataFrame:
+    """A row per prefix word: word, set, doc, line, bits, and size, position and ``probe`` in one number."""
+    packed = F.col("size") * _PACK + F.col("position") + F.expr(f"if({probe}, 1L << 62, 0L)")
+    exploded = sets.select("*", F.posexplode("prefix").alias("position", "word"))
+    return exploded.select("word", "set", "doc", "line", "bits", packed.alias("packed"))
+
+
+def _pairs(postings: DataFrame, hot_cells: DataFrame, groups: int, threshold: float, best: int | None) -> DataFrame:
+    """Candidates from every word's list.
+
+    Only words of a hot cell can have lists longer than a tile; those are counted, and lists that are, are cut into
+    tiles at random, each pair of tiles a unit of its own."""
+    cell = F.shiftrightunsigned("word", 32 - CELLS.bit_length() + 1)
+    counted = postings.withColumn("cell", cell).join(F.broadcast(hot_cells), "cell").groupBy("word").count()
+    lists = staged(counted.filter(F.col("count") > TILE).select("word", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     names = ["late", "early", "apart", "more"]
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("word", "_i", "_j")])
-        rows = {c: table.column(c).to_numpy() for c in ("word", "_i", "_j", "_own", "set", "doc", "mark", "line", "size", "bits", "position", "probe")}
-        change = np.zeros(table.num_rows, bool)
-        for c in ("word", "_i", "_j"):
-            change[1:] |= rows[c][1:] != rows[c][:-1]
-        starts = np.flatnonzero(change | (np.arange(table.num_rows) == 0))
-        ends = np.append(starts[1:], table.num_rows)
-        found = []
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            if not rows["probe"][a:b].any():
-                continue
-            own = {c: v[a:b] for c, v in rows.items()}
-            pairs = candidates(own, threshold, best, own["probe"])
-            if len(pairs["late"]):
-                found.append([pairs[n] for n in names])
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
-
-    return dealt.groupBy("_group").applyInArrow(compare, "late long, early long, apart long, more boolean")
-
-
-def similar_sets(docs: DataFrame, sets: DataFrame, rarity: np.ndarray, threshold: float, group: int) -> DataFrame:
+        table = table.combine_chunks()
+        rows = {c: table.column(c).to_numpy() for c in ("word", "set", "doc", "line")}
+        packed = table.column("packed").to_numpy()
+        rows |= {"probe": packed >> 62 == 1, "size": (packed & ((1 << 62) - 1)) // _PACK, "position": packed % _PACK}
+        bits = table.column("bits").cast(pa.large_binary()).combine_chunks()
+        bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
+        ends = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1]
+        rows |= {"bits": np.frombuffer(bits.buffers()[2], np.uint64), "start": ends[:-1] // 8, "words": np.diff(ends) // 8}
+        rows["tile"] = table.column("tile").to_numpy() if "tile" in table.column_names else np.full(len(packed), -1)
+        if "unit" in table.column_names:  # several units of one word may meet: each is a list
+            rows["word"] = np.unique(np.stack([rows["word"].astype(np.int64), table.column("unit").to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+        pairs = candidates(rows, threshold, best)
+        return pa.table({n: pa.array(pairs[n]) for n in names})
+
+    schema = "late long, early long, apart long, more boolean"
+    if lists.isEmpty():
+        cold, hot = postings, None
+    else:
+        cold = postings.join(lists, "word", "left_anti")
+        dealt = postings.join(lists, "word").withColumn("_own", F.pmod(F.hash("set"), F.col("tiles")))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
+        low, high = F.least("_own", "_other").cast("long"), F.greatest("_own", "_other").cast("long")
+        dealt = dealt.withColumn("unit", low * _PACK + high).withColumn("tile", F.when(F.col("_own") == F.col("_other"), F.lit(-1)).otherwise(F.col("_own")).cast("long"))
+        # within a tile pair only pairs over the two tiles count; a tile with itself is the unit (i, i)
+        hot = dealt.drop("tiles", "_own", "_other").withColumn("_group", F.pmod(F.xxhash64("word", "unit"), F.lit(4 * groups)))
+        hot = hot.groupBy("_group").applyInArrow(compare, schema)
+    cold = cold.withColumn("_group", F.pmod(F.hash("word"), F.lit(groups))).groupBy("_group").applyInArrow(compare, schema)
+    return cold if hot is None else cold.union(hot)
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, rarity: np.ndarray, hot_cells: DataFrame, threshold: float, group: int) -> DataFrame:
     """(set): the sets that have a similar one standing earlier."""
-    postings = sets.select("set", "doc", "mark", "line", "size", "bits", F.posexplode("prefix").alias("position", "word"))
-    postings = postings.withColumn("position", F.col("position").cast("long")).withColumn("probe", F.lit(True))
-    near = _pairs(postings, threshold, _BEST, group).groupBy("late").agg(
+    groups = max(1, (sets.agg(F.sum(F.size("prefix"))).first()[0] or 0) // group)
+    near = _pairs(_postings(sets), hot_cells, groups, threshold, _BEST).groupBy("late").agg(
         F.slice(F.sort_array(F.collect_set(F.struct("apart", "early"))), 1, _BEST).alias("b"),
         (F.max("more") | (F.count_distinct("early") > _BEST)).alias("more"))
     near = staged(near)
@@ -209,10 +264,10 @@ def similar_sets(docs: DataFrame, sets: DataFrame, rarity: np.ndarray, threshold
     if open_.isEmpty():
         return gone
     # the lines whose nearest candidates failed are compared with all of theirs
-    probes = open_.withColumn("_open", F.lit(True))
-    again = postings.drop("probe").join(probes, "set", "left").withColumn("probe", F.coalesce("_open", F.lit(False))).drop("_open")
-    again = again.join(again.filter("probe").select("word").distinct(), "word", "left_semi")
-    pairs = staged(_pairs(again, threshold, None, group).select("late", "early").distinct())
+    marked = sets.join(open_.withColumn("_open", F.lit(True)), "set", "left")
+    words = marked.filter("_open").select(F.explode("prefix").alias("word")).distinct()
+    again = _postings(marked, "coalesce(_open, false)").join(words, "word", "left_semi")
+    pairs = _pairs(again, hot_cells, groups, threshold, None).select("late", "early").distinct()
     return gone.union(_verified(pairs, docs, sets, rarity, threshold)).distinct()
 
 
@@ -233,12 +288,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rarity: np.nda
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc, mark, removed): the numbers of the lines to remove from each document; ``docs`` has doc, mark, text."""
     rarity = rarity_table(docs)
+    hot_cells = local_cells(docs.sparkSession, np.flatnonzero(rarity > TILE))
     rarity = np.unique(rarity, return_inverse=True)[1].astype(np.int32)
     places = staged(_placed(docs, rarity, None))
     first = F.min(F.struct("doc", "line", "mark")).alias("p")
     sets = _placed(docs, rarity, threshold).groupBy("set").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     sets = staged(sets.select("set", "p.doc", "p.mark", "p.line", "size", "bits", "prefix"))
-    gone = staged(similar_sets(docs, sets, rarity, threshold, group)).withColumn("_gone", F.lit(True))
+    gone = staged(similar_sets(docs, sets, rarity, hot_cells, threshold, group)).withColumn("_gone", F.lit(True))
     status = sets.select("set", F.col("doc").alias("_d"), F.col("mark").alias("_m"), F.col("line").alias("_l")).join(gone, "set", "left")
     other = (F.col("doc") != F.col("_d")) | (F.col("mark") != F.col("_m")) | (F.col("line") != F.col("_l"))
     removed = places.join(growing(status), "set").filter(other | F.coalesce("_gone", F.lit(False)))

@@ -61,14 +61,44 @@ def test_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() <= whole.count()
 
 
-def test_candidates_by_tiles_are_complete():
+def postings(rng, n, width):
+    sizes = rng.integers(4, 200 if width else 8, n)
+    words = np.maximum(1, 1 << np.ceil(np.log2(sizes / 64)).astype(int).clip(0))
+    return {"word": rng.integers(0, 4, n), "doc": rng.permutation(n), "line": np.zeros(n, np.int64), "set": np.arange(n), "size": sizes,
+            "position": rng.integers(0, 2, n), "probe": np.ones(n, bool), "tile": np.full(n, -1), "words": words,
+            "start": np.cumsum(words) - words, "bits": rng.integers(0, 4, int(words.sum())).astype(np.uint64)}
+
+
+def test_candidates_are_all_pairs_that_pass(monkeypatch):
     rng = np.random.default_rng(2)
-    n = 90
-    rows = {"doc": rng.permutation(n), "mark": np.zeros(n, np.int64), "line": np.zeros(n, np.int64), "set": np.arange(n),
-            "size": rng.integers(4, 8, n), "position": rng.integers(0, 2, n), "bits": rng.integers(0, 4, n).astype(np.int64)}
-    one, many = (candidates(rows, 0.8, None, tile=t) for t in (1000, 7))
-    pairs = [set(zip(x["late"].tolist(), x["early"].tolist())) for x in (one, many)]
-    assert pairs[0] == pairs[1] and all(rows["doc"][a] > rows["doc"][b] for a, b in pairs[0])
-    best = candidates(rows, 0.8, 2, tile=7)
-    assert set(zip(best["late"].tolist(), best["early"].tolist())) <= pairs[0]
-    assert {a for a, _ in pairs[0]} == set(best["late"].tolist())
+    for width in (0, 1):
+        rows = postings(rng, 120, width)
+        got = candidates(rows, 0.8, None)
+
+        def fold(k, w):
+            out = [0] * w
+            for x in range(rows["words"][k]):
+                out[x % w] ^= int(rows["bits"][rows["start"][k] + x])
+            return out
+
+        want = set()
+        for a in range(120):
+            for b in range(120):
+                need = int(np.ceil(0.8 / 1.8 * (rows["size"][a] + rows["size"][b]) - 1e-9))
+                w = min(rows["words"][a], rows["words"][b])
+                apart = sum((x ^ y).bit_count() for x, y in zip(fold(a, w), fold(b, w)))
+                most = min(rows["position"][a], rows["position"][b]) + min(rows["size"][k] - rows["position"][k] for k in (a, b))
+                if rows["word"][a] == rows["word"][b] and rows["doc"][a] > rows["doc"][b] and min(rows["size"][a], rows["size"][b], most) >= need and apart <= rows["size"][a] + rows["size"][b] - 2 * need:
+                    want.add((a, b))
+        assert set(zip(got["late"].tolist(), got["early"].tolist())) == want and want
+        for limit in (1, 10**6):
+            best = candidates(rows, 0.8, 2, limit)
+            assert {a for a, _ in want} == set(best["late"].tolist()) and np.bincount(best["late"]).max() <= 2
+            assert dict(zip(best["late"].tolist(), best["more"].tolist())) == {a: sum(x == a for x, _ in want) > 2 for a, _ in want}
+
+
+def test_hot_lists_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("maskwright.llm.lines.TILE", 8)
+    rows = texts(random.Random(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, with_lines_removed(docs, ["doc_id", "text"], group=50).collect()), key=repr) == plain(rows)
