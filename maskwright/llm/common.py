@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,22 @@ SLICE_BYTES = 4 << 20
 _CHUNK = 1 << 20
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a session, so that their Python finds it wherever it was started."""
+    context = spark.sparkContext
+    if _shipped.get("to") != context.applicationId:
+        root = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='llm-')}/maskwright", "zip", root, "maskwright")
+        context.addPyFile(archive)
+        _shipped["to"] = context.applicationId
+    return spark
+
+
+_shipped: dict[str, str] = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
