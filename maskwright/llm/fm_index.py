@@ -93,7 +93,8 @@ def earlier_matches(index: Index, text: np.ndarray, begin: np.ndarray, end: np.n
 
     Returns (query, from, to). All queries go backwards in step. Where a match can't grow over place f, every
     longer match that holds f ends earlier; how far the words from f on match is found by halving, and the search
-    goes on from there, so what has matched is never searched word by word again."""
+    goes on from there, so what has matched is never searched word by word again. Texts full of near matches would
+    take many such turns; what is open after 4 * ``width`` steps is searched window by window, all at once."""
     n, whole = len(begin), index.length
     left, right = end.copy(), end.copy()
     low, high = np.zeros(n, np.int64), np.full(n, whole)
@@ -108,7 +109,9 @@ def earlier_matches(index: Index, text: np.ndarray, begin: np.ndarray, end: np.n
         if len(q):
             out.append((q, left[q], right[q]))
 
-    while len(live):
+    for _ in range(4 * width):
+        if not len(live):
+            break
         q = live
         # a symbol that the index lacks is past its alphabet and fails
         symbol = text[left[q] - 1]
@@ -147,4 +150,20 @@ def earlier_matches(index: Index, text: np.ndarray, begin: np.ndarray, end: np.n
         over = np.zeros(n, bool)
         over[finished] = over[at_begin] = over[short] = True
         live = live[~over[live]]
+    if len(live):
+        out.append(_window_matches(index, text, live, begin[live], np.where(halving, failed, right)[live], owner[live], width))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _window_matches(index: Index, text: np.ndarray, query: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of each text[begin:end] that the index has from a smaller owner, a step of all at a time."""
+    count = np.maximum(end - begin - width + 1, 0)
+    of = np.repeat(np.arange(len(query)), count)
+    start = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    low, high = np.zeros(len(of), np.int64), np.full(len(of), index.length)
+    for back in range(width - 1, -1, -1):
+        low, high = index.extend(text[start + back], low, high)
+        ok = high > low
+        ok[ok] = index.owner(low[ok], high[ok]) < owner[of[ok]]
+        of, start, low, high = of[ok], start[ok], low[ok], high[ok]
+    return query[of], start, start + width

@@ -15,7 +15,7 @@ from maskwright.llm.fm_index import Index, earlier_matches
 WIDTH = 50
 ANCHOR = 8
 #: Words of an index; a shard with more is indexed in blocks, and all of its segments run over each.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 400_000
 _LAST = (1 << 63) - 1
 
 
