@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import EXPECTED, FULL, RULES, SCANNED, TABLE, TRUTH
+from checks.queries import DERIVED, EXPECTED, FULL, RULES, SCANNED, TABLE, TRUTH
 from checks.views import PII_COLUMNS, edges_sql, pii_sql
 from maskwright import vocab as V
 from maskwright.functions.text import ACCENTED, PLAIN
@@ -11,6 +11,7 @@ from maskwright.plans import suites
 
 # Columns of the given tables, as the catalog scan sees them.
 COLUMNS = {
+    "embeddings": ("vec_id", "embedding", "label"),
     "region": ("r_regionkey", "r_name"),
     "nation": ("n_nationkey", "n_name", "n_regionkey"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
@@ -58,9 +59,9 @@ def strict_match(tag: str, v: str = "v") -> str:
 def semantic_match(tag: str) -> str:
     dob = f"regexp_matches(v, {q(V.DOB_PATTERN)})"
     salary = f"regexp_matches(v, {q(V.SALARY_PATTERN)})"
-    address = (f"(strlen(v) <= {V.MAX_ADDRESS_BYTES} AND regexp_matches(v, {q(V.ADDRESS_PATTERN)}) "
+    address = (f"(regexp_matches(v, {q(V.ADDRESS_PATTERN)}) "
                f"AND NOT regexp_matches(v, {q(V.ORGANISATION_PATTERN)}))")
-    name = f"(strlen(v) <= {V.MAX_NAME_BYTES} AND regexp_matches(v, {q(V.NAME_PATTERN)}) AND NOT {address})"
+    name = f"(regexp_matches(v, {q(V.NAME_PATTERN)}) AND NOT {address})"
     return {"DOB": dob, "SALARY": salary, "ADDRESS": address, "NAME": name}[tag]
 
 
@@ -190,7 +191,7 @@ def sample_sql(source: str, n: int) -> str:
     """About 5n rows by hash threshold, the 3n smallest hashes of them."""
     fraction = f"(SELECT least(5 * {n} / count(*), 1.0) FROM ({source}))"
     bound = (f"CASE WHEN {fraction} >= 1.0 THEN 'g' "
-             f"ELSE format('{{:08x}}', CAST(floor({fraction} * 4294967296) AS BIGINT)) END")
+             f"ELSE format('{{:016x}}', CAST(floor({fraction} * 18446744073709551616.0::DOUBLE) AS UBIGINT)) END")
     return f"SELECT * FROM ({drawn_sql(source)}) WHERE draw < {bound} ORDER BY draw LIMIT {3 * n}"
 
 
@@ -370,7 +371,8 @@ NORMAL = "SELECT CAST(sum(d) - max(d) AS DOUBLE) / (count(d) - 1) AS normal FROM
 
 def draw(salt: int) -> str:
     p1, p2 = 2147483647, 2147483629
-    return f"((((id % {p1}) * {(1103515245 + 265443577 * salt) % p2}) + {12345 + 7919 * salt}) % {p2})"
+    high = f"(((id // {p1}) % {p2}) * {(1566083941 + 387420489 * salt) % p2} % {p2})"
+    return f"((((id % {p1}) * {(1103515245 + 265443577 * salt) % p2}) + {high} + {12345 + 7919 * salt}) % {p2})"
 
 
 def pick(pool, salt: int) -> str:
@@ -412,8 +414,8 @@ def value_sql(tag: str, s: int) -> str:
         "HEALTH_INSURANCE_ID": f"{pick(G.INSURANCE_GROUPS, s)} || {pad(between(0, 9999999, s + 1), 7)} "
                                f"|| {pad(between(0, 999999, s + 2), 6)}",
         "NAME": name_sql(s),
-        "ADDRESS": f"{text(between(1, 500, s))} || ' ' || {pick(G.STREETS, s + 1)} || ', Phường ' "
-                   f"|| {text(between(1, 25, s + 2))} || ', Quận ' || {text(between(1, 12, s + 3))} || ', ' "
+        "ADDRESS": f"{text(between(1, 500, s))} || ' ' || {pick(G.STREETS, s + 1)} || ', ' "
+                   f"|| {pick(G.WARDS, s + 2)} || ', ' || {pick(G.DISTRICTS, s + 3)} || ', ' "
                    f"|| {pick(V.PROVINCES, s + 4)}",
         "SALARY": text(f"{between(5, 100, s)} * 500000"),
         "DOB": birth(s),
@@ -484,6 +486,11 @@ def oracle() -> dict[str, str]:
         "AS o_orderpriority FROM orders GROUP BY o_custkey",
         "a8_upsert": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice "
         "ELSE 0.0 END AS o_totalprice FROM orders",
+        "a6_insert_duplicates": "WITH t AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders "
+        "WHERE o_orderstatus = 'F' GROUP BY o_custkey) SELECT * FROM t UNION ALL SELECT o_custkey, min(o_orderkey) "
+        "FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM t) GROUP BY o_custkey",
+        "a8_upsert_duplicates": "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), "
+        "min(o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
         "a9_append": "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL "
         "SELECT s_suppkey, s_name FROM supplier",
         "a11_read_ground_truth": f"SELECT t.*, n_values FROM ({TRUTH_ROWS}) t(table_name, column_name, "
@@ -561,9 +568,15 @@ def oracle() -> dict[str, str]:
         f"count(*) AS n_rows FROM (SELECT [{', '.join(q(t) for t in (*V.TAGS, 'UNKNOWN_TAG'))}][o_orderkey % 10 + 1] "
         f"AS tag FROM orders) GROUP BY tag",
         "c16_scan_table": verdicts_sql(PII, PII_COLUMNS, TABLE, sample_values_sql(PII, PII_COLUMNS, 200)),
+        "c16_scan_table_unkeyed": "SELECT column_name, CASE WHEN part >= 0.7 THEN 'PHONE' ELSE 'NONE' END AS "
+        "sensitivity_tag, CASE WHEN part >= 0.7 THEN 'MEDIUM' ELSE 'NONE' END AS sensitivity_level FROM (UNPIVOT ("
+        "SELECT avg((o_orderkey * 10 >= m)::INT) AS blank_at_first, avg((o_orderkey * 10 >= 9 * m)::INT) AS "
+        "filled_at_last, avg((o_orderkey * 10 < 9 * m)::INT) AS blank_at_last FROM orders, (SELECT max(o_orderkey) "
+        "AS m FROM orders)) ON blank_at_first, filled_at_last, blank_at_last INTO NAME column_name VALUE part)",
         "c16_scan_table_exact": PII_VERDICTS,
         "c17_scan_all": " UNION ALL ".join(
-            f"SELECT * FROM ({verdicts_sql('FROM ' + t, COLUMNS[t], t)})" for t in SCANNED
+            [f"SELECT * FROM ({verdicts_sql('FROM ' + t, COLUMNS[t], t)})" for t in SCANNED]
+            + [f"SELECT * FROM ({verdicts_sql(pii_sql(t), PII_COLUMNS, 'pii_' + t)})" for t in DERIVED]
         ),
         "c18_semantic_scan": f"SELECT {q(TABLE)} AS table_name, column_name, m_pii AS is_pii, m_tag AS suggested_tag, "
         f"{level('m_tag')} AS sensitivity_level, m_conf AS confidence_score, m_reason AS reason "
@@ -667,4 +680,6 @@ def oracle() -> dict[str, str]:
         "CAST(0 AS BIGINT) AS fn, count(*) FILTER (WHERE sensitivity_tag = 'NONE') AS tn, CAST(0 AS BIGINT) AS missing, "
         f"count(*) AS level_hits, count(*) AS n_columns FROM ({sql['f5_gen_domain_tables']}) GROUP BY table_name"
     )
+    sql["c13_arbitrate_repeated_answers"] = sql["c13_arbitrate"]
+    sql["d11_secure_read_any_case"] = sql["d11_secure_read"]
     return sql

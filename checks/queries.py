@@ -39,7 +39,7 @@ from maskwright.plans.secure import secure_frame, secure_read, secure_read_all
 from maskwright.sources import ingest
 from maskwright.sources.local import local_frame
 from maskwright.sources.store import MetadataStore, ensure_checkpoint_dir, fetch_verdicts
-from maskwright.sources.tables import list_tables, read_table, resolve_fqn, spread, write_table
+from maskwright.sources.tables import list_tables, read_table, resolve_fqn, write_table
 
 KEY = ["k"]
 TABLE = "pii_orders"
@@ -68,7 +68,8 @@ TRUTH = {
 # Columns that carry their tag in every row.
 FULL = {c: t for c, t in TRUTH.items() if c not in ("cccd_noise_70", "e8_n_65", "email_sparse", "contact", "empty_col")}
 SCANNED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-           "pages", "benchmark", "labels", "conversations")
+           "pages", "benchmark", "labels", "conversations", "embeddings")
+DERIVED = ("orders", "customer")
 
 
 def _database(spark: SparkSession) -> str:
@@ -94,11 +95,11 @@ def _truth_frame(spark: SparkSession, table: str = TABLE) -> DataFrame:
 
 
 def _scores(spark, sf, size=None, table="orders"):
-    return column_scores(pii_view(spark, sf, table, dealt=size is None), TABLE, sample_size=size, key=KEY)
+    return column_scores(pii_view(spark, sf, table), TABLE, sample_size=size, key=KEY)
 
 
 def _verdicts(spark, sf, size=None, table="orders"):
-    return column_verdicts(pii_view(spark, sf, table, dealt=size is None), TABLE, sample_size=size, key=KEY)
+    return column_verdicts(pii_view(spark, sf, table), TABLE, sample_size=size, key=KEY)
 
 
 # --- A. Sources, sinks, catalog ------------------------------------------------
@@ -172,6 +173,22 @@ def a8_upsert(spark, sf):
     return upsert(target, new, ["o_orderkey"])
 
 
+def _customer_orders(spark, sf, status=None):
+    orders = load(spark, sf, "orders")
+    return (orders.filter(F.col("o_orderstatus") == status) if status else orders).select("o_custkey", "o_orderkey")
+
+
+def a6_insert_duplicates(spark, sf):
+    """Several new rows per key: one of them is inserted."""
+    target = one_per_key(_customer_orders(spark, sf, "F"), ["o_custkey"], F.col("o_orderkey"), last=False)
+    return insert_if_absent(target, _customer_orders(spark, sf), ["o_custkey"])
+
+
+def a8_upsert_duplicates(spark, sf):
+    target = one_per_key(_customer_orders(spark, sf), ["o_custkey"], F.col("o_orderkey"), last=False)
+    return upsert(target, _customer_orders(spark, sf, "O"), ["o_custkey"])
+
+
 def a9_append(spark, sf):
     audit = [
         load(spark, sf, t).select(F.col(k).alias("id"), F.col(n).alias("name"))
@@ -381,6 +398,16 @@ def c13_arbitrate(spark, sf):
     return arbitrate(with_answers(*_decisions(spark, sf)))
 
 
+def c13_arbitrate_repeated_answers(spark, sf):
+    """Each column is answered twice; the later answer is the one that counts."""
+    scored, answers = _decisions(spark, sf)
+    early = answers.withColumns({
+        "is_pii": ~F.col("is_pii"), "suggested_tag": F.lit("NAME"), "confidence_score": F.lit(0.1),
+        "reason": F.lit("an earlier answer"), "position": F.lit(0),
+    })
+    return arbitrate(with_answers(scored, answers.withColumn("position", F.lit(1)).unionByName(early)))
+
+
 def c14_reason_suffix(spark, sf):
     scores = _scores(spark, sf)
     return scores.select("column_name", reason_suffix(F.col("all_detected_tags")).alias("suffix"))
@@ -399,13 +426,28 @@ def c16_scan_table(spark, sf):
     return _verdicts(spark, sf, size=200).drop("ordinal")
 
 
+def c16_scan_table_unkeyed(spark, sf):
+    """The default draw on columns whose values change with the place in the table."""
+    orders = load(spark, sf, "orders").select("o_orderkey")
+    most = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    place, phone = F.col("o_orderkey") * 10, F.concat(F.lit("09"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    clustered = orders.select(
+        F.when(place < most, "n/a").otherwise(phone).alias("blank_at_first"),
+        F.when(place >= 9 * most, phone).otherwise("n/a").alias("filled_at_last"),
+        F.when(place < 9 * most, phone).otherwise("n/a").alias("blank_at_last"),
+    )
+    verdicts = column_verdicts(clustered, "clustered", sample_size=200)
+    return verdicts.select("column_name", "sensitivity_tag", "sensitivity_level")
+
+
 def c16_scan_table_exact(spark, sf):
     return _verdicts(spark, sf).drop("ordinal")
 
 
 def c17_scan_all(spark, sf):
-    """Exact verdicts of every column of every given table."""
-    return table_verdicts({t: spread(load(spark, sf, t)) for t in SCANNED}, sample_size=None).drop("ordinal")
+    """Exact verdicts of every column of every given table and of two derived ones."""
+    frames = {t: load(spark, sf, t) for t in SCANNED} | {f"pii_{t}": pii_view(spark, sf, t) for t in DERIVED}
+    return table_verdicts(frames, sample_size=None).drop("ordinal")
 
 
 def c18_semantic_scan(spark, sf):
@@ -528,6 +570,12 @@ def d11_secure_read(spark, sf):
     return secure_read(store, "ANALYST", TABLE, ["k", "cccd_clean", "c03", "info", "grp"], database)
 
 
+def d11_secure_read_any_case(spark, sf):
+    """Names in any case get the masks of the columns they mean."""
+    store, database = _scanned_store(spark, sf, "_d11c")
+    return secure_read(store, "ANALYST", TABLE.upper(), ["K", "CCCD_Clean", "C03", "iNFO", "GRP"], database)
+
+
 def d12_secure_read_all(spark, sf):
     store, database = _scanned_store(spark, sf, "_d12")
     frames = []
@@ -684,7 +732,7 @@ def f3_gen_column(spark, sf):
 
 def f4_gen_table(spark, sf):
     """The scanner suite made from order keys, scored; shares must come out exact."""
-    ids = spread(_ids(spark, sf))
+    ids = _ids(spark, sf)
     table = G.gen_columns(ids, suites.SCANNER_SUITE, ids.count())
     scores = column_scores(table, "test_suite", sample_size=None)
     best = F.coalesce(F.array_max(F.map_values("raw_scores")), F.lit(0.0))
@@ -726,6 +774,8 @@ QUERIES = {
     "a6_insert_if_absent": a6_insert_if_absent,
     "a6_register_first": a6_register_first,
     "a8_upsert": a8_upsert,
+    "a6_insert_duplicates": a6_insert_duplicates,
+    "a8_upsert_duplicates": a8_upsert_duplicates,
     "a9_append": a9_append,
     "a11_read_ground_truth": a11_read_ground_truth,
     "a12_fetch_verdicts": a12_fetch_verdicts,
@@ -749,9 +799,11 @@ QUERIES = {
     "c11_build_request": c11_build_request,
     "c12_decode_response": c12_decode_response,
     "c13_arbitrate": c13_arbitrate,
+    "c13_arbitrate_repeated_answers": c13_arbitrate_repeated_answers,
     "c14_reason_suffix": c14_reason_suffix,
     "c15_level_weight": c15_level_weight,
     "c16_scan_table": c16_scan_table,
+    "c16_scan_table_unkeyed": c16_scan_table_unkeyed,
     "c16_scan_table_exact": c16_scan_table_exact,
     "c17_scan_all": c17_scan_all,
     "c18_semantic_scan": c18_semantic_scan,
@@ -772,6 +824,7 @@ QUERIES = {
     "d11_secure_frame_auditor": d11_secure_frame_auditor,
     "d11_secure_frame_analyst": d11_secure_frame_analyst,
     "d11_secure_read": d11_secure_read,
+    "d11_secure_read_any_case": d11_secure_read_any_case,
     "d12_secure_read_all": d12_secure_read_all,
     "d13_access_audit": d13_access_audit,
     "d13_accessed_columns": d13_accessed_columns,

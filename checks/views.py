@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.sources.tables import spread
-
 PII_COLUMNS = (
     "k", "cccd_clean", "cccd_noise_70", "phone_clean", "email_clean", "e8_n_65", "health_insurance_id_clean",
     "c03", "o_text", "m_val", "info", "sys_record_id", "is_active", "tx_amount", "email_sparse", "contact",
@@ -83,16 +81,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _derive(spark: SparkSession, sf_dir: str, template: str, table: str, dealt: bool = False) -> DataFrame:
+def _derive(spark: SparkSession, sf_dir: str, template: str, table: str) -> DataFrame:
     source = load(spark, sf_dir, table)
-    source = spread(source) if dealt else source
     select = view_sql(template, table, "STRING").removesuffix(f"FROM {table}") + "FROM {source}"
     return spark.sql(select, source=source)
 
 
-def pii_view(spark: SparkSession, sf_dir: str, table: str = "orders", dealt: bool = False) -> DataFrame:
-    """The derived table; ``dealt`` spreads its rows over all cores first."""
-    return _derive(spark, sf_dir, _PII, table, dealt)
+def pii_view(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:
+    """The derived table."""
+    return _derive(spark, sf_dir, _PII, table)
 
 
 def edges_view(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:

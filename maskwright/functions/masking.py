@@ -40,9 +40,10 @@ def _stars(count: Column) -> Column:
 
 def mask_email(value: Column) -> Column:
     """First character, stars, ``@`` and the text between the first two ``@``."""
-    domain = F.substring_index(F.substring_index(value, "@", 2), "@", -1)
-    hidden = F.length(value) - F.length(domain) - 2
-    return F.concat(F.substring(value, 1, 1), _stars(hidden), F.lit("@"), domain)
+    at = F.locate("@", value)
+    to_domain = F.substring_index(value, "@", 2)
+    hidden = F.length(value) - (F.length(to_domain) - at) - 2
+    return F.concat(F.substring(value, 1, 1), _stars(hidden), F.substr(to_domain, at))
 
 
 def mask_words(value: Column) -> Column:

@@ -62,17 +62,10 @@ def _text_tag(value: Column) -> Column:
     Places come before persons, because several provinces open with a word that
     is also a family name.
     """
-    size = F.octet_length(value)
-    address = (
-        (size <= V.MAX_ADDRESS_BYTES)
-        & value.rlike(V.ADDRESS_PATTERN)
-        & ~value.rlike(V.ORGANISATION_PATTERN)
-    )
+    address = value.rlike(V.ADDRESS_PATTERN) & ~value.rlike(V.ORGANISATION_PATTERN)
     return F.when(
         value.contains(" "),
-        F.when(address, F.lit("ADDRESS")).when(
-            (size <= V.MAX_NAME_BYTES) & value.rlike(V.NAME_PATTERN), F.lit("NAME")
-        ),
+        F.when(address, F.lit("ADDRESS")).when(value.rlike(V.NAME_PATTERN), F.lit("NAME")),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright import vocab as V
 from maskwright.functions.text import reason_suffix
+from maskwright.operators.keyed import one_per_key
 from maskwright.operators.semantic import ANSWER_COLUMNS
 
 NO_ANSWER = "no answer"
@@ -15,7 +16,13 @@ VERDICT_COLUMNS = ("table_name", "ordinal", "column_name", "is_pii", "sensitivit
 
 
 def with_answers(scored: DataFrame, answers: DataFrame) -> DataFrame:
-    """Attach replies (``is_pii, suggested_tag, ...``) to their columns."""
+    """Attach replies (``is_pii, suggested_tag, ...``) to their columns.
+
+    Of several answers for a column the last in reply order (``position``) counts."""
+    if "position" in answers.columns:
+        answers = one_per_key(answers, ["table_name", "column_name"], F.col("position"))
+    else:
+        answers = one_per_key(answers, ["table_name", "column_name"], F.struct(*[c for c in answers.columns]))
     renamed = answers.select(
         "table_name",
         "column_name",

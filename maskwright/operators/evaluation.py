@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
@@ -47,9 +47,11 @@ def confusion(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def require_complete(matrix: DataFrame) -> DataFrame:
-    """Raise when a table has truth columns without a prediction."""
+    """Raise when a table has truth columns without a prediction.
+
+    The check is a filter, so it runs whatever columns are read later."""
     text = F.concat(F.lit("Missing predictions in table "), F.col("table_name"))
-    return matrix.withColumn("tp", F.when(F.col("missing") == 0, F.col("tp")).otherwise(F.raise_error(text)))
+    return matrix.filter(F.when(F.col("missing") == 0, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 
 def scores(matrix: DataFrame) -> DataFrame:
@@ -175,11 +177,14 @@ def trimmed_latency(runs: DataFrame) -> DataFrame:
 def overhead_pct(secure_runs: DataFrame, normal_runs: DataFrame) -> DataFrame:
     """Overhead in percent of the secure over the normal mean; 0 when that is 0."""
     plain = _trimmed_sums(normal_runs.withColumn("_all", F.lit(1)), ["_all"]).select(
-        "_all", (F.col("total").cast("double") / F.col("n_runs")).alias("normal_duration")
+        F.lit(None).cast("string").alias("role_name"), F.lit(None).cast("bigint").alias("n_runs"),
+        F.lit(None).cast("double").alias("mean_duration"),
+        (F.col("total").cast("double") / F.col("n_runs")).alias("_normal"),
     )
     normal, secure = F.col("normal_duration"), F.col("mean_duration")
-    # Both sides hold one row per role at most.
-    joined = trimmed_latency(secure_runs).withColumn("_all", F.lit(1)).join(plain, "_all", "left")
+    # One row per role and one for the plain runs: the plain mean is spread over them without a join.
+    both = trimmed_latency(secure_runs).withColumn("_normal", F.lit(None).cast("double")).unionByName(plain)
+    joined = both.withColumn("normal_duration", F.max("_normal").over(Window.partitionBy())).filter("n_runs is not null")
     return joined.select(
         "role_name", "n_runs", "mean_duration", "normal_duration",
         F.when(normal > 0, (secure - normal) / normal * 100).otherwise(0.0).alias("overhead_pct"),

@@ -63,12 +63,13 @@ def build_requests(results: DataFrame) -> DataFrame:
     ).withColumn("prompt", F.format_string(PROMPT, "table_name", "determined_json", "undetermined_json"))
 
 
-def decode_responses(raw: DataFrame, strict: bool = True) -> DataFrame:
+def decode_responses(raw: DataFrame, strict: bool = True, positions: bool = False) -> DataFrame:
     """Parse ``raw_reply`` into answer rows, one per column.
 
     A reply is valid when its JSON has the reply schema with known tags and
     levels. ``strict`` raises on the first invalid reply; otherwise invalid
     replies are left out (select them with :func:`invalid_responses`).
+    ``positions`` adds the place of each answer in its reply.
     """
     parsed = _parsed(raw)
     if strict:
@@ -78,7 +79,8 @@ def decode_responses(raw: DataFrame, strict: bool = True) -> DataFrame:
     else:
         parsed = parsed.filter("is_valid")
         columns = F.col("reply.columns")
-    return parsed.select("table_name", F.explode(columns).alias("c")).select("table_name", "c.*")
+    exploded = parsed.select("table_name", F.posexplode(columns).alias("position", "c"))
+    return exploded.select("table_name", "c.*", *["position"] * positions)
 
 
 def invalid_responses(raw: DataFrame) -> DataFrame:

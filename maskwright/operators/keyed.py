@@ -7,6 +7,8 @@ sides are shuffled on the key, once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ def one_per_key(df: DataFrame, keys: list[str], order: Column, last: bool = True
     """Keep one whole row per key: the last (or first) by ``order``.
 
     An aggregation rather than a window, so copies of a key are combined before
-    the shuffle and a hot key costs one row per task.
+    the shuffle and a hot key costs one row per task. A row whose order is null
+    is kept only if its key has no other.
     """
     row = F.struct(*df.columns)
-    pick = F.max_by(row, order) if last else F.min_by(row, order)
+    ranked = F.struct((order.isNull() if not last else order.isNotNull()).alias("null"), order.alias("order"))
+    pick = F.max_by(row, ranked) if last else F.min_by(row, ranked)
     return df.groupBy(*keys).agg(pick.alias("_row")).select("_row.*")
 
 
@@ -28,17 +32,32 @@ def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> Data
 
 
 def absent_rows(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``new`` whose key is not in ``target``."""
-    return new.join(target.select(*keys), keys, "left_anti").select(*target.columns)
+    """One row of ``new`` for each key that is not in ``target``: the least, of several.
+
+    Null is a key value like any other."""
+    return _without(_unique(new.select(*target.columns), keys), target, keys)
+
+
+def _unique(df: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg((F.max(row) if last else F.min(row)).alias("_row")).select("_row.*")
+
+
+def _without(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key ``other`` does not have."""
+    right = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = [df[k].eqNullSafe(right[f"_key{i}"]) for i, k in enumerate(keys)]
+    return df.join(right, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Replace the rows of ``target`` that have a key in ``new``, add the others.
 
-    Keys must be unique in ``new`` (see :func:`one_per_key`).
+    Of several rows with one key in ``new`` the greatest stays (choose before with
+    :func:`one_per_key`). Null is a key value like any other.
     """
-    kept = target.join(new.select(*keys), keys, "left_anti").select(*target.columns)
-    return kept.unionByName(new.select(*target.columns))
+    unique = _unique(new.select(*target.columns), keys, last=True)
+    return _without(target, unique, keys).unionByName(unique)
 
 
 def append(target: DataFrame, new: DataFrame) -> DataFrame:

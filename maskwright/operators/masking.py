@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from maskwright.functions.masking import column_ref, mask_expr
+from maskwright.functions.names import folding, names_by_fold
 
 
 def mask_column(df: DataFrame, column: str, rule) -> DataFrame:
@@ -15,11 +16,19 @@ def mask_column(df: DataFrame, column: str, rule) -> DataFrame:
 def mask_frame(df: DataFrame, rules: dict[str, str], unknown: str | None = None, strict: bool = False) -> DataFrame:
     """Mask all columns in one projection, in schema order.
 
-    Columns without a rule pass through, or follow ``unknown`` when it is given.
+    Columns that ``rules`` does not name pass through, or follow ``unknown`` when
+    it is given; one that it names with an empty rule raises, since clear text
+    would be the wrong guess. Names are compared as the session compares them.
     Works on streaming frames as well: the masks hold no state.
     """
+    by_name = names_by_fold(df.sparkSession, rules)
+    fold = folding(df.sparkSession)
+
     def one(name: str):
-        rule = rules.get(name) or unknown
+        known = by_name.get(fold(name))
+        if known is not None and not (rules[known] or "").strip():
+            raise ValueError(f"Column {name} has a policy without a rule")
+        rule = rules[known] if known is not None else unknown
         return mask_expr(name, rule, strict) if rule else column_ref(name)
 
     return df.select(*[one(c) for c in df.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
+from maskwright.functions.names import folding
 
 POLICY_SCHEMA = "table_name string, column_name string, sensitivity_level string, masking_rule string"
 AUDIT_SCHEMA = "user_role string, target_table string, context_details string, executed_at timestamp"
@@ -21,7 +22,8 @@ def resolve_policies(
 ) -> DataFrame:
     """(table_name, column_name, sensitivity_level, masking_rule) for a role.
 
-    The filters reach both metadata scans before the joins. No side is forced to
+    ``columns`` are compared as the session compares names. A level above NONE that
+    the role has no rule for gives a null rule, which the masks refuse. The filters reach both metadata scans before the joins. No side is forced to
     be broadcast: Spark does so while its size estimate stays under the session
     limit, and shuffles on the key beyond it.
     """
@@ -30,11 +32,14 @@ def resolve_policies(
     if table and table.strip():
         tables = tables.filter(F.col("table_name") == table.strip())
     if columns:
-        found = found.filter(F.col("column_name").isin(list(columns)))
+        fold = folding(columns_metadata.sparkSession)
+        stored = F.col("column_name") if fold is str else F.lower("column_name")
+        found = found.filter(stored.isin([fold(c) for c in columns]))
     rules = policies.filter(F.col("role_name") == role).select("sensitivity_level", "masking_rule")
     return (
         found.join(tables, "table_id")
-        .join(rules, "sensitivity_level")
+        .join(rules, "sensitivity_level", "left")
+        .filter((F.col("sensitivity_level") != V.NONE_LEVEL) | F.col("masking_rule").isNotNull())
         .select("table_name", "column_name", "sensitivity_level", "masking_rule")
     )
 

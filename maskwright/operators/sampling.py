@@ -19,15 +19,19 @@ def list_columns(df: DataFrame) -> list[str]:
     return [field.name for field in df.schema.fields]
 
 
-def draw_key(key: list[str], seed: int) -> Column:
-    """A repeatable pseudo-random hex text per row, made from its key columns."""
+def draw_key(key: list[str] | None, seed: int) -> Column:
+    """A pseudo-random hex text per row, made from its key columns or, without them, from a seeded random number.
+
+    Never from the whole row: equal rows must be drawn one by one."""
+    if not key:
+        return F.md5(F.rand(seed).cast("string"))
     parts = [F.coalesce(column_ref(k).cast("string"), F.lit("")) for k in key]
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def draw_limit(fraction: float) -> str:
-    """Upper bound on the first eight hex digits that keeps about ``fraction``."""
-    return "g" if fraction >= 1.0 else f"{int(fraction * 2**32):08x}"
+    """Upper bound on the first sixteen hex digits that keeps about ``fraction``."""
+    return "g" if fraction >= 1.0 else f"{int(fraction * 2**64):016x}"
 
 
 def bounded_sample(
@@ -39,22 +43,25 @@ def bounded_sample(
 ) -> DataFrame:
     """At most ``3n`` rows, drawn with fraction ``min(5n / rows, 1)``.
 
-    With ``key`` (columns that identify a row) the draw depends on the data
-    alone: rows whose key hash falls below the fraction, the ``3n`` smallest of
-    them. About ``5n`` rows pass the filter on the whole cluster, so the ordered
-    limit that follows stays small. Without ``key`` it is Spark's own seeded
-    Bernoulli sample, repeatable for one file layout. An empty table gives an
-    empty sample.
+    Rows whose draw falls below the fraction, the ``3n`` smallest of them: about
+    ``5n`` rows pass the filter on the whole cluster, so the ordered limit that
+    follows stays small. With ``key`` (columns that identify a row) the draw
+    depends on the data alone; without, on a seeded random number, repeatable for
+    one file layout. Every part of the table is drawn from alike. An empty table
+    gives an empty sample.
     """
+    return _drawn(df, n, key, seed, row_count).drop(_DRAW)
+
+
+def _drawn(df: DataFrame, n: int, key: list[str] | None, seed: int, row_count: int | None) -> DataFrame:
+    """The sample with its draws."""
     if row_count is None:
         row_count = df.count()
     fraction = min(5 * n / row_count, 1.0) if row_count else 1.0
-    if key is None:
-        return df.sample(withReplacement=False, fraction=fraction, seed=seed).limit(3 * n)
     drawn = df.withColumn(_DRAW, draw_key(key, seed))
     if fraction < 1.0:
         drawn = drawn.filter(F.col(_DRAW) < draw_limit(fraction))
-    return drawn.orderBy(_DRAW).limit(3 * n).drop(_DRAW)
+    return drawn.orderBy(_DRAW).limit(3 * n)
 
 
 def to_long(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -105,9 +112,7 @@ def non_blank(long: DataFrame) -> DataFrame:
 
 def _ranked_values(df: DataFrame, n: int, key: list[str] | None, seed: int, row_count: int) -> DataFrame:
     """(ordinal, value, rank): the first ``n`` non-blank values of the sample."""
-    sample = bounded_sample(df, n, key, seed, row_count)
-    order = draw_key(key, seed) if key else F.monotonically_increasing_id()
-    long = non_blank(to_long(sample.withColumn(_DRAW, order), keep=[_DRAW]))
+    long = non_blank(to_long(_drawn(df, n, key, seed, row_count), keep=[_DRAW]))
     first = Window.partitionBy("ordinal").orderBy(_DRAW)
     return long.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n).drop(_DRAW)
 
@@ -121,14 +126,10 @@ def sampled_values(
 ) -> DataFrame:
     """(ordinal, value): up to ``n`` non-blank values per column, in one job.
 
-    The values come from one bounded sample and are ranked in draw order. When
-    ``n`` covers the whole table there is nothing to choose, and all values are
-    kept without ranking them.
+    The values come from one bounded sample and are ranked in draw order.
     """
     if row_count is None:
         row_count = df.count()
-    if n >= row_count:
-        return non_blank(to_long(df))
     return _ranked_values(df, n, key, seed, row_count).drop("rank")
 
 
@@ -188,7 +189,7 @@ def stratified_sample(
     hands over at most its own few best rows.
     """
     value = column_ref(column).cast("string")
-    order = draw_key(key, seed) if key else F.rand(seed)
+    order = draw_key(key, seed)
     values = df.select(value.alias("value"), order.alias(_DRAW)).filter(F.trim("value") != "")
     if tag not in _DETECTORS:
         return values.orderBy(_DRAW).limit(n).select("value", F.lit(None).cast("boolean").alias("is_match"))

@@ -14,7 +14,7 @@ from maskwright.operators.sampling import DEFAULT_SEED, column_sample_lists, sam
 from maskwright.operators.scoring import profile_tables, regex_verdict, tag_scores
 from maskwright.operators.semantic import semantic_answer
 from maskwright.sources.store import MetadataStore, cut_lineage
-from maskwright.sources.tables import list_tables, read_table, resolve_fqn, spread
+from maskwright.sources.tables import list_tables, read_table, resolve_fqn
 
 
 def score_tables(
@@ -77,7 +77,7 @@ def scorer_verdicts(
     ]).select("table_name", "ordinal", "model_sample")
     requests = build_requests(scored.join(samples, ["table_name", "ordinal"]))
     replies = cut_lineage(score_with(requests, scorer, max_retries))
-    return arbitrate(with_answers(scored, decode_responses(replies)))
+    return arbitrate(with_answers(scored, decode_responses(replies, positions=True)))
 
 
 def save_verdicts(store: MetadataStore, verdicts: DataFrame) -> DataFrame:
@@ -134,6 +134,4 @@ def scan_all(
 
 
 def _scan(frames: dict[str, DataFrame], scorer: Callable[[str], str] | None, options: dict) -> DataFrame:
-    if options.get("sample_size", V.DEFAULT_SAMPLE_SIZE) is None:
-        frames = {name: spread(df) for name, df in frames.items()}
     return table_verdicts(frames, **options) if scorer is None else scorer_verdicts(frames, scorer, **options)

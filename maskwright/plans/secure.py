@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from maskwright import vocab as V
+from maskwright.functions.names import names_by_fold, own_names
 from maskwright.operators.masking import mask_frame
 from maskwright.operators.policy import POLICY_SCHEMA, access_audit, resolve_policies
 from maskwright.operators.sampling import columns_frame
@@ -27,10 +28,21 @@ def secure_frame(df: DataFrame, policies: DataFrame, unknown: str | None = None,
     return mask_frame(df, rules, unknown, strict)
 
 
-def _settle(policies: DataFrame) -> DataFrame:
-    """Look the policies of one table up once, for both the mask and the audit."""
-    rows = [tuple(row) for row in policies.collect()]
-    return local_frame(policies.sparkSession, rows, POLICY_SCHEMA)
+def _settle(policies: DataFrame, columns: list[str]) -> DataFrame:
+    """Look the policies of one table up once, for both the mask and the audit.
+
+    Columns get the names they have in the schema. A column of a level above NONE
+    without a rule raises."""
+    spark, rows = policies.sparkSession, []
+    for row in policies.collect():
+        if row.sensitivity_level == V.NONE_LEVEL and not row.masking_rule:
+            continue
+        if not row.masking_rule:
+            raise ValueError(f"Level {row.sensitivity_level} of column {row.column_name} has no rule for this role")
+        rows.append((row.table_name, row.column_name, row.sensitivity_level, row.masking_rule))
+    names_by_fold(spark, [row[1] for row in rows])
+    own = own_names(spark, columns, [row[1] for row in rows])
+    return local_frame(spark, [(t, name, level, rule) for (t, _, level, rule), name in zip(rows, own)], POLICY_SCHEMA)
 
 
 def secure_read(
@@ -57,7 +69,7 @@ def secure_read(
     policies = _settle(resolve_policies(
         store.columns_of(clean), store.read("tables_metadata"), store.read("access_policies"),
         name, clean, df.columns,
-    ))
+    ), df.columns)
     masked = secure_frame(df, policies, unknown, strict)
     store.append_access_audit(access_audit(columns_frame(df, clean), policies, name))
     return masked

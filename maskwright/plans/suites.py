@@ -26,7 +26,7 @@ def _noise(name: str, kind: str, pct: int = 100) -> ColumnSpec:
     return ColumnSpec(name, V.NONE_TAG, pct, NOISE_MAKERS[kind])
 
 
-# --- Fixed values: column names, tags and shares ---------------------------
+# --- Fixed values: column names, tags and shares; the category texts are free --
 SCANNER_SUITE = [
     _strict("cccd_clean", "RESIDENT_ID", 100),
     _strict("cccd_noise_70", "RESIDENT_ID", 70),
@@ -88,28 +88,28 @@ DOMAIN_TABLES = {
         _plain("gioi_tinh", one_of("Nam", "Nữ")),
         _tagged("sdt_chinh", "PHONE"),
         _tagged("dia_chi_cu_tru", "ADDRESS"),
-        _plain("quoc_tich", one_of("Việt Nam")),
+        _plain("quoc_tich", one_of("Việt Nam", "Lào", "Campuchia", "Hàn Quốc", "Pháp")),
         _tagged("ref_ext", "EMAIL"),
         _tagged("so_phu", "PHONE"),
         _plain("nhom_mau", one_of("A", "B", "O", "AB")),
-        _plain("tinh_trang_hn", one_of("Độc thân", "Đã kết hôn", "Ly hôn")),
-        _plain("trinh_do_hv", one_of("Cao đẳng", "Đại học", "Thạc sĩ")),
-        _plain("nghe_nghiep", one_of("Kỹ sư", "Giáo viên", "Bác sĩ", "Kế toán")),
+        _plain("tinh_trang_hn", one_of("Chưa kết hôn", "Có gia đình", "Góa", "Ly thân")),
+        _plain("trinh_do_hv", one_of("THPT", "Trung cấp", "Cử nhân", "Tiến sĩ")),
+        _plain("nghe_nghiep", one_of("Thợ điện", "Nông dân", "Y tá", "Lái xe", "Luật sư", "Hoàng Gia Travel")),
         _tagged("noi_sinh", "ADDRESS"),
         _plain("so_nguoi_phu_thuoc", number(0, 5)),
-        _plain("acc_status", one_of("Đã kích hoạt", "Chưa kích hoạt", "Bị khóa")),
-        _plain("dan_toc", one_of("Kinh", "Tày", "Thái", "Mường")),
-        _plain("e_type", one_of("Thường trú", "Tạm trú")),
-        _plain("xac_thuc", one_of("SMS OTP", "Chữ ký số công cộng")),
+        _plain("acc_status", one_of("Hoạt động", "Chờ duyệt", "Tạm dừng")),
+        _plain("dan_toc", one_of("Kinh", "Nùng", "Dao", "Khmer", "Ê Đê")),
+        _plain("e_type", one_of("Hộ gia đình", "Ở trọ", "Ký túc xá")),
+        _plain("xac_thuc", one_of("Vân tay", "Khuôn mặt", "Mã PIN")),
     ],
     "administrative_records": [
         _plain("ho_so_id", make_id("ADM")),
         _tagged("ref_id", "RESIDENT_ID"),
         _tagged("ten_chu_ho_so", "NAME"),
         _tagged("val_02", "PHONE"),
-        _plain("loai_ho_so", one_of("Khai sinh", "Hộ chiếu", "Đăng ký kinh doanh")),
-        _plain("co_quan_tiep_nhan", one_of("UBND Quận 1", "UBND TP. Hà Nội", "Sở Tư pháp Hà Nội")),
-        _plain("trang_thai_xu_ly", one_of("Đang xử lý", "Hoàn thành", "Từ chối")),
+        _plain("loai_ho_so", one_of("Đăng ký kết hôn", "Giấy phép lái xe", "Sổ hồng", "Tách thửa")),
+        _plain("co_quan_tiep_nhan", one_of("UBND Phường Thảo Điền", "Sở Y tế Lâm Đồng", "Chi cục Thuế Quận 7", "Công an Huyện Củ Chi")),
+        _plain("trang_thai_xu_ly", one_of("Mới nhận", "Chờ bổ sung", "Đã trả", "Hủy")),
         _tagged("ext_info", "EMAIL"),
         _plain("so_bien_lai", make_id("BL")),
         _tagged("so_bao_hiem", "HEALTH_INSURANCE_ID"),
@@ -117,12 +117,12 @@ DOMAIN_TABLES = {
         _plain("nhan_vien_xu_ly", make_id("NV")),
         _tagged("meta_addr", "ADDRESS"),
         _plain("so_ho_khau", NOISE_MAKERS["household"]),
-        _plain("kenh_tiep_nhan", one_of("Online", "Trực tiếp", "Bưu điện")),
-        _plain("ket_qua_xu_ly", one_of("Chấp thuận", "Từ chối")),
+        _plain("kenh_tiep_nhan", one_of("Cổng dịch vụ", "Tại quầy", "Tổng đài")),
+        _plain("ket_qua_xu_ly", one_of("Đạt", "Không đạt", "Trả lại")),
         _plain("ma_loai_thu_tuc", prefixed("PROC-", 100, 999)),
         _plain("phong_tiep_nhan", prefixed("Cửa số ", 1, 15)),
-        _plain("do_uu_tien_ho_so", one_of("Thường", "Khẩn", "Thượng khẩn")),
-        _plain("re_type", one_of("Trực tiếp tại quầy", "Bưu điện chuyển phát")),
+        _plain("do_uu_tien_ho_so", one_of("Thấp", "Vừa", "Cao")),
+        _plain("re_type", one_of("Nhận tại nhà", "Nhận tại quầy", "Bản điện tử")),
     ],
     "hr_employees": [
         _plain("emp_id", make_id("EMP")),
@@ -133,16 +133,16 @@ DOMAIN_TABLES = {
         _tagged("personal_email", "EMAIL"),
         _tagged("work_email", "EMAIL", make_work_email),
         _tagged("res_data", "ADDRESS"),
-        _plain("phong_ban", one_of("Kỹ thuật", "Kinh doanh", "Nhân sự")),
-        _plain("chuc_vu", one_of("Nhân viên", "Trưởng phòng", "Giám đốc")),
+        _plain("phong_ban", one_of("Pháp chế", "Kho vận", "Chăm sóc khách hàng", "Mai Linh Logistics")),
+        _plain("chuc_vu", one_of("Thực tập sinh", "Tổ trưởng", "Phó phòng", "Cố vấn")),
         _tagged("m_val", "SALARY"),
         _plain("mnv", NOISE_MAKERS["batch"]),
-        _plain("ten_ngan_hang", one_of("Vietcombank", "MB Bank", "Agribank")),
+        _plain("ten_ngan_hang", one_of("Ngân hàng Phương Nam", "Ngân hàng Sông Hồng", "Ngân hàng Cửu Long")),
         _plain("so_quyet_dinh", NOISE_MAKERS["decision"]),
         _tagged("ins_num", "HEALTH_INSURANCE_ID"),
-        _plain("loai_hop_dong", one_of("Thử việc", "Chính thức")),
-        _plain("status", one_of("Chính thức", "Tạm hoãn", "Đã nghỉ việc")),
-        _plain("gender", one_of("male", "female")),
+        _plain("loai_hop_dong", one_of("Thời vụ", "Xác định thời hạn", "Không thời hạn")),
+        _plain("status", one_of("Đang làm", "Nghỉ phép", "Thôi việc")),
+        _plain("gender", one_of("nam", "nữ")),
         _plain("manager_id", make_id("EMP")),
         _plain("bac_luong", prefixed("LEVEL-", 1, 7)),
     ],
@@ -157,18 +157,16 @@ DOMAIN_TABLES = {
         _tagged("email_lien_he", "EMAIL"),
         _tagged("dia_chi_thuong_tru", "ADDRESS"),
         _tagged("ma_so_bhyt", "HEALTH_INSURANCE_ID"),
-        _plain("ten_benh_vien", one_of("Bệnh viện Bạch Mai", "Bệnh viện Trung ương Huế", "Bệnh viện Đa khoa Đà Nẵng")),
-        _plain("khoa_kham", one_of("Tim mạch", "Tiêu hóa", "Nhi")),
-        _plain("chuan_doan", one_of("Viêm dạ dày cấp", "Rối loạn lipid máu")),
-        _plain("thuoc_chi_dinh", one_of("Metformin 500mg", "Losartan 50mg")),
+        _plain("ten_benh_vien", one_of("Bệnh viện Hoa Sen", "Bệnh viện Quận Thủ Đức", "Phòng khám Tâm Đức", "Bệnh viện Lê Lợi")),
+        _plain("khoa_kham", one_of("Ngoại tổng quát", "Da liễu", "Mắt", "Cao Áp")),
+        _plain("chuan_doan", one_of("Cảm cúm", "Gãy xương đòn", "Thiếu máu nhẹ", "Dị ứng thời tiết")),
+        _plain("thuoc_chi_dinh", one_of("Ibuprofen 400mg", "Cetirizine 10mg", "Vitamin C 1g")),
         _plain("chieu_cao_cm", number(150, 185)),
         _plain("can_nang_kg", number(45, 90)),
-        _plain("huyet_ap", one_of("110/70", "120/80", "140/90")),
+        _plain("huyet_ap", one_of("105/65", "118/76", "135/88")),
         _tagged("bac_si_dieu_tri", "NAME"),
         _plain("so_phong_kham", prefixed("P-", 101, 505)),
-        _plain("hinh_thuc_ra_vien", one_of("Cho về", "Chuyển viện")),
+        _plain("hinh_thuc_ra_vien", one_of("Xuất viện", "Chuyển khoa", "Theo dõi tại nhà")),
     ],
 }
 # --- End of fixed values ---------------------------------------------------
-
-DOMAIN_ROWS = 5000

@@ -32,11 +32,13 @@ def find_files(spark: SparkSession, pattern: str) -> list[str]:
     are listed; no file content is read.
     """
     try:
-        found = spark.read.format("binaryFile").load(pattern).select("path").collect()
+        files = spark.read.format("binaryFile").load(pattern).select("path")
     except AnalysisException:
         return []
-    folders = {row.path: posixpath.dirname(row.path) for row in found}
-    return sorted({folder if folder.lower().endswith(".csv") else path for path, folder in folders.items()})
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    # the parts of a folder are one entry before anything reaches the driver
+    found = files.select(F.when(F.lower(folder).endswith(".csv"), folder).otherwise(F.col("path")).alias("path")).distinct()
+    return sorted(row.path for row in found.collect())
 
 
 def ingest_csv(
@@ -69,7 +71,11 @@ def ingest_folder(
     Several loads are in flight at once, so small files do not leave the cluster
     idle. Of files with the same table name the last one in path order wins.
     """
-    files = {table_name_of(path): path for path in find_files(spark, pattern)}
+    files: dict[str, str] = {}
+    for path in find_files(spark, pattern):
+        if table_name_of(path) in files:
+            logger.warning("%s is not loaded: %s has the same table name", files[table_name_of(path)], path)
+        files[table_name_of(path)] = path
     if not files:
         logger.error("No CSV files match %s", pattern)
         return []

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
+from maskwright.functions.names import folding
 from maskwright.operators.keyed import absent_rows, one_per_key, update_where, upsert
 from maskwright.operators.policy import AUDIT_SCHEMA
 from maskwright.sources.local import local_frame
@@ -34,11 +35,13 @@ _COLUMN_KEYS = ["table_id", "column_name"]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; fall back to the warehouse."""
+    """Use the shared folder the session names; only a local session may fall back to its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ class MetadataStore:
 
     def columns_of(self, table: str) -> DataFrame:
         """Column rows of one table; the id is a constant, so one partition is read."""
-        return self.read("columns_metadata").filter(F.col("table_id") == table_id_of(F.lit(table)))
+        return self.read("columns_metadata").filter(F.col("table_id") == table_id_of(F.lit(table.strip().lower())))
 
     def verdicts(self, table: str) -> DataFrame:
         """Stored verdicts of one table, tag and level in upper case."""
@@ -168,13 +171,18 @@ class MetadataStore:
         """Set the level of one column; the next secure read sees it."""
         if level not in V.LEVELS:
             raise ValueError(f"Unknown level: {level}")
-        hit = F.col("column_name") == column
+        fold = folding(self.spark)
+        hit = (F.col("column_name") if fold is str else F.lower("column_name")) == fold(column)
         changed = update_where(
             self.columns_of(table), hit, {"sensitivity_level": F.lit(level), "updated_at": F.current_timestamp()}
         ).withColumn("updated_at", F.unix_micros("updated_at"))
         # One table's rows are bounded by its schema width; holding them here
         # frees the new content from the files it replaces.
-        kept = local_frame(self.spark, [tuple(r) for r in changed.collect()], _schema_text(changed))
+        rows = [tuple(r) for r in changed.collect()]
+        at = changed.columns.index("column_name")
+        if not any(fold(r[at]) == fold(column) for r in rows):
+            raise ValueError(f"No verdict is stored for column {column} of table {table}")
+        kept = local_frame(self.spark, rows, _schema_text(changed))
         self._replace_partitions(kept.withColumn("updated_at", F.timestamp_micros("updated_at")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.functions.masking import column_ref
+from maskwright.functions.names import own_names
 
 
 def resolve_fqn(table: str, database: str, catalog: str | None = None) -> str:
@@ -24,21 +25,9 @@ def write_table(df: DataFrame, fqn: str, provider: str = "parquet") -> None:
     df.write.format(provider).mode("overwrite").saveAsTable(fqn)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan to all cores before costly work on them.
-
-    A table kept in one or two files is read by as many tasks, however many
-    cores are idle. Tables with at least half as many scan partitions as there
-    are cores, so all large ones, are returned as they are. For plain scans:
-    counting the partitions of a plan with a shuffle would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
-
-
 def read_table(spark: SparkSession, fqn: str, columns: list[str] | None = None) -> DataFrame:
-    """The requested columns of a table, or all of them."""
+    """The requested columns of a table, or all of them, under the names of its schema."""
     df = spark.table(fqn)
     if not columns or list(columns) == ["*"]:
         return df
-    return df.select(*[column_ref(c) for c in columns])
+    return df.select(*[column_ref(c) for c in own_names(spark, df.columns, columns)])

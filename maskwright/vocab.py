@@ -152,7 +152,7 @@ _DAY = r"(?:0?[1-9]|[12]\p{Nd}|3[01])"
 _WORD = r"\p{Lu}[\p{L}\p{M}]*"
 
 _DATE = rf"{_YEAR}[-/.]{_MONTH}[-/.]{_DAY}|{_DAY}[-/.]{_MONTH}[-/.]{_YEAR}"
-_PAY = r"[1-9]\p{Nd}{3,4}000"
+_PAY = r"[1-9]\p{Nd}{3,5}000"
 
 DOB_PATTERN = whole_value(_DATE)
 SALARY_PATTERN = whole_value(_PAY)
@@ -162,16 +162,15 @@ NUMERIC_PATTERN = whole_value(
 )
 SHORTEST_NUMERIC = 7
 NAME_PATTERN = whole_value(rf"(?:{_words(FAMILY_NAMES)})(?: {_WORD}){{1,3}}")
+# Anchored: an address opens with a unit, or with a number and a street, or names
+# its unit or province behind its first commas. What follows may be of any length.
+_PARTS = r"(?:[^,]*, ?){0,3}"
+_UNIT = rf"(?:{_words(ADDRESS_UNITS)})(?:[ ,.]|\z)"
 ADDRESS_PATTERN = (
-    rf"(?:^|[ ,])(?:{_words(ADDRESS_UNITS)})(?:[ ,.]|\z)"
-    rf"|(?:^|, ?)(?:{_words(PROVINCES)}){_WS}\z"
+    rf"^{_WS}(?:{_PARTS}{_UNIT}|\p{{Nd}}[^,]*[ ]{_UNIT}|{_PARTS}(?:{_words(PROVINCES)})(?:,|{_WS}\z))"
 )
 ORGANISATION_PATTERN = rf"^{_WS}(?:{_words(ORGANISATION_WORDS)})(?: |\z)"
 
-# A name or an address longer than this many bytes is free text, not a value.
-MAX_NAME_BYTES = 120
-MAX_ADDRESS_BYTES = 400
-
 # How far the format alone speaks for the tag once most values carry it:
 # confidence = base + (1 - base) * share of matching values.
 SEMANTIC_BASE = {
