@@ -682,4 +682,8 @@ def oracle() -> dict[str, str]:
     )
     sql["c13_arbitrate_repeated_answers"] = sql["c13_arbitrate"]
     sql["d11_secure_read_any_case"] = sql["d11_secure_read"]
+    sql["f5_row_consistency"] = (
+        f"SELECT t AS table_name, count(*) AS n_rows, count(*) AS n_agree FROM customer, "
+        f"({values([(name,) for name in suites.DOMAIN_TABLES])}) x(t) GROUP BY t"
+    )
     return sql

@@ -749,6 +749,22 @@ def f5_gen_domain_tables(spark, sf):
     return table_verdicts(frames, sample_size=None).select("table_name", "column_name", "sensitivity_tag", "sensitivity_level")
 
 
+def f5_row_consistency(spark, sf):
+    """Rows whose e-mails are made from their name and whose resident number holds their year of birth."""
+    ids = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    n, counts = ids.count(), []
+    for name, specs in suites.DOMAIN_TABLES.items():
+        agree = F.lit(True)
+        for s in specs:
+            if s.follows and s.sensitivity_tag == "EMAIL":
+                agree &= F.col(s.column_name).startswith(slugify(F.col(s.follows)))
+            elif s.follows:
+                agree &= F.substring(s.column_name, 5, 2) == F.substring(s.follows, 3, 2)
+        counts.append(G.gen_columns(ids, specs, n).agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.count_if(agree).alias("n_agree")))
+    return _union(counts)
+
+
 def f6_slugify(spark, sf):
     names = pii_view(spark, sf).select("k", slugify(F.concat("c03", F.lit(" Đặng "), "grp")).alias("slug"))
     return names
@@ -846,6 +862,7 @@ QUERIES = {
     "f3_gen_column": f3_gen_column,
     "f4_gen_table": f4_gen_table,
     "f5_gen_domain_tables": f5_gen_domain_tables,
+    "f5_row_consistency": f5_row_consistency,
     "f6_slugify": f6_slugify,
     "f7_emit_truth": f7_emit_truth,
 }

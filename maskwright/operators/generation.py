@@ -235,7 +235,10 @@ def is_chosen(row_id: Column, n_rows: int, match_pct: int, salt: int = 0) -> Col
 
 @dataclass(frozen=True)
 class ColumnSpec:
-    """One generated column: its tag, its share of valid values, its maker."""
+    """One generated column: its tag, its share of valid values, its maker.
+
+    ``follows`` names the column that it agrees with in every row: an e-mail the
+    name it is made from, a resident number the birth date whose year it holds."""
 
     column_name: str
     sensitivity_tag: str
@@ -244,6 +247,7 @@ class ColumnSpec:
     regex_status: str = V.UNDETERMINED
     detection_method: str = V.METHOD_HYBRID
     expected_regex_score: float = 0.0
+    follows: str | None = None
 
 
 def gen_column(spec: ColumnSpec, row_id: Column, n_rows: int, seed: int = 42) -> Column:
@@ -260,10 +264,20 @@ def gen_columns(ids: DataFrame, specs: list[ColumnSpec], n_rows: int, id_column:
     """Add one generated column per spec to a frame whose ids are 0..n_rows-1."""
     row_id = column_ref(id_column)
     return ids.select(*[
-        gen_column(s, row_id, n_rows, seed + 100 * k).alias(s.column_name) for k, s in enumerate(specs)
+        gen_column(s, row_id, n_rows, seed_of(specs, k, seed)).alias(s.column_name) for k, s in enumerate(specs)
     ])
 
 
+def seed_of(specs: list[ColumnSpec], k: int, seed: int) -> int:
+    """The seed of the ``k``-th column; one that follows another draws the shared part alike."""
+    followed = specs[k].follows
+    if followed is None:
+        return seed + 100 * k
+    at = next(i for i, s in enumerate(specs) if s.column_name == followed)
+    # a resident number draws its birth date two salts on
+    return seed_of(specs, at, seed) - (2 if specs[k].sensitivity_tag == "RESIDENT_ID" else 0)
+
+
 def gen_table(spark: SparkSession, specs: list[ColumnSpec], n_rows: int, seed: int = 42) -> DataFrame:
     """A labelled table of ``n_rows`` rows, made by the executors."""
     return gen_columns(spark.range(n_rows), specs, n_rows, "id", seed)

@@ -71,8 +71,8 @@ END_TO_END = [
 ]
 
 
-def _tagged(name: str, tag: str, maker=None) -> ColumnSpec:
-    return ColumnSpec(name, tag, 100, maker)
+def _tagged(name: str, tag: str, maker=None, follows: str | None = None) -> ColumnSpec:
+    return ColumnSpec(name, tag, 100, maker, follows=follows)
 
 
 def _plain(name: str, maker) -> ColumnSpec:
@@ -82,14 +82,14 @@ def _plain(name: str, maker) -> ColumnSpec:
 DOMAIN_TABLES = {
     "citizen_info": [
         _plain("record_id", make_id("CIT")),
-        _tagged("cccd_so", "RESIDENT_ID"),
+        _tagged("cccd_so", "RESIDENT_ID", follows="ngay_sinh"),
         _tagged("ho_va_ten", "NAME"),
         _tagged("ngay_sinh", "DOB"),
         _plain("gioi_tinh", one_of("Nam", "Nữ")),
         _tagged("sdt_chinh", "PHONE"),
         _tagged("dia_chi_cu_tru", "ADDRESS"),
         _plain("quoc_tich", one_of("Việt Nam", "Lào", "Campuchia", "Hàn Quốc", "Pháp")),
-        _tagged("ref_ext", "EMAIL"),
+        _tagged("ref_ext", "EMAIL", follows="ho_va_ten"),
         _tagged("so_phu", "PHONE"),
         _plain("nhom_mau", one_of("A", "B", "O", "AB")),
         _plain("tinh_trang_hn", one_of("Chưa kết hôn", "Có gia đình", "Góa", "Ly thân")),
@@ -110,7 +110,7 @@ DOMAIN_TABLES = {
         _plain("loai_ho_so", one_of("Đăng ký kết hôn", "Giấy phép lái xe", "Sổ hồng", "Tách thửa")),
         _plain("co_quan_tiep_nhan", one_of("UBND Phường Thảo Điền", "Sở Y tế Lâm Đồng", "Chi cục Thuế Quận 7", "Công an Huyện Củ Chi")),
         _plain("trang_thai_xu_ly", one_of("Mới nhận", "Chờ bổ sung", "Đã trả", "Hủy")),
-        _tagged("ext_info", "EMAIL"),
+        _tagged("ext_info", "EMAIL", follows="ten_chu_ho_so"),
         _plain("so_bien_lai", make_id("BL")),
         _tagged("so_bao_hiem", "HEALTH_INSURANCE_ID"),
         _plain("process_days", one_of("3", "5", "7", "15", "30")),
@@ -126,12 +126,12 @@ DOMAIN_TABLES = {
     ],
     "hr_employees": [
         _plain("emp_id", make_id("EMP")),
-        _tagged("so_cccd", "RESIDENT_ID"),
+        _tagged("so_cccd", "RESIDENT_ID", follows="d_entry"),
         _tagged("ho_ten_nv", "NAME"),
         _tagged("d_entry", "DOB"),
         _tagged("sdt_ca_nhan", "PHONE"),
-        _tagged("personal_email", "EMAIL"),
-        _tagged("work_email", "EMAIL", make_work_email),
+        _tagged("personal_email", "EMAIL", follows="ho_ten_nv"),
+        _tagged("work_email", "EMAIL", make_work_email, "ho_ten_nv"),
         _tagged("res_data", "ADDRESS"),
         _plain("phong_ban", one_of("Pháp chế", "Kho vận", "Chăm sóc khách hàng", "Mai Linh Logistics")),
         _plain("chuc_vu", one_of("Thực tập sinh", "Tổ trưởng", "Phó phòng", "Cố vấn")),
@@ -148,13 +148,13 @@ DOMAIN_TABLES = {
     ],
     "medical_records": [
         _plain("record_id", make_id("MED")),
-        _tagged("so_cccd_benh_nhan", "RESIDENT_ID"),
+        _tagged("so_cccd_benh_nhan", "RESIDENT_ID", follows="ngay_sinh"),
         _tagged("ref", "NAME"),
         _tagged("ngay_sinh", "DOB"),
         _plain("gioi_tinh", one_of("Nam", "Nữ")),
         _plain("nhom_mau", one_of("A", "B", "O", "AB")),
         _tagged("so_dien_thoai", "PHONE"),
-        _tagged("email_lien_he", "EMAIL"),
+        _tagged("email_lien_he", "EMAIL", follows="ref"),
         _tagged("dia_chi_thuong_tru", "ADDRESS"),
         _tagged("ma_so_bhyt", "HEALTH_INSURANCE_ID"),
         _plain("ten_benh_vien", one_of("Bệnh viện Hoa Sen", "Bệnh viện Quận Thủ Đức", "Phòng khám Tâm Đức", "Bệnh viện Lê Lợi")),
