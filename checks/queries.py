@@ -454,6 +454,18 @@ def c18_semantic_scan(spark, sf):
     return semantic_scan(_scores(spark, sf))
 
 
+def c18_semantic_scan_dates(spark, sf):
+    """Dates of birth against dates of business, with and without a telling name."""
+    k = F.col("o_orderkey")
+    dates = load(spark, sf, "orders").select(
+        F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")).cast("string").alias("ship_date"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")).cast("string").alias("dob"),
+        F.date_add(F.lit("1951-01-01").cast("date"), (k * 7 % 17000).cast("int")).cast("string").alias("d9"),
+        ((k % 800 + 100) * 1000000).cast("string").alias("salary"),
+    )
+    return semantic_scan(column_scores(dates, "dates", sample_size=None)).select("column_name", "suggested_tag")
+
+
 def c19_score_with(spark, sf):
     """A stand-in scorer calls a column a name if its samples say so."""
 
@@ -823,6 +835,7 @@ QUERIES = {
     "c16_scan_table_exact": c16_scan_table_exact,
     "c17_scan_all": c17_scan_all,
     "c18_semantic_scan": c18_semantic_scan,
+    "c18_semantic_scan_dates": c18_semantic_scan_dates,
     "c19_score_with": c19_score_with,
     "d1_resolve_policies": d1_resolve_policies,
     "d2_policy_matrix": d2_policy_matrix,

@@ -18,17 +18,22 @@ from maskwright.operators.sampling import all_columns, non_blank, to_long
 
 COUNTED_TAGS = V.STRICT_TAGS + V.SEMANTIC_TAGS
 
+DATE_YEARS = "date_years"
+
 
 def count_column(tag: str) -> str:
     return f"n_{tag.lower()}"
 
 
 def tag_counts(long: DataFrame) -> DataFrame:
-    """Per ordinal: the number of non-blank values and of values with each tag."""
-    tagged = non_blank(long).select("ordinal", value_tag(F.col("value")).alias("tag"))
+    """Per ordinal: the number of non-blank values and of values with each tag, and
+    how many years lie between the first and the last date."""
+    tagged = non_blank(long).select("ordinal", "value", value_tag(F.col("value")).alias("tag"))
+    year = "if(tag = 'DOB', try_cast(regexp_extract(value, '([0-9]{4})', 1) AS int), NULL)"
     return tagged.groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("n_values"),
         *[F.expr(f"count_if(tag = '{t}') AS {count_column(t)}") for t in COUNTED_TAGS],
+        F.expr(f"cast(max({year}) - min({year}) AS bigint)").alias(DATE_YEARS),
     )
 
 

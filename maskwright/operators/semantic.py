@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
-from maskwright.operators.scoring import COUNTED_TAGS, share
+from maskwright.operators.scoring import COUNTED_TAGS, DATE_YEARS, share
 
 ANSWER_COLUMNS = ("model_is_pii", "model_tag", "model_level", "model_confidence", "model_reason")
 
@@ -26,8 +26,11 @@ def tag_confidence(tag: str) -> str:
     """
     base = V.SEMANTIC_BASE[tag]
     cue = f"if(lower(column_name) RLIKE r'{V.name_cue_pattern(tag)}', {V.CUE_BONUS}D, 0D)"
+    known = f"{share(tag)} >= {V.MAJORITY_SHARE}"
+    if tag == "DOB":  # dates of orders or shipments lie close together; dates of birth span a generation
+        known += f" AND ({DATE_YEARS} >= {V.BIRTH_YEARS} OR {cue} > 0)"
     value = f"least(1D, {base}D + {1.0 - base}D * {share(tag)} + {cue})"
-    return f"if({share(tag)} >= {V.MAJORITY_SHARE}, round({value}, 6), 0D)"
+    return f"if({known}, round({value}, 6), 0D)"
 
 
 def semantic_answer(scored: DataFrame) -> DataFrame:

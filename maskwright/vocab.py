@@ -184,6 +184,8 @@ SEMANTIC_BASE = {
     "DOB": 0.3,
 }
 CUE_BONUS = 0.1
+# Dates of birth in a column that its name does not tell span so many years at least.
+BIRTH_YEARS = 15
 MAJORITY_SHARE = 0.5
 CONFIDENCE_GATE = 0.7
 
