@@ -65,8 +65,9 @@ def staged(df: DataFrame) -> DataFrame:
     jvm, hadoop = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(hadoop).deleteOnExit(where)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,7 @@ TILE = 2048
 #: Postings that one Arrow group holds on average.
 GROUP = 20_000
 _BEST = 2
+_AT_ONCE = 1 << 16
 _LAST = (1 << 63) - 1
 
 
@@ -177,13 +178,19 @@ def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None,
         keep = np.arange(len(i)) - first < best
         return [i[keep], j[keep], apart[keep], more[keep]]
 
-    late, pending = np.arange(len(word)), 0
-    for back in range(1, len(word)):
-        late = late[late >= back]
-        late = late[word[late] == word[late - back]]
+    number = np.searchsorted(word, word)  # where each posting's list starts
+    late, pending, back = np.arange(len(word)), 0, 1
+    while True:
+        late = late[late - back >= number[late]]
         if not len(late):
             break
-        i, j = late, late - back
+        # the longest lists are the last and few: for them many steps are taken at once
+        steps = max(1, min(512, _AT_ONCE // len(late)))
+        i = np.repeat(late, steps)
+        j = i - np.tile(np.arange(back, back + steps), len(late))
+        inside = j >= number[i]
+        i, j = i[inside], j[inside]
+        back += steps
         need = np.ceil(share * (size[i] + size[j]) - 1e-9)
         least = np.minimum(size[i], size[j])
         ok = probe[i] & (least >= need) & (np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
