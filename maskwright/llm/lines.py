@@ -48,6 +48,20 @@ def local_cells(spark: SparkSession, cells: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"cell": pa.array(cells.astype(np.int32))}))
 
 
+def _rare_first(line: np.ndarray, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by line, then rank, then word; line and rank are small numbers.
+
+    One number holds line, rank and as much of the word as fits, which nearly always settles it."""
+    lines, ranks = int(line.max(initial=0)).bit_length(), CELLS.bit_length()
+    key = (line.astype(np.uint64) << np.uint64(64 - lines)) if lines else np.zeros(len(line), np.uint64)
+    key |= (rank.astype(np.uint64) << np.uint64(64 - lines - ranks)) | (word >> np.uint64(lines + ranks))
+    order = np.argsort(key)
+    sorted_key, sorted_word = key[order], word[order]
+    if ((sorted_key[1:] == sorted_key[:-1]) & (sorted_word[1:] != sorted_word[:-1])).any():
+        return np.lexsort((word, rank, line))
+    return order
+
+
 class Lines:
     """The word sets of the lines of many texts, each set's words from rare to frequent.
 
@@ -58,8 +72,7 @@ class Lines:
         base = np.concatenate([[0], np.cumsum(words.data == 10)])[words.offsets[:-1]] if len(words.data) else np.zeros(len(column), np.int64)
         feed = np.flatnonzero(words.data == 10)
         number = np.searchsorted(feed, words.start) - base[words.text]
-        # one sort: by line, then rarity, then the word itself
-        order = np.lexsort((words.hash, rarity[_cell(words.hash)], words.line))
+        order = _rare_first(words.line, rarity[_cell(words.hash)], words.hash)
         line, word = words.line[order], words.hash[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])

@@ -102,3 +102,14 @@ def test_hot_lists_are_dealt_out(spark, monkeypatch):
     rows = texts(random.Random(9))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, with_lines_removed(docs, ["doc_id", "text"], group=50).collect()), key=repr) == plain(rows)
+
+
+def test_rare_first_is_the_full_order():
+    from maskwright.llm.lines import _rare_first
+
+    rng = np.random.default_rng(3)
+    for spread in (1 << 63, 40):  # the second has words that differ in their last bits alone
+        line, rank, word = np.sort(rng.integers(0, 50, 2000)), rng.integers(0, 5, 2000), rng.integers(0, spread, 2000).astype(np.uint64)
+        got, want = _rare_first(line, rank, word), np.lexsort((word, rank, line))
+        assert all((x[got] == x[want]).all() for x in (line, rank, word))
+    assert len(_rare_first(line[:0], rank[:0], word[:0])) == 0
