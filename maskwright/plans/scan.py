@@ -90,7 +90,9 @@ def save_verdicts(store: MetadataStore, verdicts: DataFrame) -> DataFrame:
 
 def _register(spark: SparkSession, store: MetadataStore, database: str, catalog: str | None) -> list[str]:
     names = list_tables(spark, database if catalog is None else f"{catalog}.{database}")
-    store.register_tables({name: resolve_fqn(name, database, catalog) for name in names})
+    paths = {name: resolve_fqn(name, database, catalog) for name in names}
+    store.register_tables(paths)
+    store.require_own_names(paths)
     return names
 
 

@@ -78,19 +78,20 @@ def secure_read(
 def secure_read_all(
     store: MetadataStore,
     role: str,
-    database: str = "default",
+    database: str | None = None,
     catalog: str | None = None,
     unknown: str | None = None,
     strict: bool = False,
 ) -> dict[str, DataFrame]:
     """Every registered table with all its columns, by table name.
 
-    A table that cannot be read is logged and left out.
+    Each is read from where it was registered, unless a database is given. A table that cannot be read is logged and left out.
     """
     frames = {}
-    for table in store.table_names():
+    for table, path in sorted(store.table_paths().items()):
+        namespace = database or path.rpartition(".")[0]
         try:
-            frames[table] = secure_read(store, role, table, None, database, catalog, unknown, strict)
+            frames[table] = secure_read(store, role, table, None, namespace, catalog if database else None, unknown, strict)
         except PySparkException:
             logger.exception("Could not read table %s", table)
     return frames

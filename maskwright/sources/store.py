@@ -120,7 +120,22 @@ class MetadataStore:
             self._append("tables_metadata", missing)
 
     def table_names(self) -> list[str]:
-        return sorted(r.table_name for r in self.read("tables_metadata").select("table_name").collect())
+        return sorted(self.table_paths())
+
+    def table_paths(self) -> dict[str, str]:
+        """Table name -> full name, of every registered table."""
+        rows = self.read("tables_metadata").select("table_name", "path").collect()
+        return {r.table_name: r.path for r in rows}
+
+    def require_own_names(self, paths: dict[str, str]) -> None:
+        """Raise where a name is registered for another path.
+
+        Verdicts are kept by table name: one table's would decide the masks of both."""
+        known = self.table_paths()
+        for name, path in paths.items():
+            before = known.get(name, path)
+            if before.lower() != path.lower():
+                raise ValueError(f"Table name {name} is registered for {before}; keep {path} in a store of its own")
 
     def table_id(self, name: str) -> int:
         row = self.read("tables_metadata").filter(F.col("table_name") == name.strip().lower()).first()

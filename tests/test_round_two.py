@@ -11,7 +11,7 @@ from maskwright.operators.keyed import insert_if_absent, one_per_key, upsert
 from maskwright.operators.masking import mask_frame
 from maskwright.operators.sampling import bounded_sample
 from maskwright.plans.scan import column_verdicts, scan_table
-from maskwright.plans.secure import secure_read
+from maskwright.plans.secure import secure_read, secure_read_all
 from maskwright.sources.store import MetadataStore
 from maskwright.sources.tables import write_table
 
@@ -93,3 +93,13 @@ def test_a_missing_prediction_always_raises(spark):
     matrix = require_complete(confusion(truth, truth.filter("column_name = 'a'")))
     with pytest.raises(Exception, match="Missing predictions"):
         level_accuracy(matrix).select("level_accuracy").collect()
+
+
+def test_one_name_in_two_databases(spark):
+    for database in ("first_db", "second_db"):
+        write_table(spark.createDataFrame([("012345678901",)] * 20, "cccd string"), f"{database}.people")
+    store = MetadataStore(spark, "names_meta").create()
+    scan_table(store, "people", "first_db", sample_size=None)
+    with pytest.raises(ValueError, match="store of its own"):
+        scan_table(store, "people", "second_db", sample_size=None)
+    assert secure_read_all(store, "ANALYST")["people"].first()[0] != "012345678901"
