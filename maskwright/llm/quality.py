@@ -102,49 +102,125 @@ def rule_steps() -> dict[str, Column]:
     return {k: F.ceil(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)) * STEPS).cast("int") for k, v in values.items()}
 
 
-def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, doubt: float, cost: float = 5.0) -> int | None:
-    """The cutoff c whose rule "step > c" pays best among those certified, or None.
-
-    ``good`` and ``bad`` count the labelled documents at each step. A cutoff is certified if, were its false
-    rejection rate ``risk``, so few rejections would have a probability of at most ``doubt`` (the exact
-    Clopper-Pearson bound). It pays by the bad documents it rejects, less ``cost`` for each good one. Among equals
-    the most lenient is taken: the one in the middle of the gap that parts good from bad."""
-    n, best = int(good.sum()), (0.0, 0, -2)
-    lost = n - np.cumsum(good)
+def losses_allowed(n: int, risk: float, doubt: float) -> int:
+    """So many of ``n`` good documents may be rejected that, were the rejection rate ``risk``, so few would have a
+    probability of at most ``doubt`` (the exact Clopper-Pearson bound); -1 if not even none."""
+    low, high = -1, n
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (k, high) if binomial_tail(k, n, risk) <= doubt else (low, k)
+    return low
+
+
+def paying_cutoff(good: np.ndarray, bad: np.ndarray, cost: float, most: float = float("inf")) -> tuple[float, int] | None:
+    """What the cutoff c whose rule "step > c" pays best pays, and c; None if none pays or loses ``most`` at most.
+
+    A cutoff pays by the bad documents it rejects, less ``cost`` for each good one. Among equals the most lenient is
+    taken: the one in the middle of the gap that parts good from bad."""
+    best = (0.0, 0, -2)
+    lost = good.sum() - np.cumsum(good)
     won = bad.sum() - np.cumsum(bad)
     for c in range(STEPS):
         pays = won[c] - cost * lost[c]
-        if n and pays > 0 and pays >= best[0] and binomial_tail(int(lost[c]), n, risk) <= doubt:
+        if good.sum() and pays > 0 and pays >= best[0] and lost[c] <= most:
             best = (pays, best[1] if pays == best[0] and best[2] == c - 1 else c, c)
-    return None if best[2] < 0 else (best[1] + best[2] + 1) // 2
+    return None if best[2] < 0 else (float(best[0]), int((best[1] + best[2] + 1) // 2))
 
 
-def certified_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, doubt: float = 0.05) -> DataFrame:
-    """(stratum, one cutoff column per rule), null where none is certified.
+def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, doubt: float, cost: float = 5.0) -> int | None:
+    """The best paying cutoff of one rule among those whose losses ``risk`` and ``doubt`` allow, or None.
+
+    ``good`` and ``bad`` count the labelled documents at each step."""
+    found = paying_cutoff(good, bad, cost, losses_allowed(int(good.sum()), risk, doubt))
+    return None if found is None else found[1]
 
-    All labelled documents that pass the base rules are the holdout: nothing is fitted to them but the choice of
-    cutoff, and each stratum, rule and step is one of the tests that ``doubt`` is shared among (Bonferroni). So
-    with probability 1 - doubt every rule in every stratum rejects at most ``risk`` of the good documents, and
-    since the rules share ``risk``, so do all rules together. A document labelled twice counts as bad if one label
-    says so. Labels without a matching document, null labels and null ids don't count."""
-    labels = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    steps = rule_steps()
-    marked = counted.filter(~base_failed()).join(labels, "doc_id").select(F.col(stratum).alias("_stratum"), "_quality", *[v.alias(k) for k, v in steps.items()])
-    long = marked.select("_stratum", "_quality", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("step")) for k in RULES])).alias("_r"))
-    table = long.groupBy("_stratum", "_quality", F.col("_r.rule").alias("rule"), F.col("_r.step").alias("step")).count()
-    table = staged(table)
-    strata = table.select("_stratum").distinct().count()
-    share = doubt / max(1, strata * len(RULES) * STEPS)
+
+def _rule_order(marked: DataFrame, cost: float) -> DataFrame:
+    """(_stratum, _rule, _cut, _k): the rules that pay with their cutoffs and their places in the order.
+
+    The best paying rule comes first, each further one is the best on what those before it leave. Only the half of
+    the good documents that is for fitting is looked at, where each stands for two, and all bad ones."""
+    rest = marked.filter("_fit or _quality = 0").withColumn("_used", F.array().cast("array<string>"))
 
     def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"_stratum": [key[0] if isinstance(key[0], str) else None]}
+        found = []
         for rule in RULES:
             own = rows[rows["rule"] == rule]
             counts = [np.bincount(x["step"], x["count"], STEPS + 1) for x in (own[own["_quality"] == 1], own[own["_quality"] == 0])]
-            out[rule] = [certified_cutoff(*counts, risk / len(RULES), share)]
+            if pays := paying_cutoff(*counts, 2 * cost):
+                found.append((pays[0], rule, pays[1]))
+        _, rule, cut = max(found, key=lambda x: x[0], default=(0, None, None))
+        return pd.DataFrame({"_stratum": [key[0] if isinstance(key[0], str) else None], "_rule": [rule], "_cut": [cut]}).astype({"_cut": "Int32"})
+
+    order = None
+    for k in range(len(RULES)):
+        long = rest.select("_stratum", "_quality", "_used", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("_r"))
+        table = long.filter(~F.array_contains("_used", F.col("_r.rule"))).groupBy("_stratum", "_quality", F.col("_r.rule").alias("rule"), F.col("_r.step").alias("step")).count()
+        best = staged(table.groupBy("_stratum").applyInPandas(choose, "_stratum string, _rule string, _cut int").filter("_rule is not null"))
+        ranked = best.withColumn("_k", F.lit(k))
+        order = ranked if order is None else order.union(ranked)
+        if best.isEmpty():
+            break
+        right = best.withColumnRenamed("_stratum", "_s")
+        rest = rest.join(right, rest["_stratum"].eqNullSafe(right["_s"]))
+        step = F.coalesce(*[F.when(F.col("_rule") == r, F.col(r)) for r in RULES])
+        rest = rest.filter(step <= F.col("_cut")).withColumn("_used", F.concat("_used", F.array("_rule"))).drop("_s", "_rule", "_cut")
+    return order
+
+
+def shares_of_doubt(sizes: dict[int, int], risk: float, doubt: float) -> int:
+    """Among how many strata ``doubt`` is shared; ``sizes``: how many strata have so many good documents.
+
+    Tarone's correction: a stratum too small to be certified at its share, were nothing of it lost, takes none."""
+    k = 1
+    while sum(many for n, many in sizes.items() if (1 - risk) ** n <= doubt / k) > k:
+        k += 1
+    return k
+
+
+def certified_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, doubt: float = 0.05, cost: float = 5.0) -> DataFrame:
+    """(stratum, one cutoff column per rule), null where none is certified.
+
+    Labelled documents that pass the base rules count. In each stratum half of the good ones, by a hash of the id,
+    and the bad ones fit an order of rules with a cutoff each. That makes one sequence from lenient to strict: the
+    first rule's cutoff sinks to its place, then the second's, and so on; a document's badness is where in it the
+    document is rejected. The other half of the good ones tests the sequence: its losses only grow, so the tests
+    form a fixed sequence and none needs a share of ``doubt``, which is shared among the strata alone. So with
+    probability 1 - doubt, all rules together reject at most ``risk`` of the good documents of every stratum. Of
+    the certified places the best paying is taken. A document labelled twice counts as bad if one label says so.
+    Labels without a matching document, null labels and null ids don't count."""
+    labels = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    fit = (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(2)) == 0).alias("_fit")
+    marked = counted.filter(~base_failed()).join(labels, "doc_id")
+    marked = staged(marked.select(F.col(stratum).alias("_stratum"), "_quality", fit, *[v.alias(k) for k, v in rule_steps().items()]))
+    order = staged(_rule_order(marked, cost))
+    entry = F.struct(F.col("_rule").alias("key"), F.struct(F.col("_k").alias("k"), F.col("_cut").alias("cut")).alias("value"))
+    right = order.groupBy(F.col("_stratum").alias("_s")).agg(F.map_from_entries(F.collect_list(entry)).alias("_path"))
+    tested = marked.filter("not _fit or _quality = 0").join(right, marked["_stratum"].eqNullSafe(right["_s"]))
+    # the rank of a place is k * STEPS + STEPS - 1 - cutoff; a document goes at the first cutoff below its step
+    ranks = [F.when(F.col(r) > F.col("_path")[r]["cut"], F.col("_path")[r]["k"] * STEPS + STEPS - F.col(r)) for r in RULES]
+    table = staged(tested.groupBy("_stratum", "_quality", F.coalesce(F.least(*ranks), F.lit(len(RULES) * STEPS)).alias("rank")).count())
+    sizes = table.filter("_quality = 1").groupBy("_stratum").agg(F.sum("count").alias("n")).groupBy("n").count()
+    share = doubt / shares_of_doubt({r[0]: r[1] for r in sizes.collect()}, risk, doubt)
+
+    def choose(key: tuple, rows: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"_stratum": [key[0][1:] if key[0] else None]} | {r: [None] for r in RULES}
+        at = sorted(zip(path["_k"], path["_rule"], path["_cut"], strict=True))
+        good, bad = (np.bincount(x["rank"], x["count"], len(RULES) * STEPS + 1) for x in (rows[rows["_quality"] == 1], rows[rows["_quality"] == 0]))
+        lost, won = np.cumsum(good), np.cumsum(bad)
+        most, best, last = losses_allowed(int(good.sum()), risk, share), 0.0, -1
+        for k, _, cut in at:  # within a rule the strictest of equals, its fitted cutoff; a further rule must win
+            ranks = np.arange(k * STEPS, k * STEPS + STEPS - cut)
+            pays = np.where(lost[ranks] <= most, won[ranks] - 2 * cost * lost[ranks], -np.inf)
+            if pays.max() > best:
+                best, last = pays.max(), int(ranks[np.flatnonzero(pays == pays.max())[-1]])
+        for k, rule, cut in at:
+            if k * STEPS <= last:
+                out[rule] = [max(cut, STEPS - 1 - (last - k * STEPS))]
         return pd.DataFrame(out).astype({r: "Int32" for r in RULES})
 
-    return table.groupBy("_stratum").applyInPandas(choose, "_stratum string, " + ", ".join(f"{r} int" for r in RULES))
+    keyed = [x.withColumn("_key", F.coalesce(F.concat(F.lit("="), "_stratum"), F.lit(""))).groupBy("_key") for x in (table, order)]
+    return keyed[0].cogroup(keyed[1]).applyInPandas(choose, "_stratum string, " + ", ".join(f"{r} int" for r in RULES))
 
 
 def judged(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -162,7 +238,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     """One row per document: doc_id, the counts, base_failed, kept.
 
     A null or empty text has no words and fails. A document whose language is null belongs to a stratum of its
-    own; a stratum with few labels gets no cutoffs, so only the base rules hold there."""
+    own; a stratum with few good labels (under 59 in the tested half, more if several share the doubt) gets no cutoffs,
+    so only the base rules hold there."""
     counted = staged(with_counts(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), drop_text=True))
     cutoffs = staged(certified_cutoffs(counted, labels, **options))
     return judged(counted, cutoffs).select("doc_id", *COUNTS[:5], "base_failed", "kept")

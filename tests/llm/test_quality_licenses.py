@@ -7,7 +7,7 @@ from helpers import odd_documents, words
 
 from maskwright.llm.common import binomial_tail
 from maskwright.llm.licenses import FAMILIES, TEMPLATES, license_paragraphs, tokens, train
-from maskwright.llm.quality import STEPS, certified_cutoff, kept_documents, quality_verdicts
+from maskwright.llm.quality import STEPS, certified_cutoff, kept_documents, losses_allowed, quality_verdicts, shares_of_doubt
 
 
 def plain_counts(text):
@@ -71,6 +71,26 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, q in labels if q}
 
 
+def test_small_strata_get_their_cutoffs(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for lang, good, bad in (("en", 2000, 200), ("de", 300, 30), (None, 300, 30), ("xx", 20, 10)):
+        for i in range(good + bad):
+            own = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(40, 80))]
+            rows.append((len(rows), " ".join(f"{w} ###" if i < bad and k % 2 else w for k, w in enumerate(own)), lang, "s", 1))
+            labels.append((len(labels), int(i >= bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in kept_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    good = {i for i, q in labels if q}
+    few = {r[0] for r in rows if r[2] == "xx"}  # too few to certify: only the base rules hold
+    assert kept - few == good - few and few <= kept
+
+
+def test_doubt_is_shared_among_strata_that_can_be_certified():
+    assert shares_of_doubt({1000: 1, 3: 500}, 0.05, 0.05) == 1 and shares_of_doubt({1000: 4, 10: 9}, 0.05, 0.05) == 4
+    assert [losses_allowed(n, 0.05, 0.05) for n in (0, 58, 59)] == [-1, -1, 0] and losses_allowed(246, 0.05, 0.0125) > 0
+
+
 def test_licenses_are_named_and_confirmed(spark):
     lines = [("x", t, f) for f, family in TEMPLATES.items() for t in family]
     texts = [f"some text here\n{t}\nmore of it" for _, t, _ in lines] + ["The license of the driver was lost in the park.", "permission granted by the software of a copy", None, ""]
