@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, growing, slices, staged, windows
+from maskwright.llm.common import Words, growing, mixed, slices, staged, windows
 from maskwright.llm.fm_index import Index, earlier_matches
 
 WIDTH = 50
 ANCHOR = 8
-#: Words of an index; a shard with more is indexed in blocks, and all of its segments run over each.
+#: Words of an index, and of a shard on average; a shard with more is indexed in blocks, and all of its segments run
+#: over each. Anchors of more than a HOT-th of it aren't put in a shard: their windows are compared one by one.
 SHARD_WORDS = 400_000
+HOT = 4
 _LAST = (1 << 63) - 1
 
 
@@ -99,6 +101,43 @@ def search_shard(bodies: list[str], owners: np.ndarray, searched: np.ndarray, wi
     return query, start - begin[query], stop - begin[query]
 
 
+def _hot_windows(segments: DataFrame, width: int) -> DataFrame:
+    """A row per window of the segments: where it starts, and 128 bits of hash of its words."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "body"):
+            words = Words(part.column("body"))
+            at, key = windows(words.hash, words.text, width)
+            key_2 = windows(mixed(words.hash ^ np.uint64(0xA0761D6478BD642F)), words.text, width)[1]
+            row = words.text[at]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).take(take) for c in ("anchor", "body_mark", "owner")), pa.array(at - words.of[row]), pa.array(key.view(np.int64)), pa.array(key_2.view(np.int64))],
+                names=["anchor", "body_mark", "owner", "_from", "key", "key_2"])
+
+    return segments.select("anchor", "body_mark", "owner", "body").mapInArrow(find, "anchor long, body_mark long, owner long, _from long, key long, key_2 long")
+
+
+def hot_spans(segments: DataFrame, width: int) -> DataFrame:
+    """(anchor, body_mark, _from, _to): the windows of segments that a smaller owner has too, by sums of no group."""
+    keyed = _hot_windows(segments, width)
+    shared = keyed.groupBy("key", "key_2").agg(F.min("owner").alias("_first"), F.max("owner").alias("_last")).filter("_first < _last")
+    found = keyed.join(growing(shared.drop("_last")), ["key", "key_2"]).filter("owner > _first")
+    return found.select("anchor", "body_mark", "_from", (F.col("_from") + width).alias("_to"))
+
+
+def dealt_segments(distinct: DataFrame, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """The segments to search, with their _shard, and those of anchors that are too large for one.
+
+    Copies are one segment by now: only anchors with different ones are searched."""
+    several = distinct.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("owner").alias("_least"), F.sum("size").alias("_size")).filter("_n > 1")
+    dealt = staged(distinct.join(growing(several.select("anchor", "_least", "_size")), "anchor"))
+    hot = F.col("_size") * HOT > shard_words
+    cold = dealt.filter(~hot)
+    shards = max(1, (cold.agg(F.sum("size")).first()[0] or 0) // shard_words)
+    return cold.withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))), dealt.filter(hot)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc, mark, spans): the word spans of each document that lie in windows which a smaller doc_id has too.
 
@@ -110,10 +149,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, sh
     segments = staged(_segments(docs.join(growing(hits), ["doc", "mark"])).withColumn("body_mark", F.xxhash64("body")))
     distinct = segments.groupBy("anchor", "body_mark").agg(F.min("doc").alias("owner"), F.min("body").alias("body"), F.max(F.col("behind") - F.col("first")).alias("size"))
     distinct = staged(distinct)
-    # copies are one segment by now: only anchors with different ones are searched, for all but the smallest owner
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("owner").alias("_least")).filter("_n > 1")
-    dealt = staged(distinct.join(growing(several.select("anchor", "_least")), "anchor"))
-    shards = max(1, (dealt.agg(F.sum("size")).first()[0] or 0) // shard_words)
+    dealt, hot = dealt_segments(distinct, shard_words)
 
     def search(shard: pa.Table) -> pa.Table:
         owner = shard.column("owner").to_numpy()
@@ -121,8 +157,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, sh
         take = pa.array(query)
         return pa.table({"anchor": shard.column("anchor").take(take), "body_mark": shard.column("body_mark").take(take), "_from": pa.array(start), "_to": pa.array(stop)})
 
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     spans = dealt.groupBy("_shard").applyInArrow(search, "anchor long, body_mark long, _from long, _to long")
+    if not hot.isEmpty():
+        spans = spans.union(hot_spans(hot, width))
     spans = spans.groupBy("anchor", "body_mark").agg(F.collect_list(F.struct("_from", "_to")).alias("own"))
     owners = distinct.select("anchor", "body_mark", "owner").join(growing(spans), ["anchor", "body_mark"], "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("_from"), (F.col("behind") - F.col("first")).alias("_to")))

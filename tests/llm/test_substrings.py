@@ -5,7 +5,7 @@ import pytest
 from helpers import odd_documents, words
 
 from maskwright.llm.fm_index import Index, suffix_order
-from maskwright.llm.substrings import remove_repeats, search_shard
+from maskwright.llm.substrings import dealt_segments, remove_repeats, search_shard
 
 
 def plain_removal(rows, width):
@@ -76,6 +76,23 @@ def test_removal_equals_brute_force(spark):
         assert sorted(map(tuple, got), key=repr) == plain_removal(rows, width)
 
 
+def test_a_common_phrase_is_not_one_shard(spark):
+    rng = random.Random(12)
+    phrase, passage = [f"p{i}" for i in range(4)], [f"q{i}" for i in range(14)]  # the second is longer than a window
+    rows = []
+    for i in range(200):
+        own = [[f"w{rng.randint(0, 9999)}" for _ in range(12)] for _ in range(3)]
+        rows.append((rng.randint(0, 150), " ".join(own[0] + phrase + own[1] + passage + own[2])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, anchor in ((10, 3), (10, 8)):
+        got = remove_repeats(docs, width=width, anchor=anchor, shard_words=400).collect()
+        assert sorted(map(tuple, got), key=repr) == plain_removal(rows, width)
+    bodies = [(1, i, i, "x", 30) for i in range(100)] + [(2 + i // 2, i, i, "x", 30) for i in range(100)]
+    cold, hot = dealt_segments(spark.createDataFrame(bodies, "anchor long, body_mark long, owner long, body string, size long"), 400)
+    assert {r.anchor for r in hot.collect()} == {1} and cold.count() == 100
+    assert max(r[1] for r in cold.groupBy("_shard").sum("size").collect()) <= 1200
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     got = remove_repeats(docs, width=5, anchor=2)
