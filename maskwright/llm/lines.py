@@ -167,13 +167,14 @@ def parity_apart(bits: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.n
 def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None, limit: int = 2_000_000) -> dict[str, np.ndarray]:
     """Pairs (late, early) of sets that share a prefix word and pass the length, positional and parity filters.
 
-    ``rows`` are postings: word, set, doc, line, size, position, probe, tile, and the parities as bits, start and
+    ``rows`` are postings: word, set, doc, mark (all alike if absent), line, size, position, probe, tile, and the parities as bits, start and
     words. All lists go in step: each posting is held against the one before it in its list, then the one before
     that. With ``best``, only so many pairs stay for each late posting, those whose parities differ least; ``more``
     tells that there were others."""
-    order = np.lexsort((rows["line"], rows["doc"], rows["word"]))
+    mark = rows.get("mark", np.zeros(len(rows["word"]), np.int64))
+    order = np.lexsort((rows["line"], mark, rows["doc"], rows["word"]))
     word, size, at = rows["word"][order], rows["size"][order], rows["position"][order]
-    doc, line, probe, tile = rows["doc"][order], rows["line"][order], rows["probe"][order], rows["tile"][order]
+    doc, mark, line, probe, tile = rows["doc"][order], mark[order], rows["line"][order], rows["probe"][order], rows["tile"][order]
     start, words, names = rows["start"][order], rows["words"][order], rows["set"][order]
     share = threshold / (1 + threshold)
     kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
@@ -207,7 +208,7 @@ def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None,
         need = np.ceil(share * (size[i] + size[j]) - 1e-9)
         least = np.minimum(size[i], size[j])
         ok = probe[i] & (least >= need) & (np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
-        ok &= (doc[i] > doc[j]) | (line[i] > line[j])
+        ok &= (doc[i] != doc[j]) | (mark[i] != mark[j]) | (line[i] != line[j])  # j comes first in the order
         ok &= (tile[i] < 0) | (tile[i] != tile[j])
         i, j, need = i[ok], j[ok], need[ok]
         apart = parity_apart(rows["bits"], start, words, i, j)
@@ -224,10 +225,10 @@ _PACK = 1 << 31
 
 
 def _postings(sets: DataFrame, probe: str = "true") -> DataFrame:
-    """A row per prefix word: word, set, doc, line, bits, and size, position and ``probe`` in one number."""
+    """A row per prefix word: word, set, doc, mark, line, bits, and size, position and ``probe`` in one number."""
     packed = F.col("size") * _PACK + F.col("position") + F.expr(f"if({probe}, 1L << 62, 0L)")
     exploded = sets.select("*", F.posexplode("prefix").alias("position", "word"))
-    return exploded.select("word", "set", "doc", "line", "bits", packed.alias("packed"))
+    return exploded.select("word", "set", "doc", "mark", "line", "bits", packed.alias("packed"))
 
 
 def _pairs(postings: DataFrame, hot_cells: DataFrame, groups: int, threshold: float, best: int | None) -> DataFrame:
@@ -242,7 +243,7 @@ def _pairs(postings: DataFrame, hot_cells: DataFrame, groups: int, threshold: fl
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rows = {c: table.column(c).to_numpy() for c in ("word", "set", "doc", "line")}
+        rows = {c: table.column(c).to_numpy() for c in ("word", "set", "doc", "mark", "line")}
         packed = table.column("packed").to_numpy()
         rows |= {"probe": packed >> 62 == 1, "size": (packed & ((1 << 62) - 1)) // _PACK, "position": packed % _PACK}
         bits = table.column("bits").cast(pa.large_binary()).combine_chunks()
@@ -311,7 +312,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GR
     hot_cells = local_cells(docs.sparkSession, np.flatnonzero(rarity > TILE))
     rarity = np.unique(rarity, return_inverse=True)[1].astype(np.int32)
     places = staged(_placed(docs, rarity, None))
-    first = F.min(F.struct("doc", "line", "mark")).alias("p")
+    first = F.min(F.struct("doc", "mark", "line")).alias("p")
     sets = _placed(docs, rarity, threshold).groupBy("set").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     sets = staged(sets.select("set", "p.doc", "p.mark", "p.line", "size", "bits", "prefix"))
     gone = staged(similar_sets(docs, sets, rarity, hot_cells, threshold, group)).withColumn("_gone", F.lit(True))

@@ -50,6 +50,21 @@ def test_lines_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == plain(rows)
 
 
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, None, d, 7]), text) for d, text in texts(rng)]
+    rows += [(None, f"the same first line with a year in it {y}\n{' '.join(f'v{y}x{k}' for k in range(5))}") for y in range(1990, 2020)]
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").selectExpr("*", "xxhash64(text) as mark")
+    rows = [(r.doc_id, r.mark, r.text) for r in docs.collect()]
+    places = [(((1 << 63) - 1 if d is None else d, m, i), frozenset(words(x))) for d, m, t in rows for i, x in enumerate(t.split("\n")) if words(x)]
+    want = []
+    for d, m, t in rows:
+        gone = [bool(words(x)) and any(p < ((1 << 63) - 1 if d is None else d, m, i) and len(o & set(words(x))) >= 0.8 * len(o | set(words(x))) - 1e-9 for p, o in places) for i, x in enumerate(t.split("\n"))]
+        want.append((d, "\n".join(x for x, g in zip(t.split("\n"), gone) if not g), sum(bool(words(x)) for x in t.split("\n")), sum(gone)))
+    got = with_lines_removed(docs.drop("mark"), ["doc_id", "text"], group=50)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark, ["", None, "a b\nb a\n\n", "a b", "x\r\nx", "solo", "漢字 🙂\n漢字 🙂"])
     docs = docs.filter("doc_id is not null")
