@@ -15,12 +15,12 @@ from maskwright.llm.common import Words, flat, mixed, slices, staged
 DEPTH = 5
 MIN_COUNT = 100
 TOP = 2000
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 #: Bits of the filter of frequent words and pairs that every task gets: 4 MB, whatever the input.
 _FILTER_BITS = 1 << 25
 _BLOCK_BITS = 1 << 15
 #: Counts that a task gathers before it combines them.
-_COUNTS = 1 << 22
+_COUNTS = 1 << 21
 #: Suffixes that a task sorts, on average.
 _SORTED = 300_000
 
