@@ -83,10 +83,10 @@ def counts_sql(source: str, columns, long: str | None = None) -> str:
         f"count(*) FILTER (WHERE {strict_match(t) if t in V.STRICT_TAGS else semantic_match(t)}) AS n_{t.lower()}"
         for t in TAGS
     )
-    year = f"TRY_CAST(regexp_extract(v, '([0-9]{{4}})', 1) AS INTEGER)"
-    dated = f"FILTER (WHERE {semantic_match('DOB')})"
-    sums += f", max({year}) {dated} - min({year}) {dated} AS date_years"
-    zero = ", ".join(f"coalesce(n_{t.lower()}, 0) AS n_{t.lower()}" for t in TAGS) + ", coalesce(date_years, 0) AS date_years"
+    year = "TRY_CAST(regexp_extract(v, '([0-9]{4})', 1) AS INTEGER)"
+    sums += f", quantile_disc({year}, 0.5) FILTER (WHERE {semantic_match('DOB')}) AS median_year"
+    sums += f", count(DISTINCT v) FILTER (WHERE {semantic_match('NAME')} OR {semantic_match('ADDRESS')}) AS n_texts"
+    zero = ", ".join(f"coalesce(n_{t.lower()}, 0) AS n_{t.lower()}" for t in TAGS) + ", median_year, coalesce(n_texts, 0) AS n_texts"
     return (
         f"SELECT a.ordinal, a.column_name, coalesce(n_values, 0) AS n_values, {zero} "
         f"FROM ({values([(i, c) for i, c in enumerate(columns)])}) a(ordinal, column_name) LEFT JOIN ("
@@ -139,7 +139,11 @@ def answers_sql(scores: str) -> str:
         base = V.SEMANTIC_BASE[t]
         cue = f"CASE WHEN regexp_matches(lower(column_name), {q(V.name_cue_pattern(t))}) THEN 0.1::DOUBLE ELSE 0 END"
         value = f"least(1.0::DOUBLE, {base}::DOUBLE + {1.0 - base}::DOUBLE * s_{t.lower()} + {cue})"
-        known = f"s_{t.lower()} >= 0.5" + (f" AND (date_years >= {V.BIRTH_YEARS} OR {cue} > 0)" if t == "DOB" else "")
+        known = f"s_{t.lower()} >= 0.5"
+        if t == "DOB":
+            known += f" AND (median_year <= {V.BIRTH_MEDIAN} OR {cue} > 0)"
+        if t in ("NAME", "ADDRESS"):
+            known += f" AND (n_texts >= least({V.MANY_VALUES}, {V.MANY_SHARE} * n_values) OR {cue} > 0)"
         parts.append(
             f"{{'c': CASE WHEN {known} THEN round({value}, 6) ELSE 0.0::DOUBLE END, "
             f"'w': {V.TAGS[t][1]}, 't': {q(t)}, 's': s_{t.lower()}}}"
@@ -690,9 +694,13 @@ def oracle() -> dict[str, str]:
         f"SELECT t AS table_name, count(*) AS n_rows, count(*) AS n_agree FROM customer, "
         f"({values([(name,) for name in suites.DOMAIN_TABLES])}) x(t) GROUP BY t"
     )
-    dates = ("SELECT CAST(DATE '1995-01-01' + CAST(o_orderkey % 900 AS INTEGER) AS VARCHAR) AS ship_date, ship_date AS dob, "
+    families = "[" + ", ".join(q(name) for name in V.FAMILY_NAMES[:12]) + "]"
+    dates = ("SELECT CAST(DATE '1995-01-01' + CAST(o_orderkey % 900 AS INTEGER) AS VARCHAR) AS dob, "
+             "CASE WHEN o_orderkey = 7 THEN '1970-01-01' ELSE dob END AS ship_date, "
+             f"{families}[o_orderkey % 12 + 1] || ' Minh ' || ['An', 'Mai', 'Long', 'Lan', 'Quỳnh'][o_orderkey % 5 + 1] AS c7, "
+             "['Hoàng Gia', 'Mai Linh', 'Phan Rang'][o_orderkey % 3 + 1] AS brand, "
              "CAST(DATE '1951-01-01' + CAST(o_orderkey * 7 % 17000 AS INTEGER) AS VARCHAR) AS d9, "
              "CAST((o_orderkey % 800 + 100) * 1000000 AS VARCHAR) AS salary FROM orders")
-    scored = scores_sql(counts_sql(dates, ["ship_date", "dob", "d9", "salary"]))
+    scored = scores_sql(counts_sql(dates, ["ship_date", "c7", "brand", "dob", "d9", "salary"]))
     sql["c18_semantic_scan_dates"] = f"SELECT column_name, m_tag AS suggested_tag FROM ({answers_sql(scored)})"
     return sql

@@ -455,10 +455,14 @@ def c18_semantic_scan(spark, sf):
 
 
 def c18_semantic_scan_dates(spark, sf):
-    """Dates of birth against dates of business, with and without a telling name."""
+    """Dates of birth against dates of business with one sentinel, and persons against labels that look like them."""
     k = F.col("o_orderkey")
+    business = F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")).cast("string")
+    person = F.concat(F.element_at(F.array(*map(F.lit, V.FAMILY_NAMES[:12])), (k % 12 + 1).cast("int")), F.lit(" Minh "),
+                      F.element_at(F.array(*map(F.lit, ("An", "Mai", "Long", "Lan", "Quỳnh"))), (k % 5 + 1).cast("int")))
+    label = F.element_at(F.array(*map(F.lit, ("Hoàng Gia", "Mai Linh", "Phan Rang"))), (k % 3 + 1).cast("int"))
     dates = load(spark, sf, "orders").select(
-        F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")).cast("string").alias("ship_date"),
+        F.when(k == 7, "1970-01-01").otherwise(business).alias("ship_date"), person.alias("c7"), label.alias("brand"),
         F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")).cast("string").alias("dob"),
         F.date_add(F.lit("1951-01-01").cast("date"), (k * 7 % 17000).cast("int")).cast("string").alias("d9"),
         ((k % 800 + 100) * 1000000).cast("string").alias("salary"),

@@ -25,8 +25,10 @@ SELECT {K} AS k,
   CASE WHEN {K} % 20 < 13 THEN 'user' || cast({K} AS {S}) || '@example.com'
        ELSE 'NOISE-' || cast({K} AS {S}) END AS e8_n_65,
   'DN' || lpad(cast(({K}*15485863+11) % 10000000000000 AS {S}), 13, '0') AS health_insurance_id_clean,
-  CASE {K} % 4 WHEN 0 THEN 'Nguyễn Văn An' WHEN 1 THEN 'Trần Thị Mai'
-       WHEN 2 THEN 'Lê Minh Long' ELSE 'Phạm Ngọc Lan' END AS c03,
+  CASE {K} % 4 WHEN 0 THEN 'Nguyễn' WHEN 1 THEN 'Trần' WHEN 2 THEN 'Lê' ELSE 'Phạm' END
+       || CASE {K} % 3 WHEN 0 THEN ' Văn ' WHEN 1 THEN ' Thị ' ELSE ' Minh ' END
+       || CASE {K} % 7 WHEN 0 THEN 'An' WHEN 1 THEN 'Mai' WHEN 2 THEN 'Long' WHEN 3 THEN 'Lan'
+       WHEN 4 THEN 'Hòa' WHEN 5 THEN 'Bình' ELSE 'Quỳnh' END AS c03,
   cast(1 + {K} % 500 AS {S}) || ' Lê Lợi, Phường Bến Nghé, Quận 1, TP. Hồ Chí Minh' AS o_text,
   cast((5 + {K} % 96) * 500000 AS {S}) AS m_val,
   cast(1960 + {K} % 44 AS {S}) || '-' || lpad(cast(1 + {K} % 12 AS {S}), 2, '0')

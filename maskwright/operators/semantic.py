@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
-from maskwright.operators.scoring import COUNTED_TAGS, DATE_YEARS, share
+from maskwright.operators.scoring import COUNTED_TAGS, EARLY_DATES, TEXT_BITS, share
 
 ANSWER_COLUMNS = ("model_is_pii", "model_tag", "model_level", "model_confidence", "model_reason")
 
@@ -27,12 +27,22 @@ def tag_confidence(tag: str) -> str:
     base = V.SEMANTIC_BASE[tag]
     cue = f"if(lower(column_name) RLIKE r'{V.name_cue_pattern(tag)}', {V.CUE_BONUS}D, 0D)"
     known = f"{share(tag)} >= {V.MAJORITY_SHARE}"
-    if tag == "DOB":  # dates of orders or shipments lie close together; dates of birth span a generation
-        known += f" AND ({DATE_YEARS} >= {V.BIRTH_YEARS} OR {cue} > 0)"
+    if tag == "DOB":  # their median year lies well before that of orders or shipments
+        known += f" AND (2 * {EARLY_DATES} >= n_dob OR {cue} > 0)"
+    if tag in ("NAME", "ADDRESS"):  # a category of a few labels may look like persons or places
+        known += f" AND ({many_values()} OR {cue} > 0)"
     value = f"least(1D, {base}D + {1.0 - base}D * {share(tag)} + {cue})"
     return f"if({known}, round({value}, 6), 0D)"
 
 
+def many_values() -> str:
+    """SQL text: whether a column's names and addresses are many different ones, by the linear counter.
+
+    ``n`` different values are expected to fill 64 * (1 - (63 / 64) ** n) of its places."""
+    places = f"64D * (1D - power(63D / 64D, least({V.MANY_VALUES}D, {V.MANY_SHARE}D * n_values)))"
+    return f"bit_count({TEXT_BITS}) >= {places}"
+
+
 def semantic_answer(scored: DataFrame) -> DataFrame:
     """Add the answer columns; null where the format verdict is SUCCESS."""
     candidates = ", ".join(

@@ -5,14 +5,11 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from maskwright import vocab as V
 from maskwright.functions.names import names_by_fold, own_names
 from maskwright.operators.masking import mask_frame
-from maskwright.operators.policy import POLICY_SCHEMA, access_audit, resolve_policies
-from maskwright.operators.sampling import columns_frame
-from maskwright.sources.local import local_frame
 from maskwright.sources.store import MetadataStore
 from maskwright.sources.tables import read_table, resolve_fqn
 
@@ -28,21 +25,33 @@ def secure_frame(df: DataFrame, policies: DataFrame, unknown: str | None = None,
     return mask_frame(df, rules, unknown, strict)
 
 
-def _settle(policies: DataFrame, columns: list[str]) -> DataFrame:
-    """Look the policies of one table up once, for both the mask and the audit.
+def _settle(spark: SparkSession, found: list[tuple], columns: list[str]) -> list[tuple]:
+    """(table, column, level, rule) of one table under the schema's own names.
 
-    Columns get the names they have in the schema. A column of a level above NONE
-    without a rule raises."""
-    spark, rows = policies.sparkSession, []
-    for row in policies.collect():
-        if row.sensitivity_level == V.NONE_LEVEL and not row.masking_rule:
+    A column of a level above NONE without a rule raises."""
+    rows = []
+    for table, column, level, rule in found:
+        if level == V.NONE_LEVEL and not rule:
             continue
-        if not row.masking_rule:
-            raise ValueError(f"Level {row.sensitivity_level} of column {row.column_name} has no rule for this role")
-        rows.append((row.table_name, row.column_name, row.sensitivity_level, row.masking_rule))
+        if not rule:
+            raise ValueError(f"Level {level} of column {column} has no rule for this role")
+        rows.append((table, column, level, rule))
     names_by_fold(spark, [row[1] for row in rows])
     own = own_names(spark, columns, [row[1] for row in rows])
-    return local_frame(spark, [(t, name, level, rule) for (t, _, level, rule), name in zip(rows, own)], POLICY_SCHEMA)
+    return [(t, name, level, rule) for (t, _, level, rule), name in zip(rows, own)]
+
+
+def _accesses(columns: list[str], settled: list[tuple]) -> list[tuple[str, str, str]]:
+    """(column, action, level) of every column read, in schema order."""
+    known = {column: (rule, level) for _, column, level, rule in settled}
+    return [(c, *known.get(c, ("NONE", V.NONE_LEVEL))) for c in columns]
+
+
+def _role_name(role: str) -> str:
+    name = str(getattr(role, "value", role))
+    if name not in V.ROLES:
+        raise ValueError(f"Unknown role: {role}")
+    return name
 
 
 def secure_read(
@@ -61,17 +70,12 @@ def secure_read(
     lookup or audit raises: data is never handed out unmasked or unrecorded.
     Filters the caller adds apply to the masked values.
     """
-    name = str(getattr(role, "value", role))
-    if name not in V.ROLES:
-        raise ValueError(f"Unknown role: {role}")
+    name = _role_name(role)
     clean = table.strip().lower()
     df = read_table(store.spark, resolve_fqn(clean, database, catalog), columns)
-    policies = _settle(resolve_policies(
-        store.columns_of(clean), store.read("tables_metadata"), store.read("access_policies"),
-        name, clean, df.columns,
-    ), df.columns)
-    masked = secure_frame(df, policies, unknown, strict)
-    store.append_access_audit(access_audit(columns_frame(df, clean), policies, name))
+    settled = _settle(store.spark, store.policies_of(name, clean, df.columns), df.columns)
+    masked = mask_frame(df, {column: rule for _, column, _, rule in settled}, unknown, strict)
+    store.log_access(name, {clean: _accesses(df.columns, settled)})
     return masked
 
 
@@ -85,15 +89,28 @@ def secure_read_all(
 ) -> dict[str, DataFrame]:
     """Every registered table with all its columns, by table name.
 
-    Each is read from where it was registered, unless a database is given. A table that cannot be read is logged and left out.
+    The policies of all tables are looked up in one job and all reads are audited in one append, however many tables
+    there are; if either fails, it raises. Each table is read from where it was registered, unless a database is given;
+    one that cannot be read is logged and left out.
     """
-    frames = {}
+    name = _role_name(role)
+    policies: dict[str, list[tuple]] = {}
+    for row in store.policies_of_all(name).collect():
+        policies.setdefault(row.table_name, []).append(tuple(row))
+    frames, reads = {}, {}
     for table, path in sorted(store.table_paths().items()):
         namespace = database or path.rpartition(".")[0]
         try:
-            frames[table] = secure_read(store, role, table, None, namespace, catalog if database else None, unknown, strict)
+            df = read_table(store.spark, resolve_fqn(table, namespace, catalog if database else None))
+            columns = df.columns
         except PySparkException:
             logger.exception("Could not read table %s", table)
+            continue
+        settled = _settle(store.spark, policies.get(table, []), columns)
+        frames[table] = mask_frame(df, {column: rule for _, column, _, rule in settled}, unknown, strict)
+        reads[table] = _accesses(columns, settled)
+    if reads:
+        store.log_access(name, reads)
     return frames
 
 

@@ -1,28 +1,35 @@
 """The metadata store: tables, column verdicts, policies and audit logs.
 
 Plain catalog tables, so they can be queried with SQL. One writer at a time is
-assumed. ``columns_metadata`` is partitioned by table, and a change rewrites
-the partitions of the tables it touches and no others; the new content is
-checkpointed first, so it never depends on the files it replaces.
+assumed, and any number of readers. Verdicts are kept in generations: a change
+writes all verdicts of a table under a new number, then a pointer file, one row of the
+table ``column_generations``, makes it the current one. ``columns_metadata`` is the view of what
+is current, so a reader sees the verdicts from before or from after a change and never none.
+Generations that were replaced stay until :meth:`MetadataStore.vacuum`.
+
+What decides a mask is small and kept by the driver under a token, the names of the files it came from: as long as
+nothing has changed, a lookup costs a listing and no job.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
 from maskwright.functions.names import folding
-from maskwright.operators.keyed import absent_rows, one_per_key, update_where, upsert
-from maskwright.operators.policy import AUDIT_SCHEMA
+from maskwright.operators.keyed import absent_rows, one_per_key, upsert
+from maskwright.operators.policy import AUDIT_SCHEMA, resolve_policies
 from maskwright.sources.local import local_frame
 
 SCHEMAS = {
     "tables_metadata": "table_id bigint, table_name string, path string, created_at timestamp",
-    "columns_metadata": "column_name string, sensitivity_tag string, sensitivity_level string, "
-    "detection_method string, confidence_score double, reason string, updated_at timestamp, table_id bigint",
+    "column_versions": "column_name string, sensitivity_tag string, sensitivity_level string, "
+    "detection_method string, confidence_score double, reason string, updated_at timestamp, table_id bigint, "
+    "generation bigint",
     "roles": "role_name string, role_description string",
     "access_policies": "role_name string, sensitivity_level string, masking_rule string",
     "governance_audit_logs": "table_id bigint, table_name string, column_name string, detection_method string, "
@@ -30,7 +37,8 @@ SCHEMAS = {
     "scanned_at timestamp",
     "policy_engine_audit_logs": AUDIT_SCHEMA,
 }
-_PARTITIONS = {"columns_metadata": "PARTITIONED BY (table_id)"}
+_PARTITIONS = {"column_versions": "PARTITIONED BY (table_id, generation)"}
+_POINTERS = "column_generations"
 _COLUMN_KEYS = ["table_id", "column_name"]
 
 
@@ -50,43 +58,104 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _schema_text(df: DataFrame) -> str:
-    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    """Set one session option for a block; inserts take it from nowhere else."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def table_id_of(name):
     """Stable id of a table name, the same in every session."""
     return F.xxhash64(F.lower(F.trim(name)))
 
 
+def _names(table: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in SCHEMAS[table].split(",")]
+
+
 class MetadataStore:
     def __init__(self, spark: SparkSession, database: str = "governance", provider: str = "parquet"):
         self.spark = spark
         self.database = database
         self.provider = provider
+        self._folders: dict[str, tuple] = {}
+        self._kept: dict[tuple, tuple] = {}
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
     def read(self, table: str) -> DataFrame:
         # The file listing may be cached from before another session's write.
-        self.spark.catalog.refreshTable(self.name(table))
+        for name in ("column_versions", _POINTERS) if table == "columns_metadata" else (table,):
+            self.spark.catalog.refreshTable(self.name(name))
         return self.spark.table(self.name(table))
 
+    def _folder(self, table: str):
+        """(file system, folder) of a table; both are the JVM's."""
+        if table not in self._folders:
+            found = self.spark.sql(f"DESCRIBE FORMATTED {self.name(table)}").filter("col_name = 'Location'").first()
+            if found is None:
+                raise ValueError(f"Table {self.name(table)} has no folder")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(found.data_type)
+            self._folders[table] = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+        return self._folders[table]
+
+    def _files(self, table: str) -> tuple[str, ...]:
+        """The names, sizes and times of a table's files, from a listing of its folder."""
+        system, folder = self._folder(table)
+        return tuple(sorted(
+            f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in system.listStatus(folder) if f.isFile()))
+
+    def generations(self) -> dict[int, int]:
+        """The current generation of each table id, as the names of the pointer files tell."""
+        system, folder = self._folder(_POINTERS)
+        current: dict[int, int] = {}
+        for file in system.listStatus(folder):
+            name = file.getPath().getName().removesuffix(".csv")
+            if not name.startswith((".", "_")):
+                table, generation = map(int, name.split("@"))
+                current[table] = max(generation, current.get(table, 0))
+        return current
+
+    def _publish(self, rows: DataFrame, tables: list[int]) -> int:
+        """Write ``rows`` as a new generation of ``tables`` (and of no other), then point to it."""
+        generation = self.write_generation(rows)
+        self.point_to(generation, tables)
+        return generation
+
+    def write_generation(self, rows: DataFrame) -> int:
+        """First step of a change: the rows are stored, and nobody reads them yet.
+
+        The number grows and is not used twice, even if a writer fails before the second step."""
+        generation = max([time.time_ns() // 1000, *[g + 1 for g in self.generations().values()]])
+        self._append("column_versions", rows.withColumn("generation", F.lit(generation).cast("long")))
+        return generation
+
+    def point_to(self, generation: int, tables: list[int]) -> None:
+        """Second step: a pointer file a table, renamed into place once it is written."""
+        system, folder = self._folder(_POINTERS)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for table in tables:
+            draft, name = path(folder, f".{table}@{generation}"), path(folder, f"{table}@{generation}.csv")
+            out = system.create(draft, True)
+            out.write(f"{table},{generation}\n".encode())
+            out.close()
+            if not system.rename(draft, name):
+                raise OSError(f"Could not publish {name}")
+
+    def vacuum(self, older_than_seconds: float = 3600.0) -> int:
+        """Remove generations that were replaced, or never published, so long ago; returns how many.
+
+        A frame that was read before stays valid that long."""
+        current, limit = self.generations(), (time.time() - older_than_seconds) * 1e6
+        self.spark.catalog.refreshTable(self.name("column_versions"))
+        system, folder = self._folder(_POINTERS)
+        gone = 0
+        for row in self.spark.sql(f"SHOW PARTITIONS {self.name('column_versions')}").collect():
+            table, generation = (int(part.split("=")[1]) for part in row.partition.split("/"))
+            if generation < limit and current.get(table) != generation:
+                pointer = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{table}@{generation}.csv")
+                system.delete(pointer, False)
+                self.spark.sql(f"ALTER TABLE {self.name('column_versions')} DROP IF EXISTS PARTITION (table_id={table}, generation={generation})")
+                gone += 1
+        return gone
+
     def _append(self, table: str, rows: DataFrame) -> None:
-        columns = [c.strip().split(" ")[0] for c in SCHEMAS[table].split(",")]
-        rows.select(*columns).write.insertInto(self.name(table))
+        rows.select(*_names(table)).write.insertInto(self.name(table))
 
     def create(self) -> MetadataStore:
         """Create missing tables; seed roles and policies that are absent."""
@@ -96,6 +165,12 @@ class MetadataStore:
                 f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({schema}) "
                 f"USING {self.provider} {_PARTITIONS.get(table, '')}"
             )
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(_POINTERS)} (table_id bigint, generation bigint) USING csv")
+        columns = ", ".join(f"v.{c}" for c in _names("column_versions"))
+        self.spark.sql(
+            f"CREATE VIEW IF NOT EXISTS {self.name('columns_metadata')} AS SELECT {columns} FROM {self.name('column_versions')} v "
+            f"JOIN (SELECT table_id, max(generation) AS generation FROM {self.name(_POINTERS)} GROUP BY table_id) p "
+            "ON v.table_id = p.table_id AND v.generation = p.generation")
         seeds = {
             "roles": (V.roles_frame(self.spark), ["role_name"]),
             "access_policies": (V.policies_frame(self.spark), ["role_name", "sensitivity_level"]),
@@ -143,12 +218,6 @@ class MetadataStore:
             raise ValueError(f"Table {name} is not registered.")
         return row.table_id
 
-    def _replace_partitions(self, content: DataFrame) -> None:
-        """Overwrite the partitions in ``content``, which must not read the table."""
-        columns = self.spark.table(self.name("columns_metadata")).columns
-        with _setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
-            content.select(*columns).write.insertInto(self.name("columns_metadata"), overwrite=True)
-
     def upsert_columns(self, verdicts: DataFrame) -> None:
         """Replace or add the verdicts of the scanned columns.
 
@@ -161,8 +230,8 @@ class MetadataStore:
             "confidence_score", "reason", F.current_timestamp().alias("updated_at"),
         )
         touched = [r.table_id for r in new.select("table_id").distinct().collect()]
-        target = self.read("columns_metadata").filter(F.col("table_id").isin(touched))
-        self._replace_partitions(cut_lineage(upsert(target, new, _COLUMN_KEYS)))
+        target = self.read("columns_metadata").filter(F.col("table_id").isin(touched)).drop("generation")
+        self._publish(upsert(target, new, _COLUMN_KEYS), touched)
 
     def append_scan_audit(self, verdicts: DataFrame) -> None:
         self._append("governance_audit_logs", verdicts.select(
@@ -174,9 +243,68 @@ class MetadataStore:
     def append_access_audit(self, audit: DataFrame) -> None:
         self._append("policy_engine_audit_logs", audit)
 
+    def log_access(self, role: str, reads: dict[str, list[tuple[str, str, str]]]) -> None:
+        """One audit row for each table read, in one append; ``reads`` holds (column, action, level) by table.
+
+        The rows are those of :func:`~maskwright.operators.policy.access_audit`, whose inputs are known here."""
+        now, rows = int(time.time() * 1e6), []
+        for table, columns in reads.items():
+            entries = [{"column_name": c, "action": action, "sensitivity_level": level,
+                        "is_masked": action not in ("NONE", "CLEAR_TEXT")} for c, action, level in columns]
+            context = {"accessed_columns": entries, "total_columns_accessed": len(entries)}
+            rows.append((role, table, json.dumps(context, ensure_ascii=False, separators=(",", ":")), now))
+        logged = local_frame(self.spark, rows, "user_role string, target_table string, context_details string, at bigint")
+        self.append_access_audit(logged.select("*", F.timestamp_micros("at").alias("executed_at")).drop("at"))
+
     def columns_of(self, table: str) -> DataFrame:
-        """Column rows of one table; the id is a constant, so one partition is read."""
-        return self.read("columns_metadata").filter(F.col("table_id") == table_id_of(F.lit(table.strip().lower())))
+        """Column rows of one table's current generation; both are constants, so one partition is read."""
+        table_id = _id(self.spark, table)
+        self.spark.catalog.refreshTable(self.name("column_versions"))
+        generation = self.generations().get(table_id, -1)
+        rows = self.spark.table(self.name("column_versions"))
+        return rows.filter((F.col("table_id") == F.lit(table_id)) & (F.col("generation") == F.lit(generation)))
+
+    def _remembered(self, key: tuple, token: tuple, load):
+        """``load()``, or what it gave while ``token`` was the same."""
+        if key not in self._kept or self._kept[key][0] != token:
+            self._kept[key] = token, load()
+        return self._kept[key][1]
+
+    def _rules(self) -> dict[tuple[str, str], str]:
+        """(role, level) -> masking rule."""
+        return self._remembered(("access_policies",), self._files("access_policies"), lambda: {
+            (r.role_name, r.sensitivity_level): r.masking_rule for r in self.read("access_policies").collect()})
+
+    def _current_rows(self, table: str) -> list[tuple]:
+        """The stored verdicts of one table, as tuples of the columns before ``generation``; bounded by its schema."""
+        token = (self.generations().get(_id(self.spark, table)),)
+        micros = F.unix_micros("updated_at").alias("updated_at")
+        return self._remembered(("columns", table), token, lambda: [
+            tuple(r) for r in self.columns_of(table).withColumn("updated_at", micros).drop("generation").collect()])
+
+    def policies_of(self, role: str, table: str, columns: list[str] | None = None) -> list[tuple]:
+        """:func:`resolve_policies` of one table as rows on the driver: (table, column, level, rule).
+
+        Looked up anew when the files of the policies or the table's generation changed; else no job runs."""
+        name = table.strip().lower()
+        if name not in self.known_tables():
+            return []
+        rules, fold = self._rules(), folding(self.spark)
+        wanted = {fold(c) for c in columns} if columns else None
+        found = []
+        for column, _, level, *_ in self._current_rows(name):
+            rule = rules.get((role, level))
+            if (wanted is None or fold(column) in wanted) and (level != V.NONE_LEVEL or rule is not None):
+                found.append((name, column, level, rule))
+        return found
+
+    def known_tables(self) -> dict[str, str]:
+        """:meth:`table_paths`, from memory while the registered tables are the same."""
+        return self._remembered(("tables_metadata",), self._files("tables_metadata"), self.table_paths)
+
+    def policies_of_all(self, role: str) -> DataFrame:
+        """Policies of every registered table, as one plan."""
+        return resolve_policies(self.read("columns_metadata"), self.read("tables_metadata"), self.read("access_policies"), role)
 
     def verdicts(self, table: str) -> DataFrame:
         """Stored verdicts of one table, tag and level in upper case."""
@@ -186,19 +314,32 @@ class MetadataStore:
         """Set the level of one column; the next secure read sees it."""
         if level not in V.LEVELS:
             raise ValueError(f"Unknown level: {level}")
-        fold = folding(self.spark)
-        hit = (F.col("column_name") if fold is str else F.lower("column_name")) == fold(column)
-        changed = update_where(
-            self.columns_of(table), hit, {"sensitivity_level": F.lit(level), "updated_at": F.current_timestamp()}
-        ).withColumn("updated_at", F.unix_micros("updated_at"))
-        # One table's rows are bounded by its schema width; holding them here
-        # frees the new content from the files it replaces.
-        rows = [tuple(r) for r in changed.collect()]
-        at = changed.columns.index("column_name")
-        if not any(fold(r[at]) == fold(column) for r in rows):
+        fold, name = folding(self.spark), table.strip().lower()
+        table_id, names = _id(self.spark, name), [c for c in _names("column_versions") if c != "generation"]
+        place = {c: i for i, c in enumerate(names)}
+        rows = [list(r) for r in self._current_rows(name)]
+        hits = [r for r in rows if fold(r[place["column_name"]]) == fold(column)]
+        if not hits:
             raise ValueError(f"No verdict is stored for column {column} of table {table}")
-        kept = local_frame(self.spark, rows, _schema_text(changed))
-        self._replace_partitions(kept.withColumn("updated_at", F.timestamp_micros("updated_at")))
+        for row in hits:
+            row[place["sensitivity_level"]] = level
+            row[place["updated_at"]] = time.time_ns() // 1000
+        rows = [tuple(r) for r in rows]
+        schema = SCHEMAS["column_versions"].removesuffix(", generation bigint").replace("updated_at timestamp", "updated_at bigint")
+        kept = local_frame(self.spark, rows, schema).withColumn("updated_at", F.timestamp_micros("updated_at"))
+        generation = self._publish(kept, [table_id])
+        self._kept[("columns", name)] = (generation,), rows
+
+
+def _id(spark: SparkSession, table: str) -> int:
+    """:func:`table_id_of` for a name known here."""
+    name = table.strip().lower()
+    if name not in _ids:
+        _ids[name] = spark.range(1).select(table_id_of(F.lit(name))).first()[0]
+    return _ids[name]
+
+
+_ids: dict[str, int] = {}
 
 
 def fetch_verdicts(columns_metadata: DataFrame, tables_metadata: DataFrame, table: str) -> DataFrame:

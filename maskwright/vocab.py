@@ -184,8 +184,12 @@ SEMANTIC_BASE = {
     "DOB": 0.3,
 }
 CUE_BONUS = 0.1
-# Dates of birth in a column that its name does not tell span so many years at least.
-BIRTH_YEARS = 15
+# The median year of dates of birth in a column that its name does not tell is at most this one.
+BIRTH_MEDIAN = 1990
+EARLY_YEAR_PATTERN = r"19[3-8]\p{Nd}|1990"
+# So many different values, or this share of a short column's, make names or addresses of more than a category.
+MANY_VALUES = 20
+MANY_SHARE = 0.5
 MAJORITY_SHARE = 0.5
 CONFIDENCE_GATE = 0.7
 

@@ -10,7 +10,17 @@ from maskwright.operators.sampling import (
     sampled_values,
     stratified_sample,
 )
-from maskwright.operators.scoring import profile, regex_verdict, split_by_status, tag_scores
+from maskwright.operators.sampling import to_long
+from maskwright.operators.scoring import (
+    CHUNK_COLUMNS,
+    chunk_counts,
+    profile,
+    profile_tables,
+    regex_verdict,
+    split_by_status,
+    tag_scores,
+)
+from maskwright.operators.semantic import semantic_scan
 from maskwright.plans.scan import column_scores, column_verdicts, table_verdicts
 
 SCORED = ("table_name string, ordinal int, column_name string, n_values bigint, n_resident_id bigint, "
@@ -90,11 +100,63 @@ def test_verdicts_at_the_threshold_and_on_ties(spark):
 def test_exact_profile_has_no_window_and_one_small_shuffle(spark):
     df = spark.range(1000).selectExpr("cast(id as string) a", "'user' || id || '@x.com' b", "null c")
     plan = profile(df, "t")._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "Cartesian" not in plan and "Python" not in plan
+    for costly in ("Window", "Cartesian", "Python", "Expand", "Generate"):
+        assert costly not in plan
     rows = {r.column_name: r for r in profile(df, "t").collect()}
     assert rows["b"].n_email == 1000 and rows["c"].n_values == 0
 
 
+def test_a_chunk_of_columns_fits_a_compiled_method(spark):
+    """The byte code of the widest method stays below what HotSpot compiles, and a column more would not hurt either."""
+    df = spark.range(10).select(*[F.concat(F.lit(f"{i}-"), "id").alias(f"c{i}") for i in range(CHUNK_COLUMNS)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = chunk_counts(df, df.columns)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(plan).iterator()
+        sizes = []
+        while stages.hasNext():
+            sizes.append(stages.next()._3().maxMethodCodeSize())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(sizes) < 8000
+
+
+def test_wide_and_long_counts_agree(spark):
+    """More columns than a chunk, blanks, nulls, odd names, numbers, and a table without rows."""
+    df = spark.range(300).selectExpr(
+        "cast(id as string) `a b`", "id n", "'user' || id || '@x.com' mail", "if(id % 3 = 0, null, if(id % 3 = 1, ' ', '0912345678')) p",
+        "cast(1960 + id % 60 as string) || '-01-02' d", "'Lê Minh ' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + cast(id % 26 as int), 1) who",
+        "array(id) list", "'Quận 1, Hà Nội' `place,x`", "'DN' || lpad(id, 13, '0') ins")
+    frames = {"t": df, "none": df.limit(0)}
+    long = {t: to_long(f) for t, f in frames.items()}
+    key = lambda r: (r["table_name"], r["ordinal"])
+    wide = sorted(profile_tables(frames).collect(), key=key)
+    assert wide == sorted(profile_tables(frames, long).collect(), key=key)
+    by_name = {r.column_name: r for r in wide if r.table_name == "t"}
+    assert by_name["p"].n_values == 100 and by_name["d"].n_early_dates == 155 and by_name["d"].n_dob == 255
+    assert bin(by_name["who"].text_bits).count("1") > 15 and bin(by_name["place,x"].text_bits).count("1") == 1
+
+
+def tags_of(df):
+    return {r.column_name: r.suggested_tag for r in semantic_scan(column_scores(df, "t", sample_size=None)).collect()}
+
+
+def test_one_sentinel_date_does_not_make_a_birth_date(spark):
+    df = spark.range(5000).selectExpr(
+        "if(id = 0, '1970-01-01', cast(2008 + id % 2 as string) || '-05-06') c1", "if(id = 0, '2010-01-01', cast(1950 + id % 45 as string) || '-05-06') c2")
+    assert tags_of(df) == {"c1": "NONE", "c2": "DOB"}
+
+
+def test_labels_that_look_like_persons_are_no_names(spark):
+    df = spark.range(2000).selectExpr(
+        "array('Hoàng Gia', 'Mai Linh', 'Phan Rang')[id % 3] c1", "'Lê Minh ' || char(65 + id % 26) || char(97 + id % 7) c2",
+        "array('Hoàng Gia', 'Mai Linh', 'Phan Rang')[id % 3] full_name", "array('Hà Nội', 'Nghệ An')[id % 2] c3")
+    assert tags_of(df) == {"c1": "NONE", "c2": "NAME", "full_name": "NAME", "c3": "NONE"}
+    few = spark.createDataFrame([("Lê Minh An",), ("Trần Thị Mai",), ("Phạm Văn Long",)], "c1 string")
+    assert tags_of(few) == {"c1": "NAME"}
+
+
 def test_many_tables_in_one_plan(spark):
     frames = {"t1": spark.range(5).selectExpr("'a@b.co' x"), "t2": spark.range(5).selectExpr("'n' y", "'0912345678' x")}
     found = {(r.table_name, r.column_name): r.sensitivity_tag for r in table_verdicts(frames).collect()}
