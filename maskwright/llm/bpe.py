@@ -6,6 +6,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 
@@ -20,8 +21,10 @@ from maskwright.llm.common import slices
 
 #: How byte-level vocabularies of this kind part a text before merging (fixed by the vocabulary file).
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Signs that part a word from what follows, and are a part of their own at the end of a run.
+_ENDS = (".", ",", ";", ":", "!", "?")
 #: Runs and parts (some 250 bytes each) whose ids a Python worker remembers; beyond, it starts to remember anew.
-_REMEMBERED = 1_500_000
+_REMEMBERED = 800_000
 #: Before a special string's key, so that it is told from the same signs in a text (where it can't stand by itself).
 _SPECIAL = "\0special:"
 
@@ -54,6 +57,8 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[ids[left]][ids[right]] = rank
             self.merged.append(ids[left + right])
+        #: the same for two bytes, by both of them
+        self.byte_ranks = [self.ranks[a].get(b) for a in self.first for b in self.first]
         self.pieces = [b""] * (max(pieces.values()) + 1)
         for piece, i in pieces.items():
             known = all(c in signs for c in piece)
@@ -70,10 +75,14 @@ class Vocabulary:
         A queue entry is a rank and, in its low bits, a place. It is stale, and skipped, if the pair that now starts at
         its place has another rank; symbols that were swallowed are -1, as is the end, and make no pair."""
         n, ranks, merged = len(part), self.ranks, self.merged
-        symbols = [self.first[byte] for byte in part]
+        symbols = list(map(self.first.__getitem__, part))
         shift = 12 if n < 4096 else 40
-        found = [ranks[a].get(b) for a, b in pairwise(symbols)]
-        queue = [rank << shift | i for i, rank in enumerate(found) if rank is not None]
+        of_bytes, queue, a = self.byte_ranks, [], part[0]
+        for i, b in enumerate(part[1:]):
+            rank = of_bytes[a << 8 | b]
+            if rank is not None:
+                queue.append(rank << shift | i)
+            a = b
         if not queue:
             return symbols
         heapify(queue)
@@ -82,17 +91,20 @@ class Vocabulary:
         mask = (1 << shift) - 1
         while queue:
             entry = heappop(queue)
-            rank, i = entry >> shift, entry & mask
+            i = entry & mask
             j = after[i]
+            rank = entry >> shift
             if ranks[symbols[i]].get(symbols[j]) != rank:
                 continue
             symbols[i] = symbol = merged[rank]
             symbols[j] = -1
             after[i] = j = after[j]
             before[j] = i
-            rank = ranks[symbol].get(symbols[j])
-            if rank is not None:
-                heappush(queue, rank << shift | i)
+            others = ranks[symbol]
+            if others:
+                rank = others.get(symbols[j])
+                if rank is not None:
+                    heappush(queue, rank << shift | i)
             i = before[i]
             rank = ranks[symbols[i]].get(symbol)
             if rank is not None:
@@ -101,7 +113,12 @@ class Vocabulary:
 
     def _learn(self, run: str, single: bool) -> int:
         """The number of a run, whose ids are laid behind those that are known; ``single`` if it is one part."""
-        parts = [run] if single else self.parts.findall(run)
+        if single or run[1:].isalpha() and run[0] == " ":
+            parts = [run]
+        elif run[-1:] in _ENDS and run[1:-1].isalpha() and run[0] == " ":
+            parts = [run[:-1], run[-1]]  # most runs with a sign, without a search
+        else:
+            parts = self.parts.findall(run)
         if len(parts) == 1:
             ids = self.merge(run.encode())
         else:
@@ -131,7 +148,7 @@ class Vocabulary:
                 if number is None:
                     run = runs[i]
                     number = known(run)
-                    numbers[i] = self._learn(run, bool(odd) or run[1:].isalpha() and run[0] == " ") if number is None else number
+                    numbers[i] = self._learn(run, bool(odd)) if number is None else number
         return numbers
 
     def _numbers(self, text: str) -> list[int]:
@@ -217,9 +234,23 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digests of the ids of every text and of what they decode to."""
-    found = decode(encode(docs, path), path)
-    return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    """Digests of the ids of every text and of what they decode to: :func:`encode` and :func:`decode` in one pass, so
+    that ids need not leave the worker. Rows as in :func:`encode`."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        numbers = [str(i) for i in range(len(words.pieces))]
+        for part in slices(batches, "text"):
+            found, at = words.encode(pc.fill_null(part.column("text"), "").to_pylist())
+            rows = []
+            for a, b in pairwise(at.tolist()):
+                ids = found[a:b].tolist()
+                listed = ",".join(map(numbers.__getitem__, ids)).encode()
+                rows.append((b - a, sha256(listed).hexdigest(), sha256(words.decode(ids).encode()).hexdigest()))
+            size, ids_digest, digest = zip(*rows)
+            columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids_digest), pa.array(digest)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
