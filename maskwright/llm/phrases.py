@@ -15,12 +15,14 @@ from maskwright.llm.common import Words, flat, mixed, slices, staged
 DEPTH = 5
 MIN_COUNT = 100
 TOP = 2000
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 #: Bits of the filter of frequent words and pairs that every task gets: 4 MB, whatever the input.
 _FILTER_BITS = 1 << 25
 _BLOCK_BITS = 1 << 15
 #: Counts that a task gathers before it combines them.
-_COUNTS = 1 << 21
+_COUNTS = 1 << 20
+#: Rows that a task hands over at once.
+_BATCH = 1 << 16
 #: Suffixes that a task sorts, on average.
 _SORTED = 300_000
 
@@ -61,13 +63,18 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count, first) if len(first) else count
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, _BATCH):
+        yield batch.slice(at, _BATCH)
+
+
 def word_and_pair_counts(docs: DataFrame) -> DataFrame:
     """(lang, key, n): words per language where key is null, occurrences of hashed words and pairs elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(lang, key, n):
-            key = pa.array(key, pa.int64()) if key is None or isinstance(key, list) else pa.array(key.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), key, pa.array(n, pa.int64())], names=["lang", "key", "n"])
+            key = pa.array(key, pa.int64()) if isinstance(key, list) else pa.array(key.view(np.int64))
+            return pa.RecordBatch.from_arrays([lang, key, pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
         keys, counts, held, words = [], [], 0, {}
         for part in slices(batches, "text", _SLICE):
@@ -83,13 +90,13 @@ def word_and_pair_counts(docs: DataFrame) -> DataFrame:
             if held > _COUNTS:
                 key, n = _summed(keys, counts)
                 if len(key) > _COUNTS // 2:
-                    yield batch([None] * len(key), key, n)
+                    yield from _cut(batch(pa.nulls(len(key), pa.string()), key, n))
                     key, n = key[:0], n[:0]
                 keys, counts, held = [key], [n], len(key)
         if keys:
             key, n = _summed(keys, counts)
-            yield batch([None] * len(key), key, n)
-        yield batch(list(words), [None] * len(words), list(words.values()))
+            yield from _cut(batch(pa.nulls(len(key), pa.string()), key, n))
+        yield batch(pa.array(list(words), pa.string()), [None] * len(words), list(words.values()))
 
     return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
@@ -153,7 +160,8 @@ def suffixes(docs: DataFrame, frequent: bytes, depth: int) -> DataFrame:
             for i in np.flatnonzero(~plain).tolist():
                 texts[i] = b" ".join(texts[i].split(b" ")) if b"  " not in texts[i] else b" ".join(filter(None, texts[i].split(b" "))) + b" "
             lang = words.lang.dictionary.take(pa.array(words.word_lang[at]))
-            yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "suffix", "n"])
+            columns = [lang.cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
+            yield from _cut(pa.RecordBatch.from_arrays(columns, names=["lang", "suffix", "n"]))
 
     return docs.mapInArrow(run, "lang string, suffix string, n long")
 
