@@ -95,3 +95,19 @@ def test_masks_apply_to_streams(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("masked_stream").first().v == "093***3528"
+
+
+def test_many_partial_masks_share_an_expression_and_give_the_same(spark):
+    values = [v for v in PARTIAL if v is not None]
+    columns = [f"c{i}" for i in range(6)] + ["_partial", "a`b.c"]
+    rows = [tuple(values[(i + j) % len(values)] if (i + j) % 7 else None for j in range(8)) for i in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)).withColumn("n", F.lit(1234567890))
+    rules = {c: "PARTIAL_MASK" for c in [*columns, "n"]}
+    for strict in (False, True):
+        shared = mask_frame(df, rules, strict=strict)
+        assert shared.columns == df.columns
+        single = df.select(*[mask_expr(c, "PARTIAL_MASK", strict) for c in df.columns])
+        assert shared.collect() == single.collect()
+        assert dict(shared.dtypes)["n"] == "string"
+    plan = mask_frame(df, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1
