@@ -635,26 +635,16 @@ def e3_level_accuracy(spark, sf):
     return rated.select("table_name", F.round("level_accuracy", 6).alias("level_accuracy"))
 
 
-def _all_roles(spark, sf, report):
-    parts = []
-    for role in V.ROLES:
-        secure = mask_frame(
-            pii_view(spark, sf), {c: V.POLICIES[role][V.TAGS[t][0]] for c, t in TRUTH.items()}
-        )
-        parts.append(report(secure, FULL, role).withColumn("role_name", F.lit(role)))
-    return _union(parts)
-
-
 def e4_masking_compliance(spark, sf):
-    return _all_roles(spark, sf, E.masking_compliance)
+    return E.compliance_rates(e4_compliance_by_column(spark, sf))
 
 
 def e4_compliance_by_column(spark, sf):
-    return _all_roles(spark, sf, E.compliance_by_column)
+    return E.compliance_by_role(pii_view(spark, sf), FULL)
 
 
 def e5_no_over_masking(spark, sf):
-    return _all_roles(spark, sf, E.no_over_masking)
+    return E.over_masking_rates(e4_compliance_by_column(spark, sf))
 
 
 def _runs(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright import vocab as V
-from maskwright.functions.masking import column_ref
+from maskwright.functions.masking import column_ref, mask_expr
 from maskwright.sources.local import local_frame
 
 LATENCY_TYPE = "decimal(27,9)"
@@ -69,9 +69,8 @@ def level_accuracy(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("level_accuracy", _ratio(F.col("level_hits"), F.col("n_columns")))
 
 
-def _complies(column: str, rule: str) -> Column:
+def _complies(value: Column, column: str, rule: str) -> Column:
     """Does a masked value look the way its rule demands?"""
-    value = column_ref(column).cast("string")
     if rule == "HASH_MASK":
         ok = F.length(value) == 64
     elif rule == "NULLIFY_MASK":
@@ -87,8 +86,7 @@ def _complies(column: str, rule: str) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def _untouched(column: str) -> Column:
-    value = column_ref(column).cast("string")
+def _untouched(value: Column) -> Column:
     return F.coalesce((value != V.REDACTED) & ~value.contains("*"), F.lit(False))
 
 
@@ -102,6 +100,10 @@ def _checks(truth: dict[str, str], role: str, policies=V.POLICIES) -> dict[str,
     return {column: rule(tag) for column, tag in truth.items()}
 
 
+def _check(value: Column, column: str, rule: str) -> Column:
+    return _untouched(value) if rule == "CLEAR_TEXT" else _complies(value, column, rule)
+
+
 def compliance_by_column(secure: DataFrame, truth: dict[str, str], role: str) -> DataFrame:
     """Per column: rows, and rows that meet the rule or, unmasked, are untouched.
 
@@ -110,28 +112,48 @@ def compliance_by_column(secure: DataFrame, truth: dict[str, str], role: str) ->
     """
     checks = _checks(truth, role)
     passed = [
-        F.count_if(_untouched(c) if rule == "CLEAR_TEXT" else _complies(c, rule)).alias(f"ok_{i}")
+        F.count_if(_check(column_ref(c).cast("string"), c, rule)).alias(f"ok_{i}")
         for i, (c, rule) in enumerate(checks.items())
     ]
     totals = secure.agg(F.count(F.lit(1)).alias("n_rows"), *passed)
+    return _reported(totals, [(role, c, rule, f"ok_{i}") for i, (c, rule) in enumerate(checks.items())])
+
+
+def _reported(totals: DataFrame, checks: list[tuple[str, str, str, str]]) -> DataFrame:
+    """A row for each (role, column, rule, name of its count) from the one row of ``totals``."""
     rows = F.array(*[
         F.struct(
+            F.lit(role).alias("role_name"),
             F.lit(c).alias("column_name"),
             F.lit(rule).alias("masking_rule"),
             F.lit(rule != "CLEAR_TEXT").alias("must_mask"),
             F.col("n_rows"),
-            F.col(f"ok_{i}").alias("n_ok"),
+            F.col(count).alias("n_ok"),
         )
-        for i, (c, rule) in enumerate(checks.items())
+        for role, c, rule, count in checks
     ])
-    return totals.select(F.explode(rows).alias("c")).select(F.lit(role).alias("role_name"), "c.*")
+    return totals.select(F.explode(rows).alias("c")).select("c.*")
+
 
+def compliance_by_role(df: DataFrame, truth: dict[str, str], roles=tuple(V.ROLES), policies=V.POLICIES) -> DataFrame:
+    """:func:`compliance_by_column` of what every role would be given of ``df``, from one scan.
 
-def _rate(by_column: DataFrame, must_mask: bool, name: str) -> DataFrame:
-    relevant = by_column.filter(F.col("must_mask") == must_mask)
-    checked = F.count(F.lit(1))
-    good = F.count_if(F.col("n_ok") == F.col("n_rows"))
-    return relevant.agg(
+    A column is masked once for each different rule that the roles have for it, in one projection, and all checks are
+    counts of one aggregate without a key.
+    """
+    checks = [(role, c, rule) for role in roles for c, rule in _checks(truth, role, policies).items()]
+    pairs = {pair: i for i, pair in enumerate(dict.fromkeys((c, rule) for _, c, rule in checks))}
+    masked = df.select(*[mask_expr(c, rule).cast("string").alias(f"m_{i}") for (c, rule), i in pairs.items()])
+    totals = masked.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.count_if(_check(F.col(f"m_{i}"), c, rule)).alias(f"ok_{i}") for (c, rule), i in pairs.items()])
+    return _reported(totals, [(role, c, rule, f"ok_{pairs[c, rule]}") for role, c, rule in checks])
+
+
+def _rate(by_column: DataFrame, must_mask: bool, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    relevant = F.col("must_mask") == must_mask
+    checked = F.count_if(relevant)
+    good = F.count_if(relevant & (F.col("n_ok") == F.col("n_rows")))
+    return by_column.groupBy(*keys).agg(
         checked.alias("n_checked"),
         good.alias("n_passed"),
         F.when(checked > 0, good / checked * 100).otherwise(100.0).alias(name),
@@ -148,6 +170,16 @@ def no_over_masking(secure: DataFrame, truth: dict[str, str], role: str) -> Data
     return _rate(compliance_by_column(secure, truth, role), False, "no_over_masking")
 
 
+def compliance_rates(by_role: DataFrame) -> DataFrame:
+    """Masking compliance per role, from :func:`compliance_by_role`."""
+    return _rate(by_role, True, "masking_compliance", ("role_name",))
+
+
+def over_masking_rates(by_role: DataFrame) -> DataFrame:
+    """No over-masking per role, from :func:`compliance_by_role`."""
+    return _rate(by_role, False, "no_over_masking", ("role_name",))
+
+
 def _trimmed_sums(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: count and sum of the durations without the slowest run.
 

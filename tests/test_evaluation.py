@@ -1,6 +1,8 @@
 import pytest
 
+from maskwright import vocab as V
 from maskwright.operators import evaluation as E
+from maskwright.operators.masking import mask_frame
 
 TAGGED = "table_name string, column_name string, sensitivity_tag string, sensitivity_level string"
 
@@ -67,3 +69,20 @@ def test_targets_know_their_direction(spark):
 
 def test_readable(spark):
     assert E.readable(spark.range(1)) and not E.readable(spark.range(0))
+
+
+def test_compliance_of_all_roles_comes_from_one_scan(spark, tmp_path):
+    df = spark.range(40).selectExpr("'u' || id || '@x.com' email", "'Lê Minh An' name", "cast(id + 1234567890 as string) phone", "'open' state")
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    truth = {"email": "EMAIL", "name": "NAME", "phone": "PHONE", "state": "NONE"}
+    found = E.compliance_by_role(df, truth)
+    each = []
+    for role in V.ROLES:
+        secure = mask_frame(df, {c: V.POLICIES[role][V.TAGS[t][0]] for c, t in truth.items()})
+        each += E.compliance_by_column(secure, truth, role).collect()
+    assert sorted(found.collect()) == sorted(each)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    rates = {r.role_name: (r.n_checked, r.masking_compliance) for r in E.compliance_rates(found).collect()}
+    assert rates == {"ADMIN": (0, 100.0), "ANALYST": (3, 100.0), "AUDITOR": (3, 100.0)}
+    assert {r.no_over_masking for r in E.over_masking_rates(found).collect()} == {100.0}
