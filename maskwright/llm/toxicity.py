@@ -1,4 +1,4 @@
-"""Toxicity: words as bags of character n-grams, embedded and put through a linear softmax, trained in numpy."""
+"""Toxicity: bags of subword embeddings, averaged over a document, into a linear softmax, trained jointly in numpy."""
 
 from __future__ import annotations
 
@@ -10,18 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, mixed, slices
+from maskwright.llm.common import Words, mixed, slices, staged
 
 #: Labelled documents to learn from, at most, of each class; taken by the least hash of doc_id.
 SAMPLE = 4000
-#: Different words of clean documents to learn from in a round, at most: the half that the model takes for most
-#: toxic so far, and as many drawn at random.
-CLEAN_WORDS = 40_000
-#: Thinned copies of each toxic word, with 0.6 of its n-grams and others from clean words: what an unseen spelling
-#: still shares must do.
-THINNED = 4
-BUCKETS = 1 << 17
+#: N-grams that get an embedding, at most: those most peculiar to toxic documents. The others count in the average and
+#: weigh nothing.
+FEATURES = 4096
+#: Such an n-gram stands in so many toxic documents of the sample at least, and its log odds are so high.
+LEAST_DOCUMENTS = 3
+LEAST_ODDS = 1.5
+BUCKETS = 1 << 18
 DIMENSIONS = 8
+STEPS = 200
+#: An average over hundreds of words is small; so much larger, it suits the optimiser's steps.
+_SCALE = 100.0
 NGRAMS = (3, 4, 5, 6)
 LIMIT = 0.7
 _EDGES = "".join(map(chr, range(33))) + ".,;:!?\"'()[]{}<>|/\\-_"
@@ -67,106 +70,124 @@ class Model(NamedTuple):
     bias: float
 
     def words(self, bag: Bags) -> np.ndarray:
-        """Log odds of each word: the mean of its n-grams' vectors through the softmax."""
+        """What each word adds to the log odds of a text of this word alone: the mean of its n-grams' vectors."""
         total = np.bincount(bag.word, self.bucket[bag.grams], bag.count)
-        return total / np.maximum(np.bincount(bag.word, minlength=bag.count), 1) + self.bias
-
-
-def train(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 30, seed: int = 11) -> Model:
-    """Learn from whole documents: a document is toxic if one of its words is.
-
-    First the word of each toxic document is taken that is most peculiar to toxic documents; then embeddings and
-    softmax are trained together (Adam on the cross entropy of words), and each toxic document's word is chosen
-    anew by the model. Words that one toxic document in 20 has and no clean one are taken throughout. Words of clean
-    documents are clean, and so is a word without n-grams. Equal texts teach once."""
-    if not labels.any():
-        return Model(np.zeros(BUCKETS, np.float32), -20.0)
-    once = {t: y for t, y in zip(texts, labels, strict=True)}
-    texts, labels = list(once), np.array(list(once.values()))
-    numbers: dict[bytes, int] = {}
-    docs = [np.unique(np.fromiter((numbers.setdefault(w, len(numbers)) for w in t.lower().encode().split()), np.int64)) for t in texts]
-    words = list(numbers)
-    seen = [np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y == c] or [np.zeros(0, np.int64)]), minlength=len(words)) for c in (0, 1)]
-    peculiar = np.log((seen[1] + 0.1) / (seen[0] + 0.1)) + 0.5 * np.log1p(seen[1])
-    all_clean = np.flatnonzero(seen[0] > 0)
-    every = bags(words)
-    toxic = [d for d, y in zip(docs, labels, strict=True) if y and len(d)]
+        return total / np.maximum(np.bincount(bag.word, minlength=bag.count), 1)
+
+
+def averages(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, weight) of all texts: a word is the mean of its n-grams, a text the mean of its words."""
+    _, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    bag = _bags_of(words, first)
+    sizes = np.bincount(bag.word, minlength=bag.count)
+    starts = np.cumsum(sizes) - sizes
+    # the n-grams of each word of each text, one by one
+    each = sizes[number]
+    upto = np.cumsum(each)
+    at = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts[number] - upto + each, each)
+    text = np.repeat(words.text, each)
+    counts = np.diff(words.of)
+    weight = 1.0 / np.repeat(np.maximum(each, 1) * counts[words.text], each)
+    key, inverse = np.unique(text * np.int64(BUCKETS) + bag.grams[at], return_inverse=True)
+    return key // BUCKETS, key % BUCKETS, np.bincount(inverse, weight, len(key))
+
+
+def _bags_of(words: Words, first: np.ndarray) -> Bags:
+    raw = words.data.tobytes()
+    return bags([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
+
+
+def loss_and_gradient(table: np.ndarray, softmax: np.ndarray, bias: np.ndarray, entries: tuple, y: np.ndarray, share: np.ndarray):
+    """Weighted cross entropy of documents, and its gradients; ``entries`` are (document, feature, weight)."""
+    document, feature, weight = entries
+    mean = np.stack([np.bincount(document, weight * table[feature, d], len(y)) for d in range(table.shape[1])], 1)
+    logits = mean @ softmax + bias
+    logits -= logits.max(1, keepdims=True)
+    odds = np.exp(logits)
+    odds /= odds.sum(1, keepdims=True)
+    loss = -float((share * np.log(odds[np.arange(len(y)), y])).sum())
+    odds[np.arange(len(y)), y] -= 1
+    error = odds * share[:, None]
+    back = error @ softmax.T
+    for_table = np.stack([np.bincount(feature, weight * back[document, d], len(table)) for d in range(table.shape[1])], 1)
+    return loss, (for_table, mean.T @ error, error.sum(0))
+
+
+def train(entries: tuple, buckets: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = STEPS, seed: int = 11) -> Model:
+    """Embeddings of the n-grams in ``buckets`` and the softmax over their averages, trained together: Adam on the
+    cross entropy of documents, each weighing ``share``."""
     rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.1).astype(np.float32)
-    softmax = (rng.standard_normal((DIMENSIONS, 2)) * 0.1).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    value = peculiar
-    sure = np.flatnonzero((seen[0] == 0) & (seen[1] >= max(2, len(toxic) / 20)))
-    for _ in range(rounds):
-        best = np.array([d[np.argmax(value[d])] for d in toxic], np.int64)
-        chosen, weight = np.unique(np.concatenate([best, sure]), return_counts=True)
-        chosen, weight = chosen[seen[0][chosen] == 0], weight[seen[0][chosen] == 0]
-        if not len(chosen):
-            return Model(np.zeros(BUCKETS, np.float32), -20.0)
-        hard = all_clean[np.argsort(-value[all_clean], kind="stable")[: CLEAN_WORDS // 2]]
-        clean = np.union1d(hard, rng.choice(all_clean, min(len(all_clean), CLEAN_WORDS // 2), replace=False)) if len(all_clean) else all_clean
-        own = bags([words[i] for i in np.concatenate([np.repeat(chosen, 1 + THINNED), clean])] + [b""])
-        n = len(chosen) * (1 + THINNED)
-        thin = (own.word < n) & (own.word % (1 + THINNED) > 0) & (rng.random(len(own.word)) < 0.4)
-        others = own.grams[own.word >= n]
-        if len(others):
-            own.grams[thin] = rng.choice(others, int(thin.sum()))
-        y = np.concatenate([np.ones(n, np.int64), np.zeros(len(clean) + 1, np.int64)])
-        parts = np.repeat(np.sqrt(weight), 1 + THINNED)
-        share = np.concatenate([parts / parts.sum(), np.full(len(clean), 0.8 / max(1, len(clean))), [0.2]]).astype(np.float32)
-        _fit(own, y, share, table, softmax, bias, steps)
-        value = _model(table, softmax, bias).words(every)
-    return _model(table, softmax, bias)
-
-
-def _model(table: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> Model:
-    return Model(table @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
-
-
-def _fit(own: Bags, y: np.ndarray, share: np.ndarray, table: np.ndarray, softmax: np.ndarray, bias: np.ndarray, steps: int, rate: float = 0.05) -> None:
-    """Adam over all words at once; ``table``, ``softmax`` and ``bias`` are changed in place."""
-    used, grams = np.unique(own.grams, return_inverse=True)
-    sizes = np.maximum(np.bincount(own.word, minlength=own.count), 1).astype(np.float32)
-    starts = np.searchsorted(own.word, np.arange(own.count))
-    some = np.bincount(own.word, minlength=own.count) > 0
-    part = table[used]
-    parameters = [part, softmax, bias]
+    parameters = [rng.standard_normal((len(buckets), DIMENSIONS)) * 0.1, rng.standard_normal((DIMENSIONS, 2)) * 0.1, np.zeros(2)]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+    entries = entries[0], entries[1], entries[2] * _SCALE
     for step in range(1, steps + 1):
-        mean = np.zeros((own.count, DIMENSIONS), np.float32)
-        mean[some] = np.add.reduceat(part[grams], starts[some], axis=0) if len(grams) else 0
-        mean /= sizes[:, None]
-        logits = mean @ softmax + bias
-        odds = np.exp(logits - logits.max(1, keepdims=True))
-        odds /= odds.sum(1, keepdims=True)
-        odds[np.arange(len(y)), y] -= 1
-        error = odds * share[:, None]
-        back = (error @ softmax.T) / sizes[:, None]
-        for_table = np.stack([np.bincount(grams, back[own.word, d], len(used)) for d in range(DIMENSIONS)], 1).astype(np.float32)
-        for k, g in enumerate((for_table, mean.T @ error + 1e-5 * softmax, error.sum(0))):
+        _, gradients = loss_and_gradient(*parameters, entries, y, share)
+        for k, (g, decay) in enumerate(zip(gradients, (1e-5, 1e-4, 0.0), strict=True)):
+            g = g + decay * parameters[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            parameters[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-9)
-    table[used] = part
+            parameters[k] -= 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-9)
+    table, softmax, bias = parameters
+    bucket = np.zeros(BUCKETS, np.float32)
+    bucket[buckets] = table @ (softmax[:, 1] - softmax[:, 0]) * _SCALE
+    return Model(bucket, float(bias[1] - bias[0]))
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on up to ``sample`` toxic and as many clean labelled documents that are not held out."""
-    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _labelled_bags(rows: DataFrame) -> DataFrame:
+    """(document, toxic, bucket, weight) of (document, toxic, text), made where the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1 << 20):
+            text, bucket, weight = averages(Words(part.column("text")))
+            columns = [part.column("document").take(pa.array(text)), part.column("toxic").take(pa.array(text)), pa.array(bucket), pa.array(weight)]
+            whole = pa.RecordBatch.from_arrays(columns, names=["document", "toxic", "bucket", "weight"])
+            for at in range(0, whole.num_rows, 1 << 16):
+                yield whole.slice(at, 1 << 16)
+
+    return rows.select("document", "toxic", "text").mapInArrow(run, "document long, toxic int, bucket long, weight double")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+    """Train on up to ``sample`` toxic and as many clean labelled documents that are not held out.
+
+    Documents of a class weigh together what the class does among all labelled rows that are not held out. N-grams are
+    counted on the executors; the driver gets up to ``features`` of them and, for each document, the weights of those
+    that it has: a size that neither the number nor the length of texts moves."""
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out())
+    known = staged(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    sizes = dict.fromkeys((0, 1), 0) | {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not sizes[1]:
+        return Model(np.zeros(BUCKETS, np.float32), -20.0)
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (1, 0)]
     # at most 2 * sample ids and labels: a table of fixed size
     few = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
-    return train([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_numpy())
+    rows = docs.select("doc_id", "text").join(few, "doc_id")
+    # equal texts teach once
+    rows = rows.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_same")).agg(
+        F.min("doc_id").cast("long").alias("document"), F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = staged(rows)
+    taught = rows.select("document", "toxic").orderBy("document", "toxic").toArrow()
+    document, y = taught.column("document").to_numpy(), taught.column("toxic").to_numpy().astype(np.int64)
+    counts = [max(1, int((y == c).sum())) for c in (0, 1)]
+    entries = staged(_labelled_bags(rows))
+    peculiar = entries.groupBy("bucket").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (counts[1] + 1)) - F.log((F.col("c") + 0.5) / (counts[0] + 1))
+    peculiar = peculiar.withColumn("odds", odds).filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("odds") > LEAST_ODDS))
+    best = peculiar.orderBy(F.desc("odds"), "bucket").limit(features).select("bucket")
+    found = entries.join(F.broadcast(best), "bucket").select("document", "bucket", "weight").orderBy("document", "bucket").toArrow()
+    buckets = np.unique(found.column("bucket").to_numpy())
+    matrix = (np.searchsorted(document, found.column("document").to_numpy()), np.searchsorted(buckets, found.column("bucket").to_numpy()),
+              found.column("weight").to_numpy())
+    share = np.array([sizes[c] / counts[c] for c in (0, 1)])[y]
+    return train(matrix, buckets, y, share / share.sum())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` to doc_id and text, from all words of the whole text: the probability that its worst word is
-    toxic."""
+    """Add ``score`` to doc_id and text: the softmax over the average of all words of the whole text."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -174,10 +195,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             odds = np.full(part.num_rows, model.bias)
             if len(words):
                 _, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
-                raw = words.data.tobytes()
-                value = model.words(bags([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]))[number]
-                some = np.flatnonzero(np.diff(words.of))
-                odds[some] = np.maximum.reduceat(value, words.of[some])
+                value = model.words(_bags_of(words, first))[number]
+                counts = np.diff(words.of)
+                some = np.flatnonzero(counts)
+                odds[some] += np.add.reduceat(value, words.of[some]) / counts[some]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))))], names=["doc_id", "score"])
 
     docs = docs.select("doc_id", "text")

@@ -1,11 +1,16 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from helpers import odd_documents
 from pyspark.sql import functions as F
 
 from maskwright.llm.chat import formatted_chats
-from maskwright.llm.toxicity import bags, toxicity, train
+from maskwright.llm import toxicity as T
+from maskwright.llm.common import Words
+from maskwright.llm.toxicity import bags, toxicity
 
 
 def test_snapshots_collapse(spark):
@@ -65,5 +70,49 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert toxicity(docs.limit(0), a).count() == 0
 
 
-def test_training_without_words():
-    assert train(["", ""], np.array([1, 0])).bias < -10
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    table, softmax, bias = rng.standard_normal((5, 3)), rng.standard_normal((3, 2)), rng.standard_normal(2)
+    entries = rng.integers(0, 6, 20), rng.integers(0, 5, 20), rng.random(20)
+    y, share = np.array([0, 1, 1, 0, 1, 0]), rng.random(6)
+    _, gradients = T.loss_and_gradient(table, softmax, bias, entries, y, share)
+    for parameter, gradient in zip((table, softmax, bias), gradients):
+        for at in np.ndindex(parameter.shape):
+            values = []
+            for step in (1e-6, -2e-6):
+                parameter[at] += step
+                values.append(T.loss_and_gradient(table, softmax, bias, entries, y, share)[0])
+            parameter[at] += 1e-6
+            assert abs((values[0] - values[1]) / 2e-6 - gradient[at]) < 1e-6
+
+
+def test_averages_and_scores_equal_plain_ones(spark):
+    """Word by word and n-gram by n-gram, with texts that are empty, null, repeated or without n-grams."""
+    texts = ["idiot an idiot, you", "", None, "a", "<|> ..", "Äpfel und Birnen", "idiot an idiot, you", "x" * 3000]
+    words = Words(pa.array(texts, pa.string()))
+    text, bucket, weight = T.averages(words)
+    got, want = {}, {}
+    for t, b, w in zip(text.tolist(), bucket.tolist(), weight.tolist()):
+        got[t, b] = w
+    for t, value in enumerate(texts):
+        parts = (value or "").split()
+        for part in parts:
+            grams = bags([part.encode()]).grams.tolist()
+            for g in grams:
+                want[t, g] = want.get((t, g), 0) + 1 / len(grams) / len(parts)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    model = T.Model(np.random.default_rng(2).standard_normal(T.BUCKETS).astype(np.float32), -0.3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in T.scored(docs, model).collect():
+        odds = model.bias + sum(w * float(model.bucket[b]) for (t, b), w in want.items() if t == row.doc_id)
+        assert abs(row.score - 1 / (1 + np.exp(-odds))) < 1e-6
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("the given tables are not here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit / sum(r.predicted for r in rows) > 0.9 and hit / sum(r.toxic for r in rows) > 0.8
