@@ -456,14 +456,32 @@ def mixed_sql(s: int) -> str:
 
 
 IDS = "SELECT o_orderkey AS id FROM orders"
-# The largest multiplier up to the bound that has no factor in common with n.
-BOUND = "greatest(1, least(CAST(floor(n * 0.618) AS BIGINT), 4611686018427387904 // n))"
-SPREAD = (f"SELECT n, (SELECT max(m) FROM range(greatest(1, {BOUND} - 1000), {BOUND} + 1) r(m) WHERE gcd(m, n) = 1) "
-          f"AS a FROM (SELECT count(*) AS n FROM orders)")
+# Two digits of each id, their moduli, and each round's sum; an id outside the table goes through all rounds again.
+FEISTEL = ("SELECT n, l, (n + l - 1) // l AS r FROM (SELECT count(*) AS n FROM orders), LATERAL (SELECT min_by(x, "
+           "(x * ((n + x - 1) // x), -x)) AS l FROM range(greatest(1, floor(sqrt(n))::BIGINT - 1000), floor(sqrt(n))::BIGINT + 1) t(x))")
+
+
+def _square(digit: str, k: int, key: int, modulus: str) -> str:
+    y = f"(({digit} * {G.FEISTEL_ROUNDS[k]} + {(key * 7919 + 104729 * (k + 1)) % G.FEISTEL_PRIME}) % {G.FEISTEL_PRIME})"
+    return f"({y} * {y} % {G.FEISTEL_PRIME} % {modulus})"
+
+
+def places_sql(key: int) -> str:
+    """(id, n, p): the place of every id in the keyed permutation."""
+    step = "SELECT id, n, l, r, p // r AS a0, p % r AS b0 FROM {source}"
+    for k in range(0, len(G.FEISTEL_ROUNDS), 2):
+        j = k // 2
+        step = f"SELECT *, (a{j} + {_square(f'b{j}', k, key, 'l')}) % l AS a{j + 1} FROM ({step})"
+        step = f"SELECT *, (b{j} + {_square(f'a{j + 1}', k + 1, key, 'r')}) % r AS b{j + 1} FROM ({step})"
+    last = len(G.FEISTEL_ROUNDS) // 2
+    walked = f"SELECT id, n, l, r, a{last} * r + b{last} AS p FROM ({step})"
+    start = walked.format(source=f"(SELECT id, n, l, r, id AS p FROM ({IDS}), ({FEISTEL}))")
+    return (f"SELECT id, n, p FROM (WITH RECURSIVE walk AS ({start} UNION ALL "
+            f"{walked.format(source='(SELECT * FROM walk WHERE p >= n)')}) SELECT * FROM walk WHERE p < n)")
 
 
 def chosen(pct: int) -> str:
-    return f"((id * a + 42 % n) % n < CAST(floor(n * {pct} / 100) AS BIGINT))"
+    return f"(p < CAST(floor(n * {pct} / 100) AS BIGINT))"
 
 
 SHARES = {s.column_name: (s.sensitivity_tag, s.match_percentage) for s in suites.SCANNER_SUITE}
@@ -666,7 +684,7 @@ def oracle() -> dict[str, str]:
         "f2_gen_noise": "SELECT id, " + ", ".join(f"{noise_sql(n, 42)} AS {n}" for n in G.NOISE_MAKERS)
         + f" FROM ({IDS})",
         "f3_gen_column": f"SELECT id, CASE WHEN {chosen(70)} THEN {value_sql('PHONE', 42)} ELSE {mixed_sql(92)} END "
-        "AS phone_70, " + ", ".join(f"{chosen(p)} AS valid_{p}" for p in (65, 70, 85)) + f" FROM ({IDS}), ({SPREAD})",
+        "AS phone_70, " + ", ".join(f"{chosen(p)} AS valid_{p}" for p in (65, 70, 85)) + f" FROM ({places_sql(42)})",
         "f4_gen_table": "SELECT x.column_name, n AS n_values, CASE WHEN share >= 0.7 THEN 'SUCCESS' "
         "ELSE 'UNDETERMINED' END AS regex_status, CASE WHEN share > 0 THEN tag ELSE '' END AS candidates, "
         "CAST(share AS DOUBLE) AS best_score FROM (SELECT c.column_name, c.tag, n, CASE WHEN c.strict THEN "

@@ -8,7 +8,7 @@ any order, and made again after an executor is lost. All arithmetic is on
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import gcd
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,21 +216,50 @@ def mixed_noise(row_id: Column, seed: int) -> Column:
     )
 
 
+#: A prime below 2^31, so that the square of a number below it fits 63 bits, and what the rounds multiply by.
+FEISTEL_PRIME = 2**31 - 1
+FEISTEL_ROUNDS = (48271, 69621, 16807, 39373)
+
+
+def feistel_shape(n_rows: int) -> tuple[int, int]:
+    """Two factors near the square root of ``n_rows`` whose product exceeds it least."""
+    root = max(1, isqrt(n_rows))
+    return min(((left, -(-n_rows // left)) for left in range(max(1, root - 1000), root + 1)), key=lambda x: (x[0] * x[1], -x[0]))
+
+
+def permuted(row_id: Column, n_rows: int, key: int) -> Column:
+    """A keyed permutation of 0..n_rows-1: a Feistel network over pairs of digits, each round adding a keyed square of
+    one digit to the other, with cycle walking.
+
+    The pairs are ``excess`` more than the ids. An id that falls among them is sent through the network again; it can
+    meet no more than ``excess`` of them in a row, so that many steps always lead back."""
+    left, right = feistel_shape(n_rows)
+
+    def mixed(digit: Column, k: int, modulus: int) -> Column:
+        y = (digit * F.lit(FEISTEL_ROUNDS[k]) + F.lit((key * 7919 + 104729 * (k + 1)) % FEISTEL_PRIME)) % F.lit(FEISTEL_PRIME)
+        return y * y % F.lit(FEISTEL_PRIME) % F.lit(modulus)
+
+    def once(place: Column) -> Column:
+        a, b = F.call_function("div", place, F.lit(right)), place % F.lit(right)
+        for k in range(0, len(FEISTEL_ROUNDS), 2):
+            a = (a + mixed(b, k, left)) % F.lit(left)
+            b = (b + mixed(a, k + 1, right)) % F.lit(right)
+        return a * F.lit(right) + b
+
+    place, excess = once(row_id.cast("bigint")), left * right - n_rows
+    if not excess:
+        return place
+    steps = F.sequence(F.lit(1), F.lit(excess))
+    return F.aggregate(steps, place, lambda at, _: F.when(at < F.lit(n_rows), at).otherwise(once(at)))
+
+
 def is_chosen(row_id: Column, n_rows: int, match_pct: int, salt: int = 0) -> Column:
     """True for exactly ``int(n_rows * match_pct / 100)`` of the ids 0..n_rows-1.
 
-    The ids are permuted by an affine map modulo ``n_rows``, so the exact share
-    is scattered over the table without ranking, sorting or shuffling it. The
-    multiplier is bounded so that no product leaves 64 bits.
-    """
+    The ids are permuted, so the exact share is scattered over the table without ranking, sorting or shuffling it."""
     if n_rows <= 0:
         return F.lit(False)
-    bound = max(1, min(int(n_rows * 0.618), (2**62) // n_rows))
-    multiplier = bound
-    while gcd(multiplier, n_rows) != 1:
-        multiplier -= 1
-    place = (row_id.cast("bigint") * F.lit(multiplier) + F.lit(salt % n_rows)) % F.lit(n_rows)
-    return place < F.lit(int(n_rows * match_pct / 100))
+    return permuted(row_id, n_rows, salt) < F.lit(int(n_rows * match_pct / 100))
 
 
 @dataclass(frozen=True)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,25 @@ def test_shares_hold_for_very_large_tables(spark):
     assert ids.count() == 1000 and ids.filter("c is null").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 20, 97, 1009, 5000, 10007])
+def test_the_permutation_is_one_to_one(spark, n):
+    places = [r.p for r in spark.range(n).select(G.permuted(F.col("id"), n, 5).alias("p")).collect()]
+    assert sorted(places) == list(range(n))
+
+
+def test_neighbouring_picks_are_not_tied_to_each_other(spark):
+    """Of pairs of ids at any small distance, as many are both chosen as chance has it; another key picks others."""
+    n = 20000
+    rows = spark.range(n).select("id", *[G.is_chosen(F.col("id"), n, 50, k).alias(f"k{k}") for k in (1, 2)]).orderBy("id").collect()
+    first, second = np.array([r.k1 for r in rows]), np.array([r.k2 for r in rows])
+    assert first.sum() == second.sum() == n // 2
+    for step in (1, 2, 3, 7, 100, 141, 1000):
+        assert abs(np.corrcoef(first[:-step], first[step:])[0, 1]) < 0.03
+    assert abs(np.corrcoef(first, second)[0, 1]) < 0.03
+    runs = np.diff(np.flatnonzero(np.diff(first.astype(int)) != 0))
+    assert abs((runs == 1).mean() - 0.5) < 0.03 and runs.max() > 8
+
+
 def test_values_do_not_depend_on_partitioning(spark):
     one = G.gen_table(spark, suites.END_TO_END, 500)
     ids = spark.range(500).repartition(17)
