@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ DEPTH = 5
 MIN_COUNT = 100
 TOP = 2000
 _SLICE = 2 << 20
-#: Bits of the filter of frequent words and pairs that every task gets: 4 MB, whatever the input.
+#: Bits of each filter, of frequent words and of frequent pairs, that every task gets: 4 MB, whatever the input.
 _FILTER_BITS = 1 << 25
 _BLOCK_BITS = 1 << 15
 #: Counts that a task gathers before it combines them.
@@ -68,39 +69,46 @@ def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, _BATCH)
 
 
-def word_and_pair_counts(docs: DataFrame) -> DataFrame:
-    """(lang, key, n): words per language where key is null, occurrences of hashed words and pairs elsewhere."""
+def hashed_counts(docs: DataFrame, keys: Callable[[Pieces], np.ndarray]) -> DataFrame:
+    """(lang, key, n): words per language where key is null, occurrences of each of ``keys`` elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(lang, key, n):
-            key = pa.array(key, pa.int64()) if isinstance(key, list) else pa.array(key.view(np.int64))
-            return pa.RecordBatch.from_arrays([lang, key, pa.array(n, pa.int64())], names=["lang", "key", "n"])
+        held, count, words = [], 0, {}
+
+        def combined() -> tuple[np.ndarray, np.ndarray]:
+            return _summed([k for k, _ in held], [n for _, n in held])
+
+        def batch(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            columns = [pa.nulls(len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())]
+            return _cut(pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n"]))
 
-        keys, counts, held, words = [], [], 0, {}
         for part in slices(batches, "text", _SLICE):
             found = Pieces(part.column("text"), part.column("lang"))
             names = found.lang.dictionary.to_pylist()
             for i, n in enumerate(np.bincount(found.word_lang, minlength=len(names)).tolist()):
                 words[names[i]] = words.get(names[i], 0) + n
-            pairs = found.pairs()
-            key, n = np.unique(np.concatenate([found.hash, pairs[pairs > 0]]), return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held > _COUNTS:
-                key, n = _summed(keys, counts)
-                if len(key) > _COUNTS // 2:
-                    yield from _cut(batch(pa.nulls(len(key), pa.string()), key, n))
-                    key, n = key[:0], n[:0]
-                keys, counts, held = [key], [n], len(key)
-        if keys:
-            key, n = _summed(keys, counts)
-            yield from _cut(batch(pa.nulls(len(key), pa.string()), key, n))
-        yield batch(pa.array(list(words), pa.string()), [None] * len(words), list(words.values()))
+            held.append(np.unique(keys(found), return_counts=True))
+            count += len(held[-1][0])
+            if count > _COUNTS:
+                held = [combined()]
+                if len(held[0][0]) > _COUNTS // 2:
+                    yield from batch(*held.pop())
+                count = sum(len(k) for k, _ in held)
+        if held:
+            yield from batch(*combined())
+        columns = [pa.array(list(words), pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "n"])
 
     return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+def frequent_pairs(found: Pieces, words: np.ndarray) -> np.ndarray:
+    """The pairs of ``found`` whose two words may both be frequent; others can't be."""
+    may = _passes(words, found.hash)
+    pairs = found.pairs()
+    return pairs[(pairs > 0) & may & np.append(may[1:], False)] if len(pairs) else pairs
+
+
 def frequent_filter(counts: DataFrame, min_count: int) -> bytes:
     """A bitmap over the hashes of words and pairs with ``min_count`` occurrences: none of them is missed, and few
     others pass while they are few against its bits. Its size is fixed; what passes in vain is counted out later."""
@@ -125,20 +133,20 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-def suffixes(docs: DataFrame, frequent: bytes, depth: int) -> DataFrame:
+def suffixes(docs: DataFrame, frequent: Broadcast, depth: int) -> DataFrame:
     """(lang, suffix, n): what stands from each word on, up to ``depth`` words of its piece and to the first pair that
     can't be frequent; equal ones of a slice in one row. Each word of a suffix is followed by a space."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
+        of_words, of_pairs = (np.frombuffer(x, np.uint8) for x in frequent.value)
         for part in slices(batches, "text", _SLICE):
             words = Pieces(part.column("text"), part.column("lang"))
             if not len(words):
                 continue
             pairs = words.pairs()
-            goes_on = (pairs > 0) & _passes(bitmap, pairs)
-            length = _passes(bitmap, words.hash).astype(np.int64)
+            may = _passes(of_words, words.hash)
+            goes_on = (pairs > 0) & _passes(of_pairs, pairs) & np.append(may[1:], False)
+            length = may.astype(np.int64)
             key, going = words.hash.copy(), length > 0
             for step in range(1, depth):
                 going[-step:] = False
@@ -285,10 +293,14 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, de
 
     Words are compared by 64 bits of hash within a slice of text, and by themselves from there on."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = staged(word_and_pair_counts(texts))
-    frequent = frequent_filter(counts, min_count)
+    share_out = docs.sparkSession.sparkContext.broadcast
+    counts = staged(hashed_counts(texts, lambda found: found.hash))
+    words = frequent_filter(counts, min_count)
     totals = counts.filter("key is null").select("lang", "n")
-    phrases = staged(phrase_counts(staged(suffixes(texts, frequent, depth)), depth, min_count))
+    shared = share_out(words)
+    pairs = hashed_counts(texts, lambda found: frequent_pairs(found, np.frombuffer(shared.value, np.uint8)))
+    both = share_out((words, frequent_filter(pairs, min_count)))
+    phrases = staged(phrase_counts(staged(suffixes(texts, both, depth)), depth, min_count))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = scored(phrases, totals, share).withColumn("rank", rank).filter(F.col("rank") <= top)
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
