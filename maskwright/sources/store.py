@@ -7,6 +7,10 @@ table ``column_generations``, makes it the current one. ``columns_metadata`` is
 is current, so a reader sees the verdicts from before or from after a change and never none.
 Generations that were replaced stay until :meth:`MetadataStore.vacuum`.
 
+The audit logs are appended to with every scan and read, a small file each. :meth:`MetadataStore.compact_log` writes the
+rows of a day's files as one new file and then names the files that it replaces, again by one file renamed into place;
+the views ``governance_audit_logs`` and ``policy_engine_audit_logs`` show each row once at any time.
+
 What decides a mask is small and kept by the driver under a token, the names of the files it came from: as long as
 nothing has changed, a lookup costs a listing and no job.
 """
@@ -32,12 +36,17 @@ SCHEMAS = {
     "generation bigint",
     "roles": "role_name string, role_description string",
     "access_policies": "role_name string, sensitivity_level string, masking_rule string",
-    "governance_audit_logs": "table_id bigint, table_name string, column_name string, detection_method string, "
+    "governance_audit_logs_files": "table_id bigint, table_name string, column_name string, detection_method string, "
     "sensitivity_tag string, sensitivity_level string, confidence_score double, reason string, "
-    "scanned_at timestamp",
-    "policy_engine_audit_logs": AUDIT_SCHEMA,
+    "scanned_at timestamp, day string, generation bigint",
+    "policy_engine_audit_logs_files": AUDIT_SCHEMA + ", day string, generation bigint",
 }
-_PARTITIONS = {"column_versions": "PARTITIONED BY (table_id, generation)"}
+#: Log -> the time of its rows.
+LOGS = {"governance_audit_logs": "scanned_at", "policy_engine_audit_logs": "executed_at"}
+#: Appends by one store object after which it compacts the log of the day.
+COMPACT_AFTER = 200
+_PARTITIONS = {"column_versions": "PARTITIONED BY (table_id, generation)"} | {
+    f"{log}_files": "PARTITIONED BY (day, generation)" for log in LOGS}
 _POINTERS = "column_generations"
 _COLUMN_KEYS = ["table_id", "column_name"]
 
@@ -74,13 +83,16 @@ class MetadataStore:
         self.provider = provider
         self._folders: dict[str, tuple] = {}
         self._kept: dict[tuple, tuple] = {}
+        self._appended: dict[str, int] = {}
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
     def read(self, table: str) -> DataFrame:
         # The file listing may be cached from before another session's write.
-        for name in ("column_versions", _POINTERS) if table == "columns_metadata" else (table,):
+        behind = {"columns_metadata": ("column_versions", _POINTERS)} | {
+            log: (f"{log}_files", f"{log}_compactions") for log in LOGS}
+        for name in behind.get(table, (table,)):
             self.spark.catalog.refreshTable(self.name(name))
         return self.spark.table(self.name(table))
 
@@ -127,15 +139,19 @@ class MetadataStore:
 
     def point_to(self, generation: int, tables: list[int]) -> None:
         """Second step: a pointer file a table, renamed into place once it is written."""
-        system, folder = self._folder(_POINTERS)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
         for table in tables:
-            draft, name = path(folder, f".{table}@{generation}"), path(folder, f"{table}@{generation}.csv")
-            out = system.create(draft, True)
-            out.write(f"{table},{generation}\n".encode())
-            out.close()
-            if not system.rename(draft, name):
-                raise OSError(f"Could not publish {name}")
+            self._write_file(_POINTERS, f"{table}@{generation}.csv", f"{table},{generation}\n")
+
+    def _write_file(self, table: str, name: str, text: str) -> None:
+        """A file of a text table, which is there whole or not at all."""
+        system, folder = self._folder(table)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        draft = path(folder, f".{name}")
+        out = system.create(draft, True)
+        out.write(text.encode())
+        out.close()
+        if not system.rename(draft, path(folder, name)):
+            raise OSError(f"Could not publish {name}")
 
     def vacuum(self, older_than_seconds: float = 3600.0) -> int:
         """Remove generations that were replaced, or never published, so long ago; returns how many.
@@ -171,6 +187,15 @@ class MetadataStore:
             f"CREATE VIEW IF NOT EXISTS {self.name('columns_metadata')} AS SELECT {columns} FROM {self.name('column_versions')} v "
             f"JOIN (SELECT table_id, max(generation) AS generation FROM {self.name(_POINTERS)} GROUP BY table_id) p "
             "ON v.table_id = p.table_id AND v.generation = p.generation")
+        for log in LOGS:
+            # a file counts if it was appended, or if its compaction was published, and while no compaction names it
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name(log)}_compactions (generation bigint, file_name string) USING csv")
+            columns = ", ".join(f"f.{c}" for c in _names(f"{log}_files")[:-2])
+            self.spark.sql(
+                f"CREATE VIEW IF NOT EXISTS {self.name(log)} AS SELECT {columns} FROM "
+                f"(SELECT *, _metadata.file_name AS _file FROM {self.name(log)}_files) f "
+                f"WHERE (f.generation = 0 OR EXISTS (SELECT 1 FROM {self.name(log)}_compactions g WHERE g.generation = f.generation)) "
+                f"AND NOT EXISTS (SELECT 1 FROM {self.name(log)}_compactions r WHERE r.file_name = f._file)")
         seeds = {
             "roles": (V.roles_frame(self.spark), ["role_name"]),
             "access_policies": (V.policies_frame(self.spark), ["role_name", "sensitivity_level"]),
@@ -181,6 +206,57 @@ class MetadataStore:
                 self._append(table, missing)
         return self
 
+    def _log(self, log: str, rows: DataFrame) -> None:
+        """Append to a log, under the day of its rows; now and then the day's files become one."""
+        day = F.date_format(LOGS[log], "yyyy-MM-dd")
+        self._append(f"{log}_files", rows.withColumns({"day": day, "generation": F.lit(0).cast("long")}).coalesce(1))
+        self._appended[log] = self._appended.get(log, 0) + 1
+        if self._appended[log] % COMPACT_AFTER == 0:
+            self.compact_log(log)
+
+    def _replaced(self, log: str) -> set[str]:
+        self.spark.catalog.refreshTable(f"{self.name(log)}_compactions")
+        return {r.file_name for r in self.spark.table(f"{self.name(log)}_compactions").filter("file_name is not null").collect()}
+
+    def compact_log(self, log: str, rows_per_file: int = 1_000_000) -> int:
+        """Bring the files of each day together and return how many were replaced.
+
+        The rows are read from the files that are there now, and only these are named as replaced: what others append
+        meanwhile stays in files of its own. Days that have one file already are left alone."""
+        self.spark.catalog.refreshTable(f"{self.name(log)}_files")
+        gone = self._replaced(log)
+        files = self.spark.table(f"{self.name(log)}_files").select("day", "generation", F.col("_metadata.file_name").alias("file"))
+        days: dict[str, set[str]] = {}
+        published = {r.generation for r in self.spark.table(f"{self.name(log)}_compactions").select("generation").distinct().collect()}
+        for row in files.distinct().collect():
+            if row.file not in gone and (row.generation == 0 or row.generation in published):
+                days.setdefault(row.day, set()).add(row.file)
+        names = [name for found in days.values() if len(found) > 1 for name in found]
+        if not names:
+            return 0
+        generation = time.time_ns() // 1000
+        wanted = local_frame(self.spark, [(n,) for n in names], "_file string")
+        source = self.spark.table(f"{self.name(log)}_files").withColumn("_file", F.col("_metadata.file_name"))
+        rows = source.join(wanted, "_file").withColumn("generation", F.lit(generation).cast("long"))
+        parts = max(1, -(-rows.count() // rows_per_file))
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_file"), F.lit(parts)))
+        self._append(f"{log}_files", dealt.repartition("day", "_part"))
+        self._write_file(f"{log}_compactions", f"{generation}.csv", "".join(f"{generation},{n}\n" for n in names))
+        return len(names)
+
+    def vacuum_log(self, log: str, older_than_seconds: float = 3600.0) -> int:
+        """Delete the files that compactions replaced so long ago; returns how many."""
+        gone, limit = self._replaced(log), (time.time() - older_than_seconds) * 1e3
+        system, folder = self._folder(f"{log}_files")
+        found, removed = system.listFiles(folder, True), 0
+        while found.hasNext():
+            file = found.next()
+            if file.getPath().getName() in gone and file.getModificationTime() <= limit:
+                system.delete(file.getPath(), False)
+                removed += 1
+        self.spark.catalog.refreshTable(f"{self.name(log)}_files")
+        return removed
+
     def register_tables(self, paths: dict[str, str]) -> None:
         """Register ``name -> path`` where the name is absent; others stay as they are."""
         rows = local_frame(
@@ -234,14 +310,14 @@ class MetadataStore:
         self._publish(upsert(target, new, _COLUMN_KEYS), touched)
 
     def append_scan_audit(self, verdicts: DataFrame) -> None:
-        self._append("governance_audit_logs", verdicts.select(
+        self._log("governance_audit_logs", verdicts.select(
             table_id_of(F.col("table_name")).alias("table_id"),
             "table_name", "column_name", "detection_method", "sensitivity_tag", "sensitivity_level",
             "confidence_score", "reason", F.current_timestamp().alias("scanned_at"),
         ))
 
     def append_access_audit(self, audit: DataFrame) -> None:
-        self._append("policy_engine_audit_logs", audit)
+        self._log("policy_engine_audit_logs", audit)
 
     def log_access(self, role: str, reads: dict[str, list[tuple[str, str, str]]]) -> None:
         """One audit row for each table read, in one append; ``reads`` holds (column, action, level) by table.

@@ -79,7 +79,6 @@ def test_update_is_seen_by_the_next_read_only(store):
     start = time.time()
     store.update_level("people", "state", "HIGH")
     assert len(read().first().state) == 64
-    assert time.time() - start < 10  # the bench reports the exact time
     assert old.first().state in ("open", "shut")
     after = stamps()
     assert {c for c in after if after[c] != before[c]} == {"state"}
@@ -90,6 +89,118 @@ def test_update_is_seen_by_the_next_read_only(store):
         store.update_level("people", "state", "SECRET")
 
 
+def test_an_update_is_visible_within_a_second(store):
+    def change(level):
+        start = time.time()
+        store.update_level("people", "state", level)
+        secure_read(store, "ANALYST", "people", ["state"], "prod").first()
+        return time.time() - start
+
+    change("LOW")
+    assert min(change(level) for level in ("HIGH", "NONE", "HIGH", "NONE")) < 1.0
+
+
+def test_readers_see_old_verdicts_until_the_pointer_moves(store, spark):
+    """A reader with a store of its own, between the two steps of a change, and after a writer that failed."""
+    other = MetadataStore(spark, "gov")
+    before = levels(other, "people")
+    rows = store.columns_of("people").drop("generation").withColumn("sensitivity_level", F.lit("LOW"))
+    (table_id,) = {r.table_id for r in rows.collect()}
+    left_behind = store.write_generation(rows)
+    assert levels(other, "people") == before and other.read("columns_metadata").count() == 5
+    assert secure_read(other, "ANALYST", "people", ["phone"], "prod").first().phone is None
+    generation = store.write_generation(rows)
+    assert generation > left_behind and levels(other, "people") == before
+    store.point_to(generation, [table_id])
+    assert {level for _, level in levels(other, "people").values()} == {"LOW"}
+    assert len(secure_read(other, "ANALYST", "people", ["phone"], "prod").first().phone) == 64
+    assert levels(other, "mails") == {"mail": ("EMAIL", "MEDIUM")}
+    back = spark.createDataFrame([(c, level) for c, (_, level) in before.items()], "column_name string, _level string")
+    restored = rows.join(back, "column_name").withColumn("sensitivity_level", F.col("_level"))
+    store.point_to(store.write_generation(restored), [table_id])
+    assert levels(other, "people") == before
+    assert store.vacuum(older_than_seconds=0) >= 3
+    assert levels(other, "people") == before and store.vacuum(older_than_seconds=0) == 0
+
+
+def test_an_unchanged_store_answers_without_a_job(store, spark):
+    for role in ("ANALYST", "AUDITOR"):
+        store.policies_of(role, "people")
+    spark.sparkContext.setJobGroup("free", "free")
+    found = {role: store.policies_of(role, "people") for role in ("ANALYST", "AUDITOR")}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("free")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0
+    for role, rows in found.items():
+        wanted = resolve_policies(store.columns_of("people"), store.read("tables_metadata"), store.read("access_policies"), role, "people")
+        assert sorted(rows) == sorted(map(tuple, wanted.collect()))
+
+
+def test_reading_all_tables_takes_as_many_jobs_for_many_as_for_few(spark):
+    counts = []
+    for n in (2, 7):
+        store = MetadataStore(spark, f"gov_{n}").create()
+        for i in range(n):
+            write_table(spark.range(5).selectExpr("'u' || id || '@x.com' AS mail"), f"many_{n}.t{i}")
+        scan_all(store, f"many_{n}", sample_size=None)
+        frames = {}
+        spark.sparkContext.setJobGroup(f"all_{n}", "all")
+        frames = secure_read_all(store, "AUDITOR")
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"all_{n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(frames) == n and "*" in frames["t1"].first().mail
+        assert store.read("policy_engine_audit_logs").count() == n
+    assert counts[0] == counts[1]
+
+
+def test_a_failed_lookup_is_not_taken_for_an_unreadable_table(store, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("no lookup")
+
+    monkeypatch.setattr(store, "policies_of_all", broken)
+    with pytest.raises(RuntimeError):
+        secure_read_all(store, "AUDITOR", "prod")
+
+
+def test_logs_stay_few_files_with_the_same_rows(spark, monkeypatch):
+    """Many audited reads, another reader's append during a compaction, and a second compaction."""
+    monkeypatch.setattr("maskwright.sources.store.COMPACT_AFTER", 10)
+    store = MetadataStore(spark, "gov_logs").create()
+    log = "policy_engine_audit_logs"
+
+    def files():
+        system, folder = store._folder(f"{log}_files")
+        found, names = system.listFiles(folder, True), []
+        while found.hasNext():
+            names.append(found.next().getPath().getName())
+        return [n for n in names if n.endswith(".parquet")]
+
+    for i in range(25):
+        store.log_access("ADMIN", {f"t{i}": [("a", "CLEAR_TEXT", "NONE")]})
+        if i == 15:
+            store.vacuum_log(log, 0)
+    store.vacuum_log(log, 0)
+    assert len(files()) <= 12
+    rows = store.read(log).select("target_table").collect()
+    assert sorted(r.target_table for r in rows) == sorted(f"t{i}" for i in range(25))
+
+    plain = store._write_file
+
+    def meanwhile(table, name, text):
+        assert store.read(log).count() == 25  # written and not yet published
+        MetadataStore(spark, "gov_logs").log_access("ADMIN", {"late": []})
+        plain(table, name, text)
+
+    monkeypatch.setattr(store, "_write_file", meanwhile)
+    assert store.compact_log(log) > 1
+    assert store.read(log).count() == 26
+    monkeypatch.setattr(store, "_write_file", plain)
+    assert store.compact_log(log) == 2 and store.vacuum_log(log, 0) > 0
+    assert len(files()) == 1 and store.read(log).count() == 26 and store.compact_log(log) == 0
+    context = json.loads(store.read(log).filter("target_table = 'late'").first().context_details)
+    assert context == {"accessed_columns": [], "total_columns_accessed": 0}
+
+
 def test_every_read_is_audited(store):
     before = store.read("policy_engine_audit_logs").count()
     secure_read(store, "ANALYST", "people", ["state", "cccd"], "prod")
