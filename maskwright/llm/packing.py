@@ -8,49 +8,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import slices, staged
+from maskwright.llm.common import Words, flat, slices, staged
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_DOCS = 4096
-#: Words that a Python worker remembers; beyond, it starts to remember anew.
-_REMEMBERED = 1_000_000
+#: Words (some 50 bytes each) that a Python worker remembers; beyond, it starts to remember anew.
+_REMEMBERED = 2_500_000
 _CALL = 2000
 
 
-class _Encoder(dict):
+class _Parted(Words):
+    """Words, with a sign at the end of a word behind an ASCII letter as a word of its own: the tokenizer parts there
+    anyway, and fewer words differ."""
+
+    def __init__(self, column: pa.Array):
+        super().__init__(column, hashed=False)
+        last, before = self.data[self.end - 1], self.data[self.end - 2]
+        letter = (before | 32) - np.uint8(ord("a")) < 26
+        signs = np.flatnonzero((self.end - self.start > 1) & _SIGN[last] & letter)
+        ends = self.end.copy()
+        ends[signs] -= 1
+        self.start = np.insert(self.start, signs + 1, self.end[signs] - 1)
+        self.end = np.insert(ends, signs + 1, self.end[signs])
+        self.of = self.of + np.searchsorted(signs, self.of)
+        self.text = np.repeat(np.arange(len(column)), np.diff(self.of))
+        self.hash = self._hashes()
+
+
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b".,;:!?")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+class _Encoder:
     """Token ids by white-space separated word. The tokenizer drops white space and never joins over it, so a
     text's ids are those of its words, and a word is encoded once.
 
-    New words go to the tokenizer many to a call, parted by bars: a bar between spaces is a token of its own."""
+    Words are looked up by 64 bits of hash, all of a slice of texts at a time; their lengths and first bytes are
+    compared too, and a text with a word that differs there from the one known goes to the tokenizer as it is. New words
+    go to the tokenizer many to a call, parted by bars: a bar between spaces is a token of its own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.waiting: list[bytes] = []
-        self.sizes, self.begins, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.forget()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.waiting.append(word)
-        return number
+    def forget(self) -> None:
+        self.hash, self.mark, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.begins, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self) -> None:
-        """Encode the waiting words, and lay their ids behind those that are known."""
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words, and lay their ids behind those that are known."""
         ids, sizes, at = [self.ids], [self.sizes], 0
-        while at < len(self.waiting):
+        while at < len(words):
             to = at
-            while to < len(self.waiting) and to - at < _CALL and b"|" not in self.waiting[to]:
+            while to < len(words) and to - at < _CALL and b"|" not in words[to]:
                 to += 1
             to = max(to, at + 1)
-            text = b" | ".join(self.waiting[at:to]).decode()
+            text = b" | ".join(words[at:to]).decode()
             found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             bars = np.flatnonzero(found == self.bar) if to - at > 1 else np.zeros(0, np.int64)
             sizes.append(np.diff(np.concatenate([[-1], bars, [len(found)]])) - 1)
@@ -58,31 +82,63 @@ class _Encoder(dict):
             if len(sizes[-1]) != to - at:
                 raise ValueError("the tokenizer joins over white space")
             at = to
-        self.waiting = []
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def forget(self) -> None:
-        if len(self) > _REMEMBERED:
-            self.clear()
-            self.sizes, self.begins, self.ids = self.sizes[:0], self.begins[:0], self.ids[:0]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        self.forget()
-        # the tokenizer ignores case, but for its special tokens; done here, it makes fewer different words
-        texts = [t.lower() if t.isascii() and b"<|" not in t else t for t in texts]
-        numbers = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, texts)]
-        self.learn()
-        return [self._gathered(x) for x in numbers]
-
-    def _gathered(self, words: np.ndarray) -> np.ndarray:
+    def _lowered(self, texts: pa.Array) -> Words:
+        """The words of all texts. The tokenizer ignores case, but for its special tokens; A-Z in ASCII texts without
+        such a token are lower case here, which makes fewer different words."""
+        data, offsets = flat(texts)
+        sizes = np.diff(offsets)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        kept = np.bincount(text[data > 127], minlength=len(texts)) > 0
+        kept[text[:-1][(data[:-1] == ord("<")) & (data[1:] == ord("|"))]] = True
+        data = np.where(np.repeat(kept, sizes), data, _LOWER[data])
+        return _Parted(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data)))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.hash) > _REMEMBERED:
+            self.forget()
+        words = self._lowered(texts)
+        size = words.end - words.start
+        padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
+        first = np.zeros(len(words), np.uint64)
+        for k in range(min(6, int(size.max()) if len(size) else 0)):
+            first |= np.where(size > k, padded[words.start + k], 0).astype(np.uint64) << np.uint64(8 * k)
+        mark = first | size.astype(np.uint64) << np.uint64(48)
+        hashes, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hash)
+        known[inside] = self.hash[place[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = words.data.tobytes()
+            where = at[new]
+            numbers = len(self.sizes) + np.arange(len(new))
+            self.learn([raw[a:b] for a, b in zip(words.start[where].tolist(), words.end[where].tolist(), strict=True)])
+            self.hash = np.insert(self.hash, place[new], hashes[new])
+            self.mark = np.insert(self.mark, place[new], mark[where])
+            self.number = np.insert(self.number, place[new], numbers)
+            place = np.searchsorted(self.hash, hashes)
+        place = place[inverse]
+        other = np.unique(words.text[self.mark[place] != mark])
+        ids, ends = self._gathered(self.number[place], words.of)
+        found = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i in other.tolist():
+            found[i] = np.array([*self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, END_ID], np.uint32)
+        return found
+
+    def _gathered(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id behind it, and where each text starts and ends."""
         sizes = self.sizes[words]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = self.ids[np.arange(total) + np.repeat(self.begins[words] - ends + sizes, sizes)]
-        out[total] = END_ID
-        return out
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = upto[of] + np.arange(len(of))
+        out = np.full(int(ends[-1]), END_ID, np.uint32)
+        text = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        target = np.arange(int(upto[-1])) + np.repeat(text, sizes)
+        out[target] = self.ids[np.arange(int(upto[-1])) + np.repeat(self.begins[words] - upto[:-1], sizes)]
+        return out, ends
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -100,9 +156,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> Dat
         encoder = _encoders[tokenizer]
         number = TaskContext.get().partitionId() << 40
         for part in slices(batches, "text"):
-            texts = [(x or "").encode() for x in part.column("text").to_pylist()]
             rows = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(pc.fill_null(part.column("text"), "")), strict=True):
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for a in range(0, len(ids), sequence):
                     b = min(a + sequence, len(ids))
