@@ -24,6 +24,11 @@ _BLOCK_BITS = 1 << 15
 _COUNTS = 1 << 20
 #: Rows that a task hands over at once.
 _BATCH = 1 << 16
+#: Bits of the hashes that are counted. Words or pairs that share them may pass the filter together, and are counted
+#: apart later.
+_KEY = np.uint64((1 << 40) - 1)
+#: Different suffixes that a task gathers before it hands them over.
+_SUFFIXES = 1 << 19
 #: Suffixes that a task sorts, on average.
 _SORTED = 300_000
 
@@ -87,7 +92,7 @@ def hashed_counts(docs: DataFrame, keys: Callable[[Pieces], np.ndarray]) -> Data
             names = found.lang.dictionary.to_pylist()
             for i, n in enumerate(np.bincount(found.word_lang, minlength=len(names)).tolist()):
                 words[names[i]] = words.get(names[i], 0) + n
-            held.append(np.unique(keys(found), return_counts=True))
+            held.append(np.unique(keys(found) & _KEY, return_counts=True))
             count += len(held[-1][0])
             if count > _COUNTS:
                 held = [combined()]
@@ -135,10 +140,11 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def suffixes(docs: DataFrame, frequent: Broadcast, depth: int) -> DataFrame:
     """(lang, suffix, n): what stands from each word on, up to ``depth`` words of its piece and to the first pair that
-    can't be frequent; equal ones of a slice in one row. Each word of a suffix is followed by a space."""
+    can't be frequent; equal ones of a task in few rows. Each word of a suffix is followed by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, of_pairs = (np.frombuffer(x, np.uint8) for x in frequent.value)
+        held = _Suffixes()
         for part in slices(batches, "text", _SLICE):
             words = Pieces(part.column("text"), part.column("lang"))
             if not len(words):
@@ -157,23 +163,53 @@ def suffixes(docs: DataFrame, frequent: Broadcast, depth: int) -> DataFrame:
                 length[at] += 1
                 key[at] = mixed(key[at] * _MULTIPLIER + words.hash[at + step] + np.uint64(step))
             at = np.flatnonzero(length)
-            _, first, n = np.unique(key[at], return_index=True, return_counts=True)
-            at = at[first]
-            length = length[at]
-            ends = words.end[at + length - 1]
-            sizes = np.concatenate([[0], np.cumsum(words.end - words.start)])
-            plain = ends - words.start[at] == sizes[at + length] - sizes[at] + length - 1
-            data = words.data.tobytes()
-            texts = [data[a:b] + b" " for a, b in zip(words.start[at].tolist(), ends.tolist(), strict=True)]
-            for i in np.flatnonzero(~plain).tolist():
-                texts[i] = b" ".join(texts[i].split(b" ")) if b"  " not in texts[i] else b" ".join(filter(None, texts[i].split(b" "))) + b" "
-            lang = words.lang.dictionary.take(pa.array(words.word_lang[at]))
-            columns = [lang.cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
-            yield from _cut(pa.RecordBatch.from_arrays(columns, names=["lang", "suffix", "n"]))
+            keys, first, n = np.unique(key[at], return_index=True, return_counts=True)
+            held.add(words, keys, n, at[first], length[at[first]])
+            if len(held.keys) > _SUFFIXES:
+                yield from _cut(held.handed_over())
+        if len(held.keys):
+            yield from _cut(held.handed_over())
 
     return docs.mapInArrow(run, "lang string, suffix string, n long")
 
 
+class _Suffixes:
+    """Different suffixes of a task's slices, their languages, texts and numbers."""
+
+    def __init__(self):
+        self.keys, self.place, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.texts: list[bytes] = []
+        self.langs: list[str] = []
+
+    def add(self, words: Pieces, keys: np.ndarray, n: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
+        """Count the sorted ``keys`` ``n`` times; each is ``length`` words long at the word ``at``."""
+        where = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = where < len(self.keys)
+        known[inside] = self.keys[where[inside]] == keys[inside]
+        self.n[self.place[where[known]]] += n[known]
+        new = np.flatnonzero(~known)
+        self.keys = np.insert(self.keys, where[new], keys[new])
+        self.place = np.insert(self.place, where[new], len(self.n) + np.arange(len(new)))
+        self.n = np.concatenate([self.n, n[new]])
+        at, length = at[new], length[new]
+        start, end = words.start[at], words.end[at + length - 1]
+        sizes = np.concatenate([[0], np.cumsum(words.end - words.start)])
+        plain = end - start == sizes[at + length] - sizes[at] + length - 1
+        data = words.data.tobytes()
+        texts = [data[a:b] + b" " for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        for i in np.flatnonzero(~plain).tolist():  # words that stand further apart
+            texts[i] = b" ".join(filter(None, texts[i].split(b" "))) + b" "
+        self.texts += texts
+        names = words.lang.dictionary.to_pylist()
+        self.langs += [names[i] for i in words.word_lang[at].tolist()]
+
+    def handed_over(self) -> pa.RecordBatch:
+        columns = [pa.array(self.langs, pa.string()), pa.array(self.texts, pa.binary()).cast(pa.string()), pa.array(self.n)]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "suffix", "n"])
+
+
 def quicksorted(words: np.ndarray, weight: np.ndarray, depth: int, min_count: int) -> Iterator[tuple[int, int, int]]:
     """(row, length, count) of each prefix with ``min_count`` weight: three-way quicksort of pointers to the rows of
     ``words`` (a code per place, -1 behind the end), the weight of an equal part being the prefix's count.
