@@ -81,10 +81,13 @@ def _with_shingles(docs: DataFrame, width: int) -> DataFrame:
         for part in slices(batches, "text"):
             key, of = shingles(part.column("text"), width)
             sets = [np.unique(key[a:b]).tobytes() for a, b in zip(of[:-1], of[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("text_id"), part.column("component"), part.column("tiles"), pa.array(sets, pa.binary())], names=names)
+            sketches = iter(min_hashes(key, of))
+            sketched = [next(sketches).tobytes() if n else None for n in np.diff(of).tolist()]
+            columns = [part.column("text_id"), part.column("component"), part.column("tiles"), pa.array(sets, pa.binary()), pa.array(sketched, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["text_id", "component", "tiles", "shingles"]
-    return docs.mapInArrow(cut, "text_id long, component long, tiles long, shingles binary")
+    names = ["text_id", "component", "tiles", "shingles", "sketch"]
+    return docs.mapInArrow(cut, "text_id long, component long, tiles long, shingles binary, sketch binary")
 
 
 def least_matches(compared: int, threshold: float, tolerance: float) -> int:
@@ -93,14 +96,24 @@ def least_matches(compared: int, threshold: float, tolerance: float) -> int:
     return next((m for m in range(compared + 1) if binomial_tail(m, compared + 1, threshold) >= tolerance), compared + 1)
 
 
-def surviving_pairs(left: np.ndarray, right: np.ndarray, same: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sketches that stay likely enough after each step of MinHash values; all against all at first."""
-    i, j = np.triu_indices(len(left), 1) if same else (x.ravel() for x in np.indices((len(left), len(right))))
-    total = np.zeros(len(i), np.int32)
-    for a in range(0, left.shape[1], _COMPARED):
-        b = min(a + _COMPARED, left.shape[1])
+def surviving_pairs(left: np.ndarray, right: np.ndarray, same: bool, threshold: float, tolerance: float,
+                    may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sketches that stay likely enough after each step of MinHash values; all against all at first, or those
+    that ``may`` (a flag for each pair) leaves."""
+    first = min(_COMPARED, left.shape[1])
+    left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    equal = np.zeros((left.shape[1], right.shape[1]), np.uint8)
+    for k in range(first):
+        equal += left[k][:, None] == right[k][None, :]
+    stay = equal >= least_matches(first, threshold, tolerance)
+    if may is not None:
+        stay &= may
+    i, j = np.nonzero(np.triu(stay, 1) if same else stay)
+    total = equal[i, j].astype(np.int32)
+    for a in range(first, len(left), _COMPARED):
+        b = min(a + _COMPARED, len(left))
         for k in range(a, b):
-            total += left[i, k] == right[j, k]
+            total += left[k][i] == right[k][j]
         stay = total >= least_matches(b, threshold, tolerance)
         i, j, total = i[stay], j[stay], total[stay]
     return i, j
@@ -130,12 +143,16 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return np.rint(product[place[i], place[j]]).astype(np.int64)
 
 
-def linked(sets: list[np.ndarray], first: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], first: int, threshold: float, tolerance: float, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs with a Jaccard of ``threshold`` or more: within the sets if ``first`` is their number, else
-    between the first ones and the rest."""
-    sketches = min_hashes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    between the first ones and the rest. Sets whose sizes are too far apart are not compared."""
+    if sketches is None:
+        sketches = min_hashes(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
     same = first == len(sets)
-    i, j = surviving_pairs(sketches[:first], sketches if same else sketches[first:], same, threshold, tolerance)
+    size = np.array([len(s) for s in sets], np.float64)
+    a, b = size[:first, None], (size if same else size[first:])[None, :]
+    may = np.minimum(a, b) >= (threshold - 1e-12) * np.maximum(a, b)
+    i, j = surviving_pairs(sketches[:first], sketches if same else sketches[first:], same, threshold, tolerance, may)
     j = j if same else j + first
     if not len(i):
         return i, j
@@ -188,14 +205,15 @@ def text_links(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
         unit = np.stack([group.column(c).to_numpy() for c in ("component", "_i", "_j")])
         own_tile, text = group.column("_own").to_numpy(), group.column("text_id").to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (unit[:, 1:] != unit[:, :-1]).any(0)]))
-        raw = group.column("shingles")
+        raw, sketched = group.column("shingles"), group.column("sketch")
         out = []
         for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
             within = unit[1, a] == unit[2, a]
             first = b - a if within else int((own_tile[a:b] == unit[1, a]).sum())
             if first == 0 or not within and first == b - a or b - a < 2:
                 continue
-            i, j = linked([np.frombuffer(raw[k].as_py(), np.uint64) for k in range(a, b)], first, threshold, tolerance)
+            sketches = np.stack([np.frombuffer(sketched[k].as_py(), np.uint32) for k in range(a, b)])
+            i, j = linked([np.frombuffer(raw[k].as_py(), np.uint64) for k in range(a, b)], first, threshold, tolerance, sketches)
             links = np.bincount(np.concatenate([i, j]), minlength=b - a)
             root = _roots(b - a, i, j)
             some = np.flatnonzero(links)
