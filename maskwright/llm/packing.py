@@ -24,13 +24,14 @@ _CALL = 2000
 
 
 class _Parted(Words):
-    """Words, with a sign at the end of a word behind an ASCII letter as a word of its own: the tokenizer parts there
-    anyway, and fewer words differ."""
+    """Words, with a sign at the end of a word behind a Latin letter (ASCII, or U+00C0 to U+00FF) as a word of its own:
+    the tokenizer parts there anyway, and fewer words differ."""
 
     def __init__(self, column: pa.Array):
         super().__init__(column, hashed=False)
-        last, before = self.data[self.end - 1], self.data[self.end - 2]
+        last, before, lead = (self.data[self.end - k] for k in (1, 2, 3))
         letter = (before | 32) - np.uint8(ord("a")) < 26
+        letter |= (lead == 0xC3) & (before > 127) & (before != 0x97) & (before != 0xB7) & (self.end - self.start > 2)
         signs = np.flatnonzero((self.end - self.start > 1) & _SIGN[last] & letter)
         ends = self.end.copy()
         ends[signs] -= 1
@@ -75,7 +76,8 @@ class _Encoder:
                 to += 1
             to = max(to, at + 1)
             text = b" | ".join(words[at:to]).decode()
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            (encoded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without places in the text
+            found = np.array(encoded.ids, np.uint32)
             bars = np.flatnonzero(found == self.bar) if to - at > 1 else np.zeros(0, np.int64)
             sizes.append(np.diff(np.concatenate([[-1], bars, [len(found)]])) - 1)
             ids.append(np.delete(found, bars))
@@ -86,12 +88,13 @@ class _Encoder:
         self.begins = np.cumsum(self.sizes) - self.sizes
 
     def _lowered(self, texts: pa.Array) -> Words:
-        """The words of all texts. The tokenizer ignores case, but for its special tokens; A-Z in ASCII texts without
-        such a token are lower case here, which makes fewer different words."""
+        """The words of all texts. The tokenizer ignores case, but for its special tokens; A-Z in texts without
+        such a token are lower case here, which makes fewer different words. Texts with combining marks (U+0300 to
+        U+036F, which some letters join in lower case only) are left as they are."""
         data, offsets = flat(texts)
         sizes = np.diff(offsets)
         text = np.repeat(np.arange(len(texts)), sizes)
-        kept = np.bincount(text[data > 127], minlength=len(texts)) > 0
+        kept = np.bincount(text[(data == 0xCC) | (data == 0xCD)], minlength=len(texts)) > 0
         kept[text[:-1][(data[:-1] == ord("<")) & (data[1:] == ord("|"))]] = True
         data = np.where(np.repeat(kept, sizes), data, _LOWER[data])
         return _Parted(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data)))
