@@ -29,7 +29,7 @@ class _Parted(Words):
 
     def __init__(self, column: pa.Array):
         super().__init__(column, hashed=False)
-        last, before, lead = (self.data[self.end - k] for k in (1, 2, 3))
+        last, before, lead = (self.data[np.maximum(self.end - k, 0)] for k in (1, 2, 3))
         letter = (before | 32) - np.uint8(ord("a")) < 26
         letter |= (lead == 0xC3) & (before > 127) & (before != 0x97) & (before != 0xB7) & (self.end - self.start > 2)
         signs = np.flatnonzero((self.end - self.start > 1) & _SIGN[last] & letter)
