@@ -18,7 +18,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from checks.queries import QUERIES, TABLE, _database  # noqa: E402
 from checks.views import pii_view  # noqa: E402
 from maskwright import vocab as V  # noqa: E402
-from maskwright.operators.policy import resolve_policies  # noqa: E402
 from maskwright.plans.scan import scan_table  # noqa: E402
 from maskwright.plans.secure import secure_read  # noqa: E402
 from maskwright.session import tune  # noqa: E402
@@ -70,13 +69,14 @@ def governance(spark: SparkSession, sf_dir: str) -> dict[str, float]:
             results[f"overhead_pct_{kind}_{role.lower()}"] = (masked - normal) / normal * 100
         results[f"plain_{kind}_sec"] = normal
 
-    def lookup(role):
-        return resolve_policies(
-            store.columns_of(TABLE), store.read("tables_metadata"), store.read("access_policies"), role, TABLE
-        ).collect()
+    def lookup(role, of):
+        return of.policies_of(role, TABLE)
 
-    lookups = [timed(lambda: lookup(role)) for _ in range(CYCLES) for role in V.ROLES]
-    results["policy_lookup_ms"] = sum(lookups) / len(lookups) * 1000
+    # a store object that knows nothing yet for each lookup, and one that was asked before
+    new = [timed(lambda: lookup(role, MetadataStore(spark, database + "_meta"))) for _ in range(CYCLES) for role in V.ROLES]
+    again = [timed(lambda: lookup(role, store)) for _ in range(CYCLES) for role in V.ROLES]
+    results["policy_lookup_ms"] = sum(new) / len(new) * 1000
+    results["policy_lookup_again_ms"] = sum(again) / len(again) * 1000
 
     def update(level):
         store.update_level(TABLE, "is_active", level)
