@@ -461,8 +461,8 @@ FEISTEL = ("SELECT n, l, (n + l - 1) // l AS r FROM (SELECT count(*) AS n FROM o
            "(x * ((n + x - 1) // x), -x)) AS l FROM range(greatest(1, floor(sqrt(n))::BIGINT - 1000), floor(sqrt(n))::BIGINT + 1) t(x))")
 
 
-def _square(digit: str, k: int, key: int, modulus: str) -> str:
-    y = f"(({digit} * {G.FEISTEL_ROUNDS[k]} + {(key * 7919 + 104729 * (k + 1)) % G.FEISTEL_PRIME}) % {G.FEISTEL_PRIME})"
+def _mixed(digit: str, k: int, key: int, modulus: str) -> str:
+    y = f"(({digit} * {G.FEISTEL_ROUNDS[k]} + {G.feistel_addend(key, k)}) % {G.FEISTEL_PRIME})"
     return f"({y} * {y} % {G.FEISTEL_PRIME} % {modulus})"
 
 
@@ -471,8 +471,8 @@ def places_sql(key: int) -> str:
     step = "SELECT id, n, l, r, p // r AS a0, p % r AS b0 FROM {source}"
     for k in range(0, len(G.FEISTEL_ROUNDS), 2):
         j = k // 2
-        step = f"SELECT *, (a{j} + {_square(f'b{j}', k, key, 'l')}) % l AS a{j + 1} FROM ({step})"
-        step = f"SELECT *, (b{j} + {_square(f'a{j + 1}', k + 1, key, 'r')}) % r AS b{j + 1} FROM ({step})"
+        step = f"SELECT *, (a{j} + {_mixed(f'b{j}', k, key, 'l')}) % l AS a{j + 1} FROM ({step})"
+        step = f"SELECT *, (b{j} + {_mixed(f'a{j + 1}', k + 1, key, 'r')}) % r AS b{j + 1} FROM ({step})"
     last = len(G.FEISTEL_ROUNDS) // 2
     walked = f"SELECT id, n, l, r, a{last} * r + b{last} AS p FROM ({step})"
     start = walked.format(source=f"(SELECT id, n, l, r, id AS p FROM ({IDS}), ({FEISTEL}))")

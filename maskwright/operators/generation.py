@@ -216,11 +216,16 @@ def mixed_noise(row_id: Column, seed: int) -> Column:
     )
 
 
-#: A prime below 2^31, so that the square of a number below it fits 63 bits, and what the rounds multiply by.
-FEISTEL_PRIME = 2**31 - 1
+#: A prime below 2^26, so that the square of a number below it is exact as a double, and the multiplier of each round.
+FEISTEL_PRIME = 67108859
 FEISTEL_ROUNDS = (48271, 69621, 16807, 39373)
 
 
+def feistel_addend(key: int, k: int) -> int:
+    """What round ``k`` adds under ``key``."""
+    return (key * 7919 + 104729 * (k + 1)) % FEISTEL_PRIME
+
+
 def feistel_shape(n_rows: int) -> tuple[int, int]:
     """Two factors near the square root of ``n_rows`` whose product exceeds it least."""
     root = max(1, isqrt(n_rows))
@@ -236,8 +241,9 @@ def permuted(row_id: Column, n_rows: int, key: int) -> Column:
     left, right = feistel_shape(n_rows)
 
     def mixed(digit: Column, k: int, modulus: int) -> Column:
-        y = (digit * F.lit(FEISTEL_ROUNDS[k]) + F.lit((key * 7919 + 104729 * (k + 1)) % FEISTEL_PRIME)) % F.lit(FEISTEL_PRIME)
-        return y * y % F.lit(FEISTEL_PRIME) % F.lit(modulus)
+        # pow instead of a product, so that a digit is named once and the plan holds no copies of the rounds before
+        y = (digit * F.lit(FEISTEL_ROUNDS[k]) + F.lit(feistel_addend(key, k))) % F.lit(FEISTEL_PRIME)
+        return F.pow(y, F.lit(2)).cast("bigint") % F.lit(FEISTEL_PRIME) % F.lit(modulus)
 
     def once(place: Column) -> Column:
         a, b = F.call_function("div", place, F.lit(right)), place % F.lit(right)
