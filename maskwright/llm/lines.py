@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import DOC_COLUMNS, Words, growing, mixed, slices, staged
+from maskwright.llm.common import DOC_COLUMNS, Words, flat, growing, mixed, slices, staged
 
 THRESHOLD = 0.8
 #: Cells of the table of word counts that orders words by rarity: 2 MB, whatever the input.
@@ -17,7 +19,16 @@ CELLS = 1 << 18
 #: Lines of one word's list that are compared with as many in one task; a longer list is dealt out.
 TILE = 2048
 #: Postings that one Arrow group holds on average.
-GROUP = 20_000
+GROUP = 100_000
+#: Bytes of postings that a task gathers before it hands them over, an array to a group.
+_HELD = 32 << 20
+#: Bits of each filter that every task gets: 4 MB, whatever the input.
+_FILTER_BITS = 1 << 25
+_BLOCK_BITS = 1 << 15
+_CELL_BLOCK = 1 << 12
+#: Bytes of text whose words are in memory at once.
+_SLICE = 1 << 20
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 _BEST = 2
 _AT_ONCE = 1 << 16
 _LAST = (1 << 63) - 1
@@ -28,24 +39,50 @@ def _cell(words: np.ndarray) -> np.ndarray:
 
 
 def rarity_table(docs: DataFrame) -> np.ndarray:
-    """Counts of all words, folded into CELLS cells by their hash."""
+    """Counts of all words, folded into CELLS cells by their hash; tasks hand them over in blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", _SLICE):
             total += np.bincount(_cell(Words(part.column("text")).hash), minlength=CELLS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+        blocks = [x.tobytes() for x in total.reshape(-1, _CELL_BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks)], names=["block", "n"])
 
-    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(CELLS, np.int64)
-    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return table
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("n"))
+        return group.slice(0, 1).select(["block"]).append_column("n", pa.array([total.tobytes()]))
 
+    table = np.zeros((CELLS // _CELL_BLOCK, _CELL_BLOCK), np.int64)
+    schema = "block int, n binary"
+    for row in docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(summed, schema).collect():
+        table[row["block"]] = np.frombuffer(row["n"], np.int64)
+    return table.ravel()
 
-def local_cells(spark: SparkSession, cells: np.ndarray) -> DataFrame:
-    """(cell): CELLS rows at most."""
-    return spark.createDataFrame(pa.table({"cell": pa.array(cells.astype(np.int32))}))
+
+def bitmap(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
+    """A filter of fixed size over the 64-bit ``keys`` of ``rows``: it misses none, and lets others pass the more the
+    fuller it is, so whatever passes must be right to take."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(keys(batch) & np.uint64(_FILTER_BITS - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // _BLOCK_BITS).astype(np.int32)), pa.array((at % _BLOCK_BITS).astype(np.int32))], names=["block", "bit"])
+
+    def block(group: pa.Table) -> pa.Table:
+        flags = np.zeros(_BLOCK_BITS, bool)
+        flags[group.column("bit").to_numpy()] = True
+        return group.slice(0, 1).select(["block"]).append_column("bits", pa.array([np.packbits(flags).tobytes()]))
+
+    bits = rows.mapInArrow(find, "block int, bit int").distinct()
+    found, size = np.zeros(_FILTER_BITS // 8, np.uint8), _BLOCK_BITS // 8
+    for row in bits.groupBy("block").applyInArrow(block, "block int, bits binary").collect():
+        found[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(found.tobytes())
+
+
+def passes(filter_: Broadcast, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(_FILTER_BITS - 1)
+    return (np.frombuffer(filter_.value, np.uint8)[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
 def _rare_first(line: np.ndarray, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -113,40 +150,53 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def _placed(docs: DataFrame, rarity: np.ndarray, threshold: float | None) -> DataFrame:
-    """doc, mark, line and set of each line that has a word; with a threshold also size, bits and prefix words."""
+def _placed(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
+    """doc, mark, line, set, size, bits and prefix words, 32 bits each, of each line that has a word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", _SLICE):
             lines = Lines(part.column("text"), rarity)
             take = pa.array(lines.text)
-            columns = [part.column("doc").take(take), part.column("mark").take(take), pa.array(lines.number), pa.array(lines.marks().view(np.int64))]
-            if threshold is not None:
-                length = prefix_length(lines.size, threshold)
-                ends = np.cumsum(length)
-                at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lines.of[:-1] - ends + length, length)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array((lines.word[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                columns += [pa.array(lines.size), lines.parities(), prefix]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            length = prefix_length(lines.size, threshold)
+            prefix = _runs((lines.word[_ragged(lines.of[:-1], length)] >> np.uint64(32)).astype(np.uint32), np.cumsum(length))
+            columns = [part.column("doc").take(take), part.column("mark").take(take), pa.array(lines.number), pa.array(lines.marks().view(np.int64)),
+                       pa.array(lines.size), lines.parities(), prefix]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "line", "set", "size", "bits", "prefix"])
 
-    schema = "doc long, mark long, line long, set long" + ("" if threshold is None else ", size long, bits binary, prefix array<int>")
-    names = ["doc", "mark", "line", "set"] + ([] if threshold is None else ["size", "bits", "prefix"])
-    return docs.select("doc", "mark", "text").mapInArrow(find, schema)
+    return docs.select("doc", "mark", "text").mapInArrow(find, "doc long, mark long, line long, set long, size long, bits binary, prefix binary")
 
 
-def _word_sets(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(set, words) of the lines that ``docs`` lists in ``wanted``."""
+def _doc_keys(batch: pa.RecordBatch) -> np.ndarray:
+    doc, mark = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("doc", "mark"))
+    return mixed(mixed(doc) * _SALT + mark)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            lines = Lines(part.column("text"), rarity)
-            mark = lines.marks()
-            wanted = [set(x) for x in part.column("wanted").to_pylist()]
-            rows = [k for k in range(len(lines)) if int(lines.number[k]) in wanted[lines.text[k]]]
-            words = [lines.word[lines.of[k] : lines.of[k + 1]].view(np.int64) for k in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)[rows]), pa.array(words, pa.list_(pa.int64()))], names=["set", "words"])
 
-    return docs.select("text", "wanted").mapInArrow(find, "set long, words array<long>")
+def _line_keys(doc_keys: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(doc_keys + (line.astype(np.uint64) + np.uint64(1)) * _SALT)
+
+
+def _word_sets(docs: DataFrame, wanted: Broadcast, rarity: np.ndarray) -> DataFrame:
+    """(set, words) of the lines of ``docs`` that the filter ``wanted`` lets pass."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _doc_keys(batch)
+            some = np.flatnonzero(passes(wanted, keys))
+            texts = batch.select(["text"]).take(pa.array(some)).append_column("key", pa.array(keys[some]))
+            for part in slices(iter([texts]), "text", _SLICE):
+                data, offsets = flat(part.column("text"))
+                # a line is a text with its line feed, where it has one
+                starts = np.sort(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+                text = np.searchsorted(offsets[:-1], starts, "right") - 1
+                number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[text]
+                rows = np.flatnonzero(passes(wanted, _line_keys(part.column("key").to_numpy()[text], number)))
+                ends = np.append(starts[1:], len(data))
+                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, ends[-1:]).astype(np.int64)), pa.py_buffer(data)])
+                lines = Lines(whole.take(pa.array(rows)).cast(pa.large_string()), rarity)
+                words = pa.ListArray.from_arrays(pa.array(lines.of.astype(np.int32)), pa.array(lines.word.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(lines.marks().view(np.int64)), words], names=["set", "words"])
+
+    return docs.select("doc", "mark", "text").mapInArrow(find, "set long, words array<long>")
 
 
 def parity_apart(bits: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,17 +214,26 @@ def parity_apart(bits: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.n
     return apart
 
 
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., ``length`` of them, of each."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
 def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None, limit: int = 2_000_000) -> dict[str, np.ndarray]:
     """Pairs (late, early) of sets that share a prefix word and pass the length, positional and parity filters.
 
     ``rows`` are postings: word, set, doc, mark (all alike if absent), line, size, position, probe, tile, and the parities as bits, start and
-    words. All lists go in step: each posting is held against the one before it in its list, then the one before
-    that. With ``best``, only so many pairs stay for each late posting, those whose parities differ least; ``more``
+    words. Lists are sorted by size, so each posting meets only those that the length filter leaves it. With ``best``, only so many pairs stay for each late posting, those whose parities differ least; ``more``
     tells that there were others."""
     mark = rows.get("mark", np.zeros(len(rows["word"]), np.int64))
-    order = np.lexsort((rows["line"], mark, rows["doc"], rows["word"]))
-    word, size, at = rows["word"][order], rows["size"][order], rows["position"][order]
-    doc, mark, line, probe, tile = rows["doc"][order], mark[order], rows["line"][order], rows["probe"][order], rows["tile"][order]
+    order = np.argsort((rows["word"].astype(np.int64) << 32) + rows["size"])
+    word = rows["word"][order]
+    same = word[1:] == word[:-1]
+    order = order[np.append(same, False) | np.append(False, same)] if len(word) else order  # the others meet nothing
+    word, size, at = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64)
+    doc, mark, line = rows["doc"][order], mark[order], rows["line"][order]
+    probe, tile, rest = rows["probe"][order], rows["tile"][order], size - at
     start, words, names = rows["start"][order], rows["words"][order], rows["set"][order]
     share = threshold / (1 + threshold)
     kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
@@ -192,24 +251,25 @@ def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None,
         keep = np.arange(len(i)) - first < best
         return [i[keep], j[keep], apart[keep], more[keep]]
 
-    number = np.searchsorted(word, word)  # where each posting's list starts
-    late, pending, back = np.arange(len(word)), 0, 1
-    while True:
-        late = late[late - back >= number[late]]
-        if not len(late):
-            break
-        # the longest lists are the last and few: for them many steps are taken at once
-        steps = max(1, min(512, _AT_ONCE // len(late)))
-        i = np.repeat(late, steps)
-        j = i - np.tile(np.arange(back, back + steps), len(late))
-        inside = j >= number[i]
-        i, j = i[inside], j[inside]
-        back += steps
+    # each posting is held against those before it in its list that are not too small for it
+    number = np.cumsum(np.append(False, word[1:] != word[:-1])) if len(word) else word
+    width = int(size.max(initial=0)) + 1
+    least = np.ceil(threshold * size - 1e-6).astype(np.int64)
+    first = np.searchsorted(number * width + size, number * width + least)
+    ends = np.cumsum(np.arange(len(word)) - first)
+    pending = done = 0
+    while done < len(word):
+        base = ends[done - 1] if done else 0
+        to = max(done + 1, int(np.searchsorted(ends, base + _AT_ONCE, "right")))
+        some = np.arange(done, to)
+        i, j = np.repeat(some, some - first[some]), _ragged(first[some], some - first[some])
+        done = to
         need = np.ceil(share * (size[i] + size[j]) - 1e-9)
-        least = np.minimum(size[i], size[j])
-        ok = probe[i] & (least >= need) & (np.minimum(at[i], at[j]) + np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
-        ok &= (doc[i] != doc[j]) | (mark[i] != mark[j]) | (line[i] != line[j])  # j comes first in the order
-        ok &= (tile[i] < 0) | (tile[i] != tile[j])
+        ok = (size[j] >= need) & (np.minimum(at[i], at[j]) + np.minimum(rest[i], rest[j]) >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        later = np.where(doc[i] != doc[j], doc[i] > doc[j], np.where(mark[i] != mark[j], mark[i] > mark[j], line[i] > line[j]))
+        i, j = np.where(later, i, j), np.where(later, j, i)
+        ok = probe[i] & ((doc[i] != doc[j]) | (mark[i] != mark[j]) | (line[i] != line[j])) & ((tile[i] < 0) | (tile[i] != tile[j]))
         i, j, need = i[ok], j[ok], need[ok]
         apart = parity_apart(rows["bits"], start, words, i, j)
         ok = apart <= size[i] + size[j] - 2 * need
@@ -222,62 +282,182 @@ def candidates(rows: dict[str, np.ndarray], threshold: float, best: int | None,
 
 
 _PACK = 1 << 31
+_FIELDS = {"word": np.int32, "size": np.int32, "position": np.int32, "line": np.int32, "words": np.int32, "probe": np.bool_, "set": np.int64, "doc": np.int64, "mark": np.int64}
+
+
+def _flat(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """The bytes of a binary column behind each other, as numbers."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def _runs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers as a binary column, a row for each run that ends at one of ``ends``."""
+    offsets = np.append(0, ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+class _Postings:
+    """A row per prefix word of some sets that the filter ``listed`` lets pass. Only sets that the filter ``probes``
+    does are probes, all without it. ``start`` and ``words`` tell where in ``bits`` a posting's parity stands."""
+
+    def __init__(self, sets: pa.Table, listed: Broadcast, probes: Broadcast | None):
+        sets = sets.combine_chunks()
+        length = pc.binary_length(sets.column("prefix")).to_numpy().astype(np.int64) // 4
+        of = np.repeat(np.arange(len(sets)), length)
+        columns = {c: sets.column(c).to_numpy() for c in ("set", "doc", "mark", "line", "size")}
+        word, at = _flat(sets.column("prefix"), np.int32), np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+        some = np.flatnonzero(passes(listed, _word_keys(word)))
+        word, at, of = word[some], at[some], of[some]
+        probe = passes(probes, columns["set"].view(np.uint64)) if probes else np.ones(len(sets), bool)
+        width = pc.binary_length(sets.column("bits")).to_numpy().astype(np.int64) // 8
+        self.bits = _flat(sets.column("bits"), np.uint64)
+        self.start = (np.cumsum(width) - width)[of]
+        self.columns = {"word": word, "position": at, "probe": probe[of], "words": width[of]} | {c: x[of] for c, x in columns.items()}
+
+    def rows(self, order: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+        """Binary columns: the postings in ``order``, a row for each run that ends at one of ``ends``."""
+        out = {c: _runs(self.columns[c][order].astype(kind), ends) for c, kind in _FIELDS.items()}
+        width = self.columns["words"][order]
+        out["bits"] = _runs(self.bits[_ragged(self.start[order], width)], np.append(0, np.cumsum(width))[ends])
+        return out
+
+
+def _word_keys(word: np.ndarray) -> np.ndarray:
+    return mixed(word.view(np.uint32).astype(np.uint64))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of sets whose postings have some ``_HELD`` bytes, one set at least."""
+    held, size = [], 0
+    for batch in batches:
+        fixed = 4 * 5 + 1 + 8 * 3
+        weight = pc.binary_length(batch.column("prefix")).to_numpy(zero_copy_only=False).astype(np.int64) // 4 * (pc.binary_length(batch.column("bits")).to_numpy(zero_copy_only=False) + fixed)
+        ends, at = np.cumsum(weight), 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + _HELD - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1] - base)
+            at = to
+            if size >= _HELD or at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def word_lists(sets: DataFrame) -> tuple[int, Broadcast, DataFrame]:
+    """The postings of words in the prefixes of more than one set, a filter of these words, and (word, tiles) of those
+    whose lists are longer than a tile."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        block = (_word_keys(word) & np.uint64(_FILTER_BITS - 1)).astype(np.int64) // _BLOCK_BITS
+        order = np.argsort(block, kind="stable")
+        of, first = np.unique(block[order], return_index=True)
+        ends = np.append(first, len(order))[1:]
+        return pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), _runs(word[order], ends), _runs(n[order].astype(np.int32), ends)], names=["block", "word", "n"])
 
-
-def _postings(sets: DataFrame, probe: str = "true") -> DataFrame:
-    """A row per prefix word: word, set, doc, mark, line, bits, and size, position and ``probe`` in one number."""
-    packed = F.col("size") * _PACK + F.col("position") + F.expr(f"if({probe}, 1L << 62, 0L)")
-    exploded = sets.select("*", F.posexplode("prefix").alias("position", "word"))
-    return exploded.select("word", "set", "doc", "mark", "line", "bits", packed.alias("packed"))
-
-
-def _pairs(postings: DataFrame, hot_cells: DataFrame, groups: int, threshold: float, best: int | None) -> DataFrame:
-    """Candidates from every word's list.
-
-    Only words of a hot cell can have lists longer than a tile; those are counted, and lists that are, are cut into
-    tiles at random, each pair of tiles a unit of its own."""
-    cell = F.shiftrightunsigned("word", 32 - CELLS.bit_length() + 1)
-    counted = postings.withColumn("cell", cell).join(F.broadcast(hot_cells), "cell").groupBy("word").count()
-    lists = staged(counted.filter(F.col("count") > TILE).select("word", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(_flat(batch.column("prefix"), np.int32))
+            size += len(held[-1])
+            if size > _HELD // 8:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    def summed(group: pa.Table) -> pa.Table:
+        word, of = np.unique(_flat(group.column("word"), np.int32), return_inverse=True)
+        n = np.bincount(of.ravel(), _flat(group.column("n"), np.int32)).astype(np.int64)
+        word, n = word[n > 1], n[n > 1]
+        flags = np.zeros(_BLOCK_BITS, bool)
+        flags[(_word_keys(word) & np.uint64(_BLOCK_BITS - 1)).astype(np.int64)] = True
+        hot = n > TILE
+        lists = [{"word": w, "tiles": t} for w, t in zip(word[hot].tolist(), (-(-n[hot] // TILE)).tolist(), strict=True)]
+        return pa.Table.from_pylist([{"block": group.column("block")[0].as_py(), "bits": np.packbits(flags).tobytes(), "n": int(n.sum()), "lists": lists}], schema=out)
+
+    out = pa.schema([("block", pa.int32()), ("bits", pa.binary()), ("n", pa.int64()), ("lists", pa.list_(pa.struct([("word", pa.int32()), ("tiles", pa.int32())])))])
+    found = sets.select("prefix").mapInArrow(count, "block int, word binary, n binary").groupBy("block")
+    found = staged(found.applyInArrow(summed, "block int, bits binary, n long, lists array<struct<word int, tiles int>>"))
+    filter_, total = np.zeros((_FILTER_BITS // _BLOCK_BITS, _BLOCK_BITS // 8), np.uint8), 0
+    for row in found.select("block", "bits", "n").collect():
+        filter_[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        total += row["n"]
+    return total, sets.sparkSession.sparkContext.broadcast(filter_.tobytes()), found.select(F.inline("lists"))
+
+
+def _word_cell(word: np.ndarray) -> np.ndarray:
+    return (word.view(np.uint32) >> np.uint32(32 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _pairs(sets: DataFrame, lists: DataFrame, groups: int, threshold: float, best: int | None, listed: Broadcast, probes: Broadcast | None = None) -> DataFrame:
+    """Candidates from the lists of the words that the filter ``listed`` lets pass.
+
+    Tasks hand the postings over in arrays, one for each group of words. Lists longer than a tile, and others of their
+    cells, are dealt out posting by posting: cut into tiles at random, each pair of tiles a unit of its own."""
+    cells = np.zeros(CELLS, bool)
+    for row in lists.select(F.shiftrightunsigned("word", 32 - CELLS.bit_length() + 1).alias("cell")).distinct().toLocalIterator():
+        cells[row["cell"]] = True
     names = ["late", "early", "apart", "more"]
+    schema = "late long, early long, apart long, more boolean"
+    binary = ", ".join(f"{c} binary" for c in [*_FIELDS, "bits"])
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _held(batches):
+            found = _Postings(table, listed, probes)
+            word = found.columns["word"]
+            at = np.flatnonzero(~cells[_word_cell(word)])
+            group = (_word_keys(word[at]) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            of, first = np.unique(group[order], return_index=True)
+            columns = {"_group": pa.array(of.astype(np.int32))} | found.rows(at[order], np.append(first, len(order))[1:])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _held(batches):
+            found = _Postings(table, listed, probes)
+            at = np.flatnonzero(cells[_word_cell(found.columns["word"])])
+            columns = {"hot": pa.array(found.columns["word"][at]), "of": pa.array(found.columns["set"][at])}
+            columns |= found.rows(at, np.arange(1, len(at) + 1))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rows = {c: table.column(c).to_numpy() for c in ("word", "set", "doc", "mark", "line")}
-        packed = table.column("packed").to_numpy()
-        rows |= {"probe": packed >> 62 == 1, "size": (packed & ((1 << 62) - 1)) // _PACK, "position": packed % _PACK}
-        bits = table.column("bits").cast(pa.large_binary()).combine_chunks()
-        bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
-        ends = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1]
-        rows |= {"bits": np.frombuffer(bits.buffers()[2], np.uint64), "start": ends[:-1] // 8, "words": np.diff(ends) // 8}
-        rows["tile"] = table.column("tile").to_numpy() if "tile" in table.column_names else np.full(len(packed), -1)
+        rows = {c: _flat(table.column(c), kind) for c, kind in _FIELDS.items()}
+        rows["start"] = np.cumsum(rows["words"], dtype=np.int64) - rows["words"]
+        rows["tile"] = table.column("tile").to_numpy() if "tile" in table.column_names else np.full(len(rows["word"]), -1)
         if "unit" in table.column_names:  # several units of one word may meet: each is a list
             rows["word"] = np.unique(np.stack([rows["word"].astype(np.int64), table.column("unit").to_numpy()]), axis=1, return_inverse=True)[1].ravel()
-        pairs = candidates(rows, threshold, best)
+        pairs = candidates(rows | {"bits": _flat(table.column("bits"), np.uint64)}, threshold, best)
         return pa.table({n: pa.array(pairs[n]) for n in names})
 
-    schema = "late long, early long, apart long, more boolean"
-    if lists.isEmpty():
-        cold, hot = postings, None
-    else:
-        cold = postings.join(lists, "word", "left_anti")
-        dealt = postings.join(lists, "word").withColumn("_own", F.pmod(F.hash("set"), F.col("tiles")))
-        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
-        low, high = F.least("_own", "_other").cast("long"), F.greatest("_own", "_other").cast("long")
-        dealt = dealt.withColumn("unit", low * _PACK + high).withColumn("tile", F.when(F.col("_own") == F.col("_other"), F.lit(-1)).otherwise(F.col("_own")).cast("long"))
-        # within a tile pair only pairs over the two tiles count; a tile with itself is the unit (i, i)
-        hot = dealt.drop("tiles", "_own", "_other").withColumn("_group", F.pmod(F.xxhash64("word", "unit"), F.lit(4 * groups)))
-        hot = hot.groupBy("_group").applyInArrow(compare, schema)
-    cold = cold.withColumn("_group", F.pmod(F.hash("word"), F.lit(groups))).groupBy("_group").applyInArrow(compare, schema)
-    return cold if hot is None else cold.union(hot)
-
-
-def similar_sets(docs: DataFrame, sets: DataFrame, rarity: np.ndarray, hot_cells: DataFrame, threshold: float, group: int) -> DataFrame:
+    found = sets.mapInArrow(cold, f"_group int, {binary}").groupBy("_group").applyInArrow(compare, schema)
+    if not cells.any():
+        return found
+    dealt = sets.mapInArrow(hot, f"hot int, of long, {binary}").join(lists.withColumnRenamed("word", "hot"), "hot", "left")
+    dealt = dealt.withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("_own", F.pmod(F.hash("of"), F.col("tiles")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("_other"))
+    low, high = F.least("_own", "_other").cast("long"), F.greatest("_own", "_other").cast("long")
+    dealt = dealt.withColumn("unit", low * _PACK + high).withColumn("tile", F.when(F.col("_own") == F.col("_other"), F.lit(-1)).otherwise(F.col("_own")).cast("long"))
+    # within a tile pair only pairs over the two tiles count; a tile with itself is the unit (i, i)
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("hot", "unit"), F.lit(20 * groups))).drop("tiles", "_own", "_other", "hot", "of")
+    return found.union(dealt.groupBy("_group").applyInArrow(compare, schema))
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, rarity: np.ndarray, threshold: float, group: int) -> DataFrame:
     """(set): the sets that have a similar one standing earlier."""
-    groups = max(1, (sets.agg(F.sum(F.size("prefix"))).first()[0] or 0) // group)
-    near = _pairs(_postings(sets), hot_cells, groups, threshold, _BEST).groupBy("late").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct("apart", "early"))), 1, _BEST).alias("b"),
-        (F.max("more") | (F.count_distinct("early") > _BEST)).alias("more"))
+    total, listed, lists = word_lists(sets)
+    groups = max(1, total // group)
+    # a pair may be found by several words; all of a line's pairs are brought to one task before they are told apart
+    near = _pairs(sets, lists, groups, threshold, _BEST, listed).repartition("late")
+    near = near.groupBy("late", "early").agg(F.min("apart").alias("apart"), F.max("more").alias("more")).groupBy("late").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("apart", "early"))), 1, _BEST).alias("b"),
+        (F.max("more") | (F.count("early") > _BEST)).alias("more"))
     near = staged(near)
     pairs = near.select("late", F.explode("b").alias("b")).select("late", F.col("b.early").alias("early"))
     gone = staged(_verified(pairs, docs, sets, rarity, threshold))
@@ -285,10 +465,14 @@ def similar_sets(docs: DataFrame, sets: DataFrame, rarity: np.ndarray, hot_cells
     if open_.isEmpty():
         return gone
     # the lines whose nearest candidates failed are compared with all of theirs
-    marked = sets.join(open_.withColumn("_open", F.lit(True)), "set", "left")
-    words = marked.filter("_open").select(F.explode("prefix").alias("word")).distinct()
-    again = _postings(marked, "coalesce(_open, false)").join(words, "word", "left_semi")
-    pairs = _pairs(again, hot_cells, groups, threshold, None).select("late", "early").distinct()
+    probes = bitmap(open_, lambda batch: batch.column("set").to_numpy().view(np.uint64))
+
+    def open_words(batch: pa.RecordBatch) -> np.ndarray:
+        some = np.flatnonzero(passes(probes, batch.column("set").to_numpy().view(np.uint64)))
+        return _word_keys(_flat(batch.column("prefix").take(pa.array(some)), np.int32))
+
+    listed = bitmap(sets.select("set", "prefix"), open_words)
+    pairs = _pairs(sets, lists, groups, threshold, None, listed, probes).select("late", "early").distinct()
     return gone.union(_verified(pairs, docs, sets, rarity, threshold)).distinct()
 
 
@@ -296,8 +480,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rarity: np.nda
     """(set): the later ones of the pairs whose Jaccard reaches the threshold, from their whole word sets."""
     pairs = staged(pairs)
     needed = pairs.select(F.col("late").alias("set")).union(pairs.select("early")).distinct()
-    wanted = sets.join(growing(needed), "set").groupBy("doc", "mark").agg(F.collect_set("line").alias("wanted"))
-    words = _word_sets(docs.join(growing(wanted), ["doc", "mark"]), rarity)
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        keys = _doc_keys(batch)
+        return np.concatenate([keys, _line_keys(keys, batch.column("line").to_numpy())])
+
+    wanted = bitmap(sets.join(growing(needed), "set").select("doc", "mark", "line"), places)
+    words = _word_sets(docs, wanted, rarity).join(growing(needed), "set", "left_semi")
     words = staged(words.dropDuplicates(["set"]))
     both = pairs.join(words.select(F.col("set").alias("late"), F.col("words").alias("a")), "late")
     both = both.join(words.select(F.col("set").alias("early"), F.col("words").alias("b")), "early")
@@ -309,16 +498,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rarity: np.nda
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(doc, mark, removed): the numbers of the lines to remove from each document; ``docs`` has doc, mark, text."""
     rarity = rarity_table(docs)
-    hot_cells = local_cells(docs.sparkSession, np.flatnonzero(rarity > TILE))
     rarity = np.unique(rarity, return_inverse=True)[1].astype(np.int32)
-    places = staged(_placed(docs, rarity, None))
+    placed = staged(_placed(docs, rarity, threshold))
     first = F.min(F.struct("doc", "mark", "line")).alias("p")
-    sets = _placed(docs, rarity, threshold).groupBy("set").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    sets = placed.groupBy("set").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     sets = staged(sets.select("set", "p.doc", "p.mark", "p.line", "size", "bits", "prefix"))
-    gone = staged(similar_sets(docs, sets, rarity, hot_cells, threshold, group)).withColumn("_gone", F.lit(True))
+    gone = staged(similar_sets(docs, sets, rarity, threshold, group)).withColumn("_gone", F.lit(True))
     status = sets.select("set", F.col("doc").alias("_d"), F.col("mark").alias("_m"), F.col("line").alias("_l")).join(gone, "set", "left")
     other = (F.col("doc") != F.col("_d")) | (F.col("mark") != F.col("_m")) | (F.col("line") != F.col("_l"))
-    removed = places.join(growing(status), "set").filter(other | F.coalesce("_gone", F.lit(False)))
+    removed = placed.select("doc", "mark", "line", "set").join(growing(status), "set").filter(other | F.coalesce("_gone", F.lit(False)))
     return removed.groupBy("doc", "mark").agg(F.collect_set("line").alias("removed"))
 
 
@@ -332,7 +520,7 @@ def with_lines_removed(docs: DataFrame, columns: list[str], **options) -> DataFr
     keyed = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = removed_lines(keyed.select("doc", "mark", F.coalesce("text", F.lit("")).alias("text")), **options)
     right = found.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed"))
-    joined = keyed.join(growing(right), (keyed["doc"] == right["_doc"]) & (keyed["mark"] == right["_mark"]), "left")
+    joined = keyed.join(right.hint("shuffle_hash"), (keyed["doc"] == right["_doc"]) & (keyed["mark"] == right["_mark"]), "left")
     parts = F.split("text", "\n", -1)
     kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_removed", i.cast("long")), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -128,3 +128,31 @@ def test_rare_first_is_the_full_order():
         got, want = _rare_first(line, rank, word), np.lexsort((word, rank, line))
         assert all((x[got] == x[want]).all() for x in (line, rank, word))
     assert len(_rare_first(line[:0], rank[:0], word[:0])) == 0
+
+
+def test_lists_meet_only_sizes_in_reach(monkeypatch):
+    """Before, each posting of a list was held against all before it."""
+    from maskwright.llm import lines
+
+    met, ragged = [], lines._ragged
+    monkeypatch.setattr(lines, "_ragged", lambda start, length: met.append(int(length.sum())) or ragged(start, length))
+    n = 1500
+    rows = {"word": np.ones(n, np.int32), "doc": np.arange(n), "line": np.zeros(n, np.int64), "set": np.arange(n), "size": np.arange(10, n + 10), "position": np.zeros(n, np.int64),
+            "probe": np.ones(n, bool), "tile": np.full(n, -1), "words": np.ones(n, np.int64), "start": np.arange(n), "bits": np.zeros(n, np.uint64)}
+    got = candidates(rows, 0.8, None)
+    want = {(a, b) for a in range(n) for b in range(a) if rows["size"][b] >= np.ceil(0.8 / 1.8 * (rows["size"][a] + rows["size"][b]) - 1e-9)}
+    assert set(zip(got["late"].tolist(), got["early"].tolist())) == want
+    assert len(want) <= sum(met) < n * (n - 1) // 4
+
+
+def test_only_wanted_lines_are_read_again(spark):
+    """Before, all lines of a document with one wanted line were cut into words and its text was shuffled."""
+    from maskwright.llm.lines import _doc_keys, _line_keys, _word_sets, bitmap
+
+    docs = spark.createDataFrame([(1, 5, "a b\nc d e\n\nf"), (2, 6, "c d e\nx"), (2, 7, "y z\nq"), (3, 8, None), (4, 9, "")], "doc long, mark long, text string")
+    docs = docs.fillna("", ["text"])
+    places = spark.createDataFrame([(1, 5, 1), (1, 5, 3), (2, 7, 0)], "doc long, mark long, line long")
+    wanted = bitmap(places, lambda batch: np.concatenate([_doc_keys(batch), _line_keys(_doc_keys(batch), batch.column("line").to_numpy())]))
+    rarity = np.zeros(1 << 18, np.int32)
+    assert sorted(len(r["words"]) for r in _word_sets(docs, wanted, rarity).collect()) == [1, 2, 3]
+    assert "Exchange" not in _word_sets(docs, wanted, rarity)._jdf.queryExecution().executedPlan().toString()
