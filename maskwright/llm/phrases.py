@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,9 @@ class Pieces(Words):
         data, offsets = flat(texts)
         self.lang = langs.dictionary_encode()
         super().__init__(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(_SIGNS[data])), lines=True)
-        own = Words(pa.array(self.lang.dictionary.to_pylist(), pa.string()))
-        salt = np.zeros(len(self.lang.dictionary), np.uint64)
-        np.add.at(salt, own.text, own.hash)  # names of languages in one word differ in salt
+        # Another hash than the words', or the word "en" in "de" would equal the word "de" in "en".
+        names = self.lang.dictionary.to_pylist()
+        salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest()) for x in names], np.uint64)
         self.word_lang = self.lang.indices.to_numpy()[self.text] if len(texts) else np.zeros(0, np.int64)
         self.hash = mixed(self.hash + salt[self.word_lang])
 

@@ -90,3 +90,11 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", n)], "lang string, n long")
     (row,) = phrases.scored(counts, totals).collect()
     assert row["score"] == 1000 * a * n // (left * left)
+
+
+def test_languages_named_like_words_or_parted_by_spaces_are_counted_apart(spark):
+    """The word "de" in "en" is not the word "en" in "de", nor is "a b" in "x y" that in "y x", or in "" that in " "."""
+    rows = [("x de x. de de", "en")] * 7 + [("x en x. en en", "de")] * 11 + [("es fr", "")] * 3
+    rows += [("a b", lang) for lang in ("x y", "y x", "x", "x ", "", " ", "\t") for _ in range(4)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert sorted(map(tuple, phrases.collocations(docs, 3).collect())) == plain(rows, 3)
