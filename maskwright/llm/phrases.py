@@ -17,7 +17,7 @@ from maskwright.llm.common import Words, flat, mixed, slices, staged
 DEPTH = 5
 MIN_COUNT = 100
 TOP = 2000
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 #: Bits of each filter, of frequent words and of frequent pairs, that every task gets: 4 MB, whatever the input.
 _FILTER_BITS = 1 << 25
 _BLOCK_BITS = 1 << 15
